@@ -166,8 +166,11 @@ def rank_of_values(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     cuts = counts.agg(
         F.percentile_approx(value, F.array(*[F.lit(s) for s in steps]), F.lit(1000))
     ).scalar()
-    bucketed = counts.withColumn(
-        "_b", F.aggregate(cuts, F.lit(0), lambda acc, c: acc + (c < F.col(value)).cast("int"))
+    below = lambda acc, c: acc + (c < F.col(value)).cast("int")
+    bucketed = (
+        counts.withColumn("_cuts", cuts)
+        .withColumn("_b", F.aggregate("_cuts", F.lit(0), below))
+        .drop("_cuts")
     )
     totals = bucketed.groupBy("_b").agg(F.sum("_c").alias("_t"))
     above = totals.withColumn(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("scoring",)
+MODULES = ("scoring", "naming")
 
 
 class Catalog:
