@@ -536,11 +536,11 @@ def jn11(spark, sf):
 
 
 def misspelled(name, key):
-    """Every third name loses a letter, every third doubles one."""
+    """Every third name loses a letter, every third doubles one, the rest gain an ending."""
     return (
         F.when(key % 3 == 0, F.concat(F.left(name, F.lit(4)), F.substring(name, 6, 100)))
         .when(key % 3 == 1, F.concat(F.left(name, F.lit(3)), F.substring(name, 3, 100)))
-        .otherwise(name)
+        .otherwise(F.concat(name, F.lit("a")))
     )
 
 
