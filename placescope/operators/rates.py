@@ -88,19 +88,22 @@ def median_and_count(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def latest_value(
-    facts: DataFrame, wanted: DataFrame, name: str, year: str, value: str
+    facts: DataFrame, wanted: Sequence[str], name: str, year: str, value: str
 ) -> DataFrame:
     """Latest non-null value per wanted name: exact name first, else names that start with it.
 
-    Facts shrink to the latest row per name before they meet the wanted names, so the prefix
-    comparison runs on distinct names only. ``wanted`` is a small parameter table, one row each.
+    Facts shrink to the latest row per name first; each distinct name then finds the wanted
+    prefixes in a constant list, so there is no join on the prefix.
     """
     newest = (
         facts.where(F.col(value).isNotNull())
         .groupBy(F.col(name).alias("_name"))
         .agg(F.max(F.struct(F.col(year), F.col(value))).alias("_p"))
     )
-    hits = newest.join(F.broadcast(wanted), F.col("_name").startswith(F.col("wanted")))
+    listed = F.array(*[F.lit(w) for w in wanted])
+    hits = newest.select(
+        "_name", "_p", F.explode(F.filter(listed, lambda w: F.col("_name").startswith(w))).alias("wanted")
+    )
     exact = (F.col("_name") == F.col("wanted")).cast("int")
     return (
         hits.groupBy("wanted")

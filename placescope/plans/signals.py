@@ -237,7 +237,7 @@ def agg9(spark, sf):
     )
 
 
-WANTED = (("BUILD", "build"), ("MACHINERY", "machinery"), ("HOUSE", "house"), ("NOTHING", "nothing"))
+WANTED = ("BUILD", "MACHINERY", "HOUSE", "NOTHING")
 
 
 @CATALOG.query(
@@ -258,8 +258,7 @@ def agg11(spark, sf):
         F.col("o_orderkey").alias("year"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("value"),
     )
-    wanted = spark.createDataFrame([(w,) for w, _ in WANTED], "wanted string")
-    return rates.latest_value(facts, wanted, "name", "year", "value")
+    return rates.latest_value(facts, WANTED, "name", "year", "value")
 
 
 @CATALOG.query(
