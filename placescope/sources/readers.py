@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from placescope.sources.store import path_exists
@@ -38,7 +38,7 @@ def read_commented(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of many text files as (file, pos, line); files are split across tasks by file."""
-    whole = spark.read.option("wholetext", True).text(path).select(
+    whole = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), "value"
     )
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
@@ -50,12 +50,12 @@ def read_section(spark: SparkSession, path: str, marker: str, columns: Mapping[s
     Other comment lines and blanks are skipped, short rows dropped. Everything happens inside the
     file's own row, so the marker search needs no shuffle.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(
+    whole = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), "value"
     )
     after = F.regexp_extract("value", r"(?s)(?:^|\n)[ \t]*#[^\n]*" + marker + r"[^\n]*\n(.*)$", 1)
     lines = F.filter(
-        F.transform(F.split(after, r"\r?\n"), F.trim),
+        F.transform(F.split(after, r"\r?\n"), lambda l: F.trim(l)),
         lambda l: (l != "") & ~l.startswith("#"),
     )
     cells = whole.select("file", F.explode(F.transform(lines, lambda l: F.split(l, ","))).alias("_c"))
@@ -68,11 +68,13 @@ def read_section(spark: SparkSession, path: str, marker: str, columns: Mapping[s
 def pick_column(header: Column, keywords: Sequence[str]) -> Column:
     """Zero-based position of the first header cell with the longest matching keyword, else null."""
     cells = F.transform(header, lambda c: F.lower(F.trim(c)))
-    picks = []
-    for word in sorted(keywords, key=len, reverse=True):
-        flags = F.transform(cells, lambda c, w=word: F.contains(c, F.lit(w)))
-        picks.append(F.nullif(F.array_position(flags, F.lit(True)), F.lit(0).cast("long")))
-    return (F.coalesce(*picks) - 1).cast("int")
+
+    def first_with(word: str) -> Column:
+        flags = F.transform(cells, lambda c: F.contains(c, F.lit(word)))
+        return F.nullif(F.array_position(flags, F.lit(True)), F.lit(0).cast("long"))
+
+    ordered = sorted(keywords, key=len, reverse=True)
+    return (F.coalesce(*[first_with(w) for w in ordered]) - 1).cast("int")
 
 
 def read_grids(
@@ -111,7 +113,7 @@ def read_piped(spark: SparkSession, glob: str, min_fields: int, positions: Mappi
     """Pipe-delimited quoted files with a header row each; rows with fewer fields are dropped."""
     names = [f"f{i}" for i in range(min_fields)]
     schema = ", ".join(f"{n} string" for n in names)
-    df = spark.read.option("sep", "|").option("quote", '"').option("header", True).option(
+    df = spark.read.option("sep", "|").option("escape", '"').option("header", True).option(
         "enforceSchema", True
     ).option("mode", "PERMISSIVE").schema(schema + ", _corrupt string").option(
         "columnNameOfCorruptRecord", "_corrupt"
@@ -178,12 +180,12 @@ def parse_features(df: DataFrame, feature: Column, key: str) -> DataFrame:
     return rows.where((F.coalesce(key, F.lit("")) != "") & F.col("parts").isNotNull())
 
 
-def read_geojson(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """FeatureCollection files, one row per feature.
+def read_geojson(spark: SparkSession, path: str, key: str, per_line: bool = False) -> DataFrame:
+    """FeatureCollections, one per file or one per line, as one row per feature.
 
     Geometry stays text until its type is known, because a file may mix nesting depths.
     """
-    docs = spark.read.option("wholetext", True).text(path)
+    docs = spark.read.text(path, wholetext=not per_line)
     features = docs.select(
         F.explode(F.from_json("value", "struct<features:array<string>>")["features"]).alias("_t")
     )
@@ -231,13 +233,3 @@ def mean_of_samples(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Mean of the positive numeric samples per key, one decimal; fill values are dropped."""
     v = F.col(value).try_cast("double")
     return df.where(v > 0).groupBy(key).agg(F.bround(F.avg(v), 1).alias(out))
-
-
-def positions_after(lines: DataFrame, marker: str) -> DataFrame:
-    """Lines below the first marker line of their file, for files too large for one row."""
-    first = lines.where(F.contains("line", F.lit(marker))).groupBy("file").agg(F.min("pos").alias("_m"))
-    return lines.join(first, "file").where(F.col("pos") > F.col("_m")).drop("_m")
-
-
-def line_window(file: str = "file", pos: str = "pos") -> W:
-    return W.partitionBy(file).orderBy(pos)
