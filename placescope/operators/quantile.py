@@ -45,8 +45,8 @@ def exact_quantiles(
         bracketed = rows.join(sketch, keys)
         n, cuts = F.col("_n"), F.col("_cuts")
     else:
-        one = sketch.select(F.struct("_n", "_cuts")).scalar()
-        bracketed = rows.select("_v", one["_n"].alias("_n"), one["_cuts"].alias("_cuts"))
+        one = rows.withColumn("_one", sketch.select(F.struct("_n", "_cuts")).scalar())
+        bracketed = one.select("_v", "_one._n", "_one._cuts")
         n, cuts = F.col("_n"), F.col("_cuts")
     whole = n <= WHOLE_GROUP_ROWS
     targets = F.array(

@@ -62,19 +62,29 @@ def winsor_z(long: DataFrame, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     return clipped.join(moments, "signal").withColumn("z", z).drop("_m", "_s")
 
 
+def with_figures(df: DataFrame, figures: DataFrame, name: str = "_one") -> DataFrame:
+    """Put the struct of a one-row, one-column frame on every row.
+
+    A scalar subquery instead of a cross join. It becomes a column once, because repeating the
+    subquery in every expression would multiply the plans of stacked steps.
+    """
+    return df.withColumn(name, figures.scalar())
+
+
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace each column by its population z-score; a constant column becomes 0."""
-    one = df.agg(
+    figures = df.agg(
         F.struct(
             *[F.avg(c).alias(f"m_{c}") for c in columns],
             *[F.stddev_pop(c).alias(f"s_{c}") for c in columns],
         )
-    ).scalar()
+    )
+    one = F.col("_one")
     scaled = {
         c: (F.col(c) - one[f"m_{c}"]) / F.when(one[f"s_{c}"] > 0, one[f"s_{c}"]).otherwise(1.0)
         for c in columns
     }
-    return df.withColumns(scaled)
+    return with_figures(df, figures).withColumns(scaled).drop("_one")
 
 
 def group_z(
@@ -135,10 +145,11 @@ def minmax_scale(
 ) -> DataFrame:
     """Global min-max over positive values; other rows get null; span 0 counts as 1."""
     positive = F.when(F.col(value) > 0, F.col(value))
-    one = df.agg(F.struct(F.min(positive).alias("lo"), F.max(positive).alias("hi"))).scalar()
+    figures = df.agg(F.struct(F.min(positive).alias("lo"), F.max(positive).alias("hi")))
+    one = F.col("_one")
     span = F.when(one["hi"] > one["lo"], one["hi"] - one["lo"]).otherwise(1.0)
     scaled = F.bround(F.lit(lo) + F.lit(hi - lo) * (positive - one["lo"]) / span, digits)
-    return df.withColumn(out, scaled)
+    return with_figures(df, figures).withColumn(out, scaled).drop("_one")
 
 
 def representative(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
@@ -208,10 +219,11 @@ def impute_median(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Fill nulls with the exact median of the column."""
     long = to_long(df, key, columns)
     per_signal = exact_quantiles(long, ["signal"], "value", {"m": 0.5})
-    one = per_signal.agg(
+    figures = per_signal.agg(
         F.struct(*[F.max(F.when(F.col("signal") == c, F.col("m"))).alias(c) for c in columns])
-    ).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), one[c]) for c in columns})
+    )
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.col("_one")[c]) for c in columns}
+    return with_figures(df, figures).withColumns(filled).drop("_one")
 
 
 def latest_per(df: DataFrame, keys: Sequence[str], order: Column, values: Mapping[str, Column]) -> DataFrame:
