@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("scoring", "naming", "signals", "spatial", "tables", "sources", "geometry", "models")
+MODULES = ("scoring", "naming", "signals", "spatial", "tables", "sources", "geometry", "models", "streams")
 
 
 class Catalog:
