@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from placescope.functions import fixed_values as fixed
-from placescope.functions.names import any_of
+from placescope.functions.names import bound, contains_any
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
@@ -55,7 +55,7 @@ def vehicle_record(df: DataFrame, text: str) -> DataFrame:
             "price": amount(t, fixed.PRICE_PATTERN),
         }
     )
-    brand = F.lower(t).rlike(any_of(fixed.LUXURY_BRANDS))
+    brand = bound(F.lower(t), lambda low: contains_any(low, fixed.LUXURY_BRANDS))
     dear = F.coalesce(F.col("price") >= fixed.LUXURY_PRICE, F.lit(False))
     return df.withColumn("is_luxury", brand | dear)
 
@@ -73,9 +73,9 @@ RECEIPT_AMOUNTS = {
     "net_tax_paid": r"(?i)Net Tax to be\s*Paid\s+" + _MONEY,
 }
 RECEIPT_ROW = r"(\d{4}-\d{4})" + (r"\s+" + _NUMBER) * 8
-RECEIPT_ROW_GROUP = {
-    "property_tax": 2, "cesses": 3, "total_tax": 4, "penalty": 6, "interest": 7, "swm_cess": 8,
-    "net_tax_paid": 9,
+RECEIPT_ROW_POSITION = {
+    "property_tax": 1, "cesses": 2, "total_tax": 3, "penalty": 5, "interest": 6, "swm_cess": 7,
+    "net_tax_paid": 8,
 }
 RECEIPT_WARD = (
     r"(?:\d{8,})\s+(\d{1,3})\s*[-–]\s*([A-Z][A-Z ]+?)(?=\s+\(cid:|[^\x00-\x7F])",
@@ -94,44 +94,51 @@ RECEIPT_ADDRESS = r"(?is)Property Address\s*[:\-]\s*(.+?)(?=\s+(?:Survey No|Old
 
 
 def tax_receipt(df: DataFrame, text: str) -> DataFrame:
-    """Fields of a tax receipt; amounts fall back to the summary row when none is labelled."""
+    """Fields of a tax receipt; amounts fall back to the summary row when none is labelled.
+
+    Every pattern runs once per text, into a column of its own; the rules then read the columns.
+    """
     t = F.col(text)
+    raw = {f"_{n}_{i}": first_match(t, p) for n, ps in RECEIPT_TEXT.items() for i, p in enumerate(ps)}
+    raw |= {f"_ward_{i}": F.regexp_extract(t, p, 0) for i, p in enumerate(RECEIPT_WARD)}
+    raw |= {f"_label_{n}": F.regexp_extract(t, p, 1) for n, p in RECEIPT_AMOUNTS.items()}
+    raw |= {
+        "_street": F.trim(F.regexp_extract(t, RECEIPT_STREET, 1)),
+        "_rest": F.trim(F.regexp_extract(t, RECEIPT_ADDRESS, 1)),
+        "_row": F.split(F.regexp_extract(t, RECEIPT_ROW, 0), r"\s+"),
+    }
+    found = df.withColumns(raw)
     empty = F.lit("")
     fields = {
-        name: F.coalesce(*[first_match(t, p) for p in patterns], empty)
-        for name, patterns in RECEIPT_TEXT.items()
+        n: F.coalesce(*[F.col(f"_{n}_{i}") for i in range(len(ps))], empty) for n, ps in RECEIPT_TEXT.items()
     }
     # The second ward pattern only counts where the first does not match at all.
-    primary = first_match(t, RECEIPT_WARD[0])
-    for i, name in ((1, "ward_no"), (2, "ward_name")):
-        found = F.when(primary.isNotNull(), first_match(t, RECEIPT_WARD[0], i)).otherwise(
-            first_match(t, RECEIPT_WARD[1], i)
-        )
-        fields[name] = F.coalesce(F.regexp_replace(found, r"[-–\s]+$", ""), empty)
-    street = F.coalesce(first_match(t, RECEIPT_STREET), empty)
-    rest = F.coalesce(first_match(t, RECEIPT_ADDRESS), empty)
+    ward = F.when(F.col("_ward_0") != "", F.col("_ward_0")).otherwise(F.col("_ward_1"))
+    number_name = r"(\d{1,3})\s*[-–]\s*([A-Z][A-Z ]*)$"
+    fields["ward_no"] = F.regexp_extract(ward, number_name, 1)
+    fields["ward_name"] = F.regexp_replace(F.trim(F.regexp_extract(ward, number_name, 2)), r"[-–\s]+$", "")
+    street, rest = F.col("_street"), F.col("_rest")
     both = (street != "") & (rest != "") & ~F.contains(street, rest)
     address = F.when(both, F.concat(street, F.lit(", "), rest)).otherwise(
         F.when(street != "", street).otherwise(rest)
     )
-    address = F.trim(F.regexp_replace(address, r"\s+", " "))
-    fields["property_address"] = address
-    fields["area_hint"] = F.trim(F.split(address, ",")[0])
-    labelled = F.coalesce(amount(t, RECEIPT_AMOUNTS["property_tax"]), F.lit(0.0)) != 0
-    has_row = t.rlike(RECEIPT_ROW)
-    for name, pattern in RECEIPT_AMOUNTS.items():
-        by_row = F.regexp_extract(t, RECEIPT_ROW, RECEIPT_ROW_GROUP[name]).try_cast("double")
-        by_label = F.coalesce(amount(t, pattern), F.lit(0.0))
-        fields[name] = F.when(~labelled & has_row, by_row).otherwise(by_label)
-    zone = F.col("zone")
-    out = df.withColumns(fields)
+    fields["property_address"] = F.trim(F.regexp_replace(address, r"\s+", " "))
+    labelled = {
+        n: F.coalesce(F.replace(F.col(f"_label_{n}"), F.lit(","), F.lit("")).try_cast("double"), F.lit(0.0))
+        for n in RECEIPT_AMOUNTS
+    }
+    by_row = (labelled["property_tax"] == 0) & (F.size("_row") > 8)
+    for n, position in RECEIPT_ROW_POSITION.items():
+        fields[n] = F.when(by_row, F.get("_row", F.lit(position)).try_cast("double")).otherwise(labelled[n])
+    out = found.withColumns(fields).drop(*raw)
 
     def of_zone(i: int, kind: str) -> Column:
         pairs = [F.lit(x) for z, v in fixed.ZONES.items() for x in (z, v[i])]
-        return F.element_at(F.create_map(*pairs), zone).cast(kind)
+        return F.element_at(F.create_map(*pairs), F.col("zone")).cast(kind)
 
     return out.withColumns(
         {
+            "area_hint": F.trim(F.split("property_address", ",")[0]),
             "zone_label": F.coalesce(of_zone(0, "string"), empty),
             "index_low": of_zone(1, "int"),
             "index_high": of_zone(2, "int"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
@@ -66,20 +65,31 @@ def codes_in(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\b([1-9]\d{5})\b"), 1)
 
 
-def any_of(words: Sequence[str]) -> str:
-    return "|".join(re.escape(w) for w in words)
+def contains_any(text: Column, words: Sequence[str]) -> Column:
+    """Whether one of the words occurs: plain substring search, far cheaper than an alternation."""
+    hit = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        hit = hit | F.contains(text, F.lit(w))
+    return hit
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` applied to a value computed once, whatever number of times ``use`` refers to it."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
 
 
 def classify(
     text: Column, classes: Sequence[tuple[str, Sequence[str]]] = fixed.OFFICE_CLASSES
 ) -> Column:
     """Name of the first class with a keyword in the lower-cased text, else empty."""
-    text = F.lower(text)
-    chain = None
-    for name, words in classes:
-        hit = text.rlike(any_of(words))
-        chain = F.when(hit, name) if chain is None else chain.when(hit, name)
-    return chain.otherwise("")
+
+    def first_class(t: Column) -> Column:
+        found = F.lit("")
+        for name, words in reversed(classes):
+            found = F.when(contains_any(t, words), name).otherwise(found)
+        return found
+
+    return bound(F.lower(text), first_class)
 
 
 def tag_text(*parts: Column) -> Column:
@@ -92,7 +102,8 @@ def is_luxury(
     words: Sequence[str] = fixed.LUXURY_BRANDS,
     threshold: float = fixed.LUXURY_PRICE,
 ) -> Column:
-    hit = F.coalesce(F.lower(maker).rlike(any_of([w.lower() for w in words])), F.lit(False))
+    lowered = [w.lower() for w in words]
+    hit = F.coalesce(bound(F.lower(maker), lambda m: contains_any(m, lowered)), F.lit(False))
     return hit if price is None else hit | F.coalesce(price >= threshold, F.lit(False))
 
 

@@ -48,7 +48,7 @@ def with_target(spark, sf, m):
 @CATALOG.query(
     "sc8_feature_assembly",
     f"""WITH {SIGNAL_SQL}, g AS (SELECT nation, (sum(spend) / nullif(sum(balance), 0) - 1) * 100 AS growth FROM signals GROUP BY 1)
-SELECT entity, round(balance, 2) AS balance, round(spend, 2) AS spend, round(discount, 8) AS discount, round(urgent, 2) AS urgent, round(bulk, 2) AS bulk,
+SELECT entity, round(balance, 2) AS balance, round(spend, 2) AS spend, round(discount, 10) AS discount, round(urgent, 2) AS urgent, round(bulk, 2) AS bulk,
   round(growth, 4) AS region_growth FROM signals LEFT JOIN g USING (nation)""",
 )
 def sc8(spark, sf):
@@ -56,7 +56,7 @@ def sc8(spark, sf):
     figures = s.groupBy("nation").agg(F.sum("balance").alias("base"), F.sum("spend").alias("latest"))
     figures = figures.withColumn("region_growth", F.round(estimates.growth_pct(F.nullif("base", F.lit(0.0)), F.col("latest")), 4))
     out = model.region_feature(s, "nation", figures, "region_growth")
-    digits = {"discount": 8}
+    digits = {"discount": 10}
     return out.select("entity", *[F.round(c, digits.get(c, 2)).alias(c) for c in SIGNALS], "region_growth")
 
 

@@ -40,11 +40,11 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 @CATALOG.query(
     "win1_winsor_z",
-    f"WITH {Z_SQL} SELECT entity, signal, round(value, 9) AS value, round(z, 6) AS z FROM zs",
+    f"WITH {Z_SQL} SELECT entity, signal, round(z, 6) AS z FROM zs",
 )
 def win1(spark, sf):
     return long_z(spark, sf).select(
-        "entity", "signal", F.round("value", 9).alias("value"), F.round("z", 6).alias("z")
+        "entity", "signal", F.round("z", 6).alias("z")
     )
 
 
@@ -135,7 +135,7 @@ def agg10(spark, sf):
     f"""WITH {LONG_SQL} SELECT entity,
   round(max(CASE WHEN signal = 'balance' THEN value END), 2) AS balance,
   round(max(CASE WHEN signal = 'spend' THEN value END), 2) AS spend,
-  round(max(CASE WHEN signal = 'discount' THEN value END), 6) AS discount,
+  round(max(CASE WHEN signal = 'discount' THEN value END), 10) AS discount,
   round(max(CASE WHEN signal = 'urgent' THEN value END), 2) AS urgent,
   round(max(CASE WHEN signal = 'bulk' THEN value END), 2) AS bulk
 FROM long GROUP BY 1""",
@@ -143,7 +143,7 @@ FROM long GROUP BY 1""",
 def jn2(spark, sf):
     long = stats.to_long(roles.signals(spark, sf), "entity", SIGNALS)
     wide = stats.to_wide(long, "entity", SIGNALS)
-    digits = {"discount": 6}
+    digits = {"discount": 10}
     return wide.select("entity", *[F.round(s, digits.get(s, 2)).alias(s) for s in SIGNALS])
 
 

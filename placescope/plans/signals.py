@@ -440,7 +440,7 @@ def win8(spark, sf):
 @CATALOG.query(
     "win9_p95_norm",
     f"""WITH {SIGNAL_SQL}, q AS (SELECT quantile_cont(spend, 0.95) AS p95 FROM signals)
-SELECT entity, round_even(greatest(least(spend / p95 * 100, 100), 0), 1) AS poi FROM signals, q""",
+SELECT entity, CASE WHEN spend IS NOT NULL THEN round_even(greatest(least(spend / p95 * 100, 100), 0), 1) END AS poi FROM signals, q""",
 )
 def win9(spark, sf):
     return stats.p95_norm(roles.signals(spark, sf), "spend", "poi").select("entity", "poi")

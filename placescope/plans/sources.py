@@ -266,11 +266,11 @@ def src12(spark, sf):
 
 @CATALOG.query(
     "src13_sample_means",
-    "SELECT user_id AS key, round_even(avg(value), 1) AS radiance FROM events WHERE event_type <> 'error' AND value > 0 GROUP BY 1",
+    "SELECT user_id AS key, round_even(avg(value + 0.00037), 1) AS radiance FROM events WHERE event_type <> 'error' AND value + 0.00037 > 0 GROUP BY 1",
 )
 def src13(spark, sf):
     e = roles.table(spark, sf, "events")
-    raw = F.when(F.col("event_type") == "error", "-9999").otherwise(F.col("value").cast("string"))
+    raw = F.when(F.col("event_type") == "error", "-9999").otherwise((F.col("value") + 0.00037).cast("string"))
     return readers.mean_of_samples(e.select(F.col("user_id").alias("key"), raw.alias("v")), "key", "v", "radiance")
 
 

@@ -161,7 +161,7 @@ def snk8(spark, sf):
     "snk9_app_table",
     f"""WITH {MONEY_SQL}, q AS (SELECT quantile_cont(n_orders, 0.95) AS p95 FROM signals)
 SELECT entity, name, round(lat, 8) AS lat, round(lng, 8) AS lng, "index", est_monthly_income_hh AS income,
-  round_even(greatest(least(n_orders / p95 * 100, 100), 0), 1) AS poi FROM ranked JOIN signals USING (entity), q""",
+  CASE WHEN n_orders IS NOT NULL THEN round_even(greatest(least(n_orders / p95 * 100, 100), 0), 1) END AS poi FROM ranked JOIN signals USING (entity), q""",
 )
 def snk9(spark, sf):
     e = roles.entities(spark, sf)
@@ -187,7 +187,7 @@ def snk10(spark, sf):
     "jn8_star_join",
     f"""WITH {MONEY_SQL}, ev AS (SELECT user_id AS entity, count(*) AS n_events, round(sum(value), 2) AS activity FROM events GROUP BY 1)
 SELECT entity, name, "index", est_monthly_income_hh, round(spend, 2) AS spend, round(urgent, 2) AS urgent,
-  round(discount, 8) AS discount, round(bulk, 2) AS bulk, n_orders, n_events, activity
+  round(discount, 10) AS discount, round(bulk, 2) AS bulk, n_orders, n_events, activity
 FROM signals LEFT JOIN ranked USING (entity) LEFT JOIN ev USING (entity)""",
 )
 def jn8(spark, sf):
@@ -201,7 +201,7 @@ def jn8(spark, sf):
     )
     out = tables.star_join(core, [o.select("entity", "spend", "urgent", "discount", "bulk", "n_orders"), events], "entity")
     return out.withColumns(
-        {c: F.round(c, d) for c, d in (("spend", 2), ("urgent", 2), ("discount", 8), ("bulk", 2))}
+        {c: F.round(c, d) for c, d in (("spend", 2), ("urgent", 2), ("discount", 10), ("bulk", 2))}
     )
 
 
