@@ -24,29 +24,16 @@ DEFAULT_ANCHOR = 7000.0
 
 
 def feature_matrix(
-    df: DataFrame, key: str, signals: Sequence[str], keep: Sequence[str], lo: float = 0.02, hi: float = 0.98
+    df: DataFrame, signals: Sequence[str], lo: float = 0.02, hi: float = 0.98
 ) -> DataFrame:
     """Winsorised signals, missing ones filled with the median of the winsorised column."""
-    long = stats.to_long(df, key, signals)
-    wide = stats.to_wide(stats.winsorize(long, lo, hi), key, signals)
-    full = df.select(key, *keep).join(wide, key, "left")
-    return stats.impute_median(full, signals, key)
-
-
-def normalise_in_groups(
-    df: DataFrame, key: str, columns: Sequence[str], fine: str, coarse: str, min_size: int = 5
-) -> DataFrame:
-    """Replace columns by their group z-scores, thin fine groups falling back to the coarse one."""
-    long = stats.to_long(df, key, columns, keep=(fine, coarse), drop_null=False)
-    z = stats.group_z(long, key, fine, coarse, min_size)
-    wide = stats.to_wide(z, key, columns, value="z")
-    return df.drop(*columns).join(wide, key)
+    return stats.impute_median(stats.winsorize(df, signals, lo, hi), signals)
 
 
 def target(df: DataFrame, key: str, rate: str, fine: str, coarse: str, min_size: int = 5) -> DataFrame:
     """Median-filled rate, normalised in its group and standardised over all rows, as ``target``."""
-    filled = stats.impute_median(df.select(key, fine, coarse, rate), [rate], key)
-    z = normalise_in_groups(filled, key, [rate], fine, coarse, min_size)
+    filled = stats.impute_median(df.select(key, fine, coarse, rate), [rate])
+    z = stats.group_z(filled, [rate], fine, coarse, min_size)
     return stats.standardize(z.withColumnRenamed(rate, "target"), ["target"]).select(key, "target")
 
 

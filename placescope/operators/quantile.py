@@ -27,12 +27,17 @@ def _brackets(value: Column, probs: Sequence[float]) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    registered_keys: bool = False,
 ) -> DataFrame:
     """One row per group: ``keys`` plus one double column per entry of ``probs``.
 
     ``keys`` may be empty for one global row. Null values are ignored; a group with no value is
-    absent from the result.
+    absent from the result. ``registered_keys`` states that the keys come from a registry of
+    signals, whose length bounds the sketch table, so that the rows need no shuffle to meet it.
     """
     names = list(probs)
     fractions = [float(probs[n]) for n in names]
@@ -42,7 +47,7 @@ def exact_quantiles(
         F.count(F.lit(1)).alias("_n"), _brackets(F.col("_v"), fractions).alias("_cuts")
     )
     if keys:
-        bracketed = rows.join(sketch, keys)
+        bracketed = rows.join(F.broadcast(sketch) if registered_keys else sketch, keys)
         n, cuts = F.col("_n"), F.col("_cuts")
     else:
         one = rows.withColumn("_one", sketch.select(F.struct("_n", "_cuts")).scalar())

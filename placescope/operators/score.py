@@ -21,25 +21,29 @@ def index_of(composite: Column) -> Column:
     return F.bround(clip(raw, F.lit(float(INDEX_MIN)), F.lit(float(INDEX_MAX)))).cast("int")
 
 
-def weight_column(weights: Mapping[str, float], signal: str = "signal") -> Column:
-    table = F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, float(w))])
-    return table[F.col(signal)]
-
-
-def composite(long_z: DataFrame, key: str, weights: Mapping[str, float]) -> DataFrame:
+def _present(weights: Mapping[str, float], prefix: str) -> tuple[Column, Column, Column]:
+    """Weighted sum, weight total and count over the z columns a row has."""
+    total, weight, count = F.lit(0.0), F.lit(0.0), F.lit(0)
+    for s, w in weights.items():
+        z = F.col(f"{prefix}{s}")
+        total = total + F.coalesce(z * w, F.lit(0.0))
+        weight = weight + F.when(z.isNotNull(), w).otherwise(0.0)
+        count = count + z.isNotNull().cast("int")
+    return total, weight, count
+
+
+def composite(df: DataFrame, key: str, weights: Mapping[str, float], prefix: str = "z_") -> DataFrame:
     """Weighted mean of z over the signals a row has, with the weights renormalised to those.
 
-    Entities without any signal have no row in ``long_z`` and none in the result.
+    Row-local; rows without any signal are left out.
     """
-    weighted = long_z.withColumn("_w", weight_column(weights)).where("_w is not null")
-    summed = weighted.groupBy(key).agg(
-        (F.sum(F.col("_w") * F.col("z")) / F.sum("_w")).alias("_c"),
-        F.count(F.lit(1)).alias("_k"),
-    )
-    return summed.select(
+    total, weight, count = _present(weights, prefix)
+    rows = df.select(key, total.alias("_s"), weight.alias("_t"), count.alias("_k")).where("_k > 0")
+    c = F.col("_s") / F.col("_t")
+    return rows.select(
         key,
-        F.bround("_c", 3).alias("composite_z"),
-        index_of(F.col("_c")).alias("index"),
+        F.bround(c, 3).alias("composite_z"),
+        index_of(c).alias("index"),
         F.concat(F.col("_k").cast("string"), F.lit(f"/{len(weights)}")).alias("coverage"),
     )
 
@@ -65,28 +69,25 @@ def money(df: DataFrame, z: str = "composite_z") -> DataFrame:
     )
 
 
-def leave_one_out(long_z: DataFrame, key: str, weights: Mapping[str, float]) -> DataFrame:
+def leave_one_out(df: DataFrame, weights: Mapping[str, float], prefix: str = "z_") -> DataFrame:
     """Largest index swing when one signal is dropped, for all signals in one pass.
 
-    The index without a signal follows from the row totals, so the rows are read once and every
-    entity emits one row per signal it has; signals it lacks cannot move it.
+    A row without the signal cannot move; a row with no other signal has no reduced index.
     """
-    weighted = long_z.withColumn("_w", weight_column(weights)).where("_w is not null")
-    per_entity = weighted.groupBy(key).agg(
-        F.sum(F.col("_w") * F.col("z")).alias("_s"),
-        F.sum("_w").alias("_t"),
-        F.collect_list(F.struct("signal", "z", "_w")).alias("_parts"),
-    )
-    part = per_entity.select("_s", "_t", F.explode("_parts").alias("_p")).select(
-        "_s", "_t", "_p.signal", (F.col("_p.z") * F.col("_p._w")).alias("_x"), "_p._w"
-    )
-    rest = F.col("_t") - F.col("_w")
-    reduced = F.when(rest > 1e-9, (F.col("_s") - F.col("_x")) / rest)
-    swing = F.abs(index_of(F.col("_s") / F.col("_t")) - index_of(reduced))
+    total, weight, _ = _present(weights, prefix)
+    rows = df.withColumns({"_s": total, "_t": weight}).where("_t > 0")
+
+    def swing(s: str, w: float) -> Column:
+        z = F.col(f"{prefix}{s}")
+        rest = F.col("_t") - w
+        reduced = F.when(rest > 1e-9, (F.col("_s") - w * z) / rest)
+        moved = F.abs(index_of(F.col("_s") / F.col("_t")) - index_of(reduced))
+        return F.struct(F.lit(s).alias("signal"), F.max(F.when(z.isNotNull(), moved)).alias("max_swing"))
+
+    one = rows.agg(F.array(*[swing(s, w) for s, w in weights.items()]).alias("_a"))
+    status = F.when(F.col("max_swing") <= SWING_LIMIT, "PASS").otherwise("WARN")
     return (
-        part.groupBy("signal")
-        .agg(F.max(swing).alias("max_swing"))
-        .withColumn("status", F.when(F.col("max_swing") <= SWING_LIMIT, "PASS").otherwise("WARN"))
+        one.select(F.explode("_a").alias("_p")).select("_p.*").withColumn("status", status)
     )
 
 

@@ -1,7 +1,7 @@
 """Window-like statistics: z-scores, bands, imputation, ranks.
 
 Group figures are partial-aggregated and joined back, so a hot group never sits in one task.
-Global figures enter as scalar subqueries, which keeps cross joins out of the plan.
+Global figures enter as constants of a fit step or as scalar subqueries, never as cross joins.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from placescope.operators import quantile
 from placescope.operators.quantile import exact_quantiles
 
 
@@ -41,34 +42,80 @@ def to_wide(long: DataFrame, key: str, signals: Sequence[str], value: str = "val
     )
 
 
-def winsorize(long: DataFrame, lo: float, hi: float, keys: Sequence[str] = ("signal",)) -> DataFrame:
-    """Clip ``value`` to its quantiles per signal."""
-    keys = list(keys)
-    bounds = exact_quantiles(long, keys, "value", {"_lo": lo, "_hi": hi})
-    return (
-        long.join(bounds, keys)
-        .withColumn("value", clip(F.col("value"), F.col("_lo"), F.col("_hi")))
-        .drop("_lo", "_hi")
+def signal_quantiles(df: DataFrame, signals: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """One row with one struct: the exact quantile ``<name>_<signal>`` of every signal.
+
+    A table small enough for one aggregation buffer uses the built-in exact percentile; its size is
+    checked first. Beyond that the bracketing operator takes over, with the same result.
+    """
+    if df.count() <= quantile.WHOLE_GROUP_ROWS:
+        direct = [
+            F.percentile(F.col(s).cast("double"), p).alias(f"{name}_{s}")
+            for s in signals
+            for name, p in probs.items()
+        ]
+        return df.agg(F.struct(*direct))
+    pairs = F.array(
+        *[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("value")) for s in signals]
     )
+    long = df.select(F.explode(pairs).alias("_p")).select("_p.signal", "_p.value")
+    found = quantile.exact_quantiles(long, ["signal"], "value", probs, registered_keys=True)
+    return found.agg(
+        F.struct(
+            *[
+                F.max(F.when(F.col("signal") == s, F.col(name))).alias(f"{name}_{s}")
+                for s in signals
+                for name in probs
+            ]
+        )
+    )
+
+
+def winsorize(df: DataFrame, signals: Sequence[str], lo: float, hi: float) -> DataFrame:
+    """Clip each signal column to its quantiles; the rows are not shuffled."""
+    bounds = signal_quantiles(df, signals, {"lo": lo, "hi": hi})
+    one = F.col("_bounds")
+    clipped = {
+        s: clip(F.col(s).cast("double"), one[f"lo_{s}"], one[f"hi_{s}"]) for s in signals
+    }
+    return with_figures(df, bounds, "_bounds").withColumns(clipped).drop("_bounds")
 
 
-def winsor_z(long: DataFrame, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """Global winsorised z-score per signal in column ``z`` (population std, zero std gives 0)."""
-    clipped = winsorize(long, lo, hi)
-    moments = clipped.groupBy("signal").agg(
-        F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s")
+def winsor_z(
+    df: DataFrame, signals: Sequence[str], lo: float = 0.01, hi: float = 0.99, prefix: str = "z_"
+) -> DataFrame:
+    """Winsorised z-score of each signal as ``z_<signal>``: population std, zero std gives 0.
+
+    Two small statistics passes, then row-local arithmetic: no shuffle of the rows.
+    """
+    clipped = winsorize(df, signals, lo, hi)
+    moments = clipped.agg(
+        F.struct(
+            *[F.avg(s).alias(f"m_{s}") for s in signals],
+            *[F.stddev_pop(s).alias(f"s_{s}") for s in signals],
+        )
     )
-    z = F.when(F.col("_s") > 0, (F.col("value") - F.col("_m")) / F.col("_s")).otherwise(F.lit(0.0))
-    return clipped.join(moments, "signal").withColumn("z", z).drop("_m", "_s")
+    one = F.col("_moments")
+    z = {
+        f"{prefix}{s}": F.when(F.col(s).isNull(), None)
+        .when(one[f"s_{s}"] > 0, (F.col(s) - one[f"m_{s}"]) / one[f"s_{s}"])
+        .otherwise(0.0)
+        for s in signals
+    }
+    return with_figures(clipped, moments, "_moments").withColumns(z).drop("_moments")
 
 
 def with_figures(df: DataFrame, figures: DataFrame, name: str = "_one") -> DataFrame:
-    """Put the struct of a one-row, one-column frame on every row.
+    """Put the struct of a one-row, one-column frame on every row as a constant.
 
-    A scalar subquery instead of a cross join. It becomes a column once, because repeating the
-    subquery in every expression would multiply the plans of stacked steps.
+    This is a fit step: the figures are computed now, and what follows is row-local arithmetic with
+    literals. Only one row of numbers reaches the driver. Stacked steps read ``df`` once per fit, so
+    hand them a written table.
     """
-    return df.withColumn(name, figures.scalar())
+    row = figures.first()[0]
+    fields = figures.schema.fields[0].dataType.fields
+    constant = F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields])
+    return df.withColumn(name, constant)
 
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -88,28 +135,28 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def group_z(
-    long: DataFrame, key: str, fine: str, coarse: str, min_size: int = 5
+    df: DataFrame, columns: Sequence[str], fine: str, coarse: str, min_size: int = 5
 ) -> DataFrame:
-    """Group z-score where a fine group below ``min_size`` members falls back to its coarse group.
+    """Replace columns by group z-scores; a fine group below ``min_size`` rows uses its coarse group.
 
-    ``long`` holds one row per (key, signal); members are counted as distinct rows per signal, null
-    values included. Adds ``effective`` and ``z``; a one-member group gets 0, a tiny std counts as 1.
+    Rows are counted with missing values included. Adds ``effective``, the group used; a one-member
+    group gets 0 and a tiny std counts as 1.
     """
-    sizes = long.groupBy("signal", fine).agg(F.count(F.lit(1)).alias("_fine_n"))
+    sizes = df.groupBy(fine).agg(F.count(F.lit(1)).alias("_fine_n"))
     effective = F.when(F.col("_fine_n") >= min_size, F.col(fine)).otherwise(F.col(coarse))
-    tagged = (
-        long.join(sizes, ["signal", fine])
-        .withColumn("effective", effective.cast("string"))
-        .drop("_fine_n")
-    )
-    figures = tagged.groupBy("signal", "effective").agg(
+    tagged = df.join(sizes, fine).withColumn("effective", effective.cast("string")).drop("_fine_n")
+    figures = tagged.groupBy("effective").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.avg("value").alias("_m"),
-        F.stddev_samp("value").alias("_s"),
+        *[F.avg(c).alias(f"_m_{c}") for c in columns],
+        *[F.stddev_samp(c).alias(f"_s_{c}") for c in columns],
     )
-    spread = F.when(F.col("_s") > 1e-9, F.col("_s")).otherwise(1.0)
-    z = F.when(F.col("_n") < 2, F.lit(0.0)).otherwise((F.col("value") - F.col("_m")) / spread)
-    return tagged.join(figures, ["signal", "effective"]).withColumn("z", z).drop("_n", "_m", "_s")
+
+    def z(c: str) -> Column:
+        spread = F.when(F.col(f"_s_{c}") > 1e-9, F.col(f"_s_{c}")).otherwise(1.0)
+        return F.when(F.col("_n") < 2, F.lit(0.0)).otherwise((F.col(c) - F.col(f"_m_{c}")) / spread)
+
+    used = ["_n", *[f"_m_{c}" for c in columns], *[f"_s_{c}" for c in columns]]
+    return tagged.join(figures, "effective").withColumns({c: z(c) for c in columns}).drop(*used)
 
 
 def band_scalar(
@@ -215,15 +262,11 @@ def p95_norm(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.withColumn(out, F.bround(clip(scaled, F.lit(0.0), F.lit(100.0)), 1))
 
 
-def impute_median(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """Fill nulls with the exact median of the column."""
-    long = to_long(df, key, columns)
-    per_signal = exact_quantiles(long, ["signal"], "value", {"m": 0.5})
-    figures = per_signal.agg(
-        F.struct(*[F.max(F.when(F.col("signal") == c, F.col("m"))).alias(c) for c in columns])
-    )
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.col("_one")[c]) for c in columns}
-    return with_figures(df, figures).withColumns(filled).drop("_one")
+def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Fill nulls with the exact median of the column; the rows are not shuffled."""
+    medians = signal_quantiles(df, columns, {"med": 0.5})
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.col("_one")[f"med_{c}"]) for c in columns}
+    return with_figures(df, medians).withColumns(filled).drop("_one")
 
 
 def latest_per(df: DataFrame, keys: Sequence[str], order: Column, values: Mapping[str, Column]) -> DataFrame:

@@ -9,6 +9,7 @@ from placescope.operators import model, rates, score, spatial, stats
 from placescope.plans import refit, roles
 from placescope.plans.catalog import Catalog
 from placescope.plans.roles import LONG_SQL, SIGNAL_SQL, SIGNALS, Z_SQL
+from placescope.plans.scoring import signal_table
 from placescope.session import materialize
 
 CATALOG = Catalog()
@@ -36,12 +37,12 @@ matrix AS (SELECT entity, fine, coarse, signal, (value - a) / CASE WHEN d > 0 TH
 
 def matrix(spark, sf):
     """Standardised feature matrix, written once since every model reads it several times."""
-    m = refit.features(roles.signals(spark, sf), "entity", SIGNALS, ("urgent", "bulk"), min_size=10)
+    m = refit.features(signal_table(spark, sf), "entity", SIGNALS, ("urgent", "bulk"), min_size=10)
     return materialize(m, "matrix")
 
 
 def with_target(spark, sf, m):
-    t = model.target(roles.signals(spark, sf), "entity", "balance", "fine", "coarse", min_size=10)
+    t = model.target(signal_table(spark, sf), "entity", "balance", "fine", "coarse", min_size=10)
     return materialize(m.join(t, "entity"), "matrix-target")
 
 
@@ -69,7 +70,7 @@ z AS (SELECT entity, CASE WHEN n < 2 THEN 0 ELSE (value - a) / CASE WHEN d > 1e-
 SELECT entity, round((z - avg(z) OVER ()) / stddev_pop(z) OVER (), 6) AS target FROM z""",
 )
 def ml13(spark, sf):
-    t = model.target(roles.signals(spark, sf), "entity", "urgent", "fine", "coarse", min_size=10)
+    t = model.target(signal_table(spark, sf), "entity", "urgent", "fine", "coarse", min_size=10)
     return t.withColumn("target", F.round("target", 6))
 
 
@@ -78,7 +79,7 @@ def ml13(spark, sf):
     f"WITH {MATRIX_SQL} SELECT entity, signal, round(value, 6) AS value FROM matrix",
 )
 def sc8_matrix(spark, sf):
-    m = refit.features(roles.signals(spark, sf), "entity", SIGNALS, ("urgent", "bulk"), min_size=10)
+    m = refit.features(signal_table(spark, sf), "entity", SIGNALS, ("urgent", "bulk"), min_size=10)
     return stats.to_long(m, "entity", SIGNALS).withColumn("value", F.round("value", 6))
 
 
@@ -121,9 +122,10 @@ SELECT entity, round((m - avg(m) OVER ()) / stddev_pop(m) OVER (), 6) AS z FROM
 )
 def ml6(spark, sf):
     """Three signals stand in for the three model scores, so the check needs no model fit."""
-    z = stats.winsor_z(stats.to_long(roles.signals(spark, sf), "entity", SIGNALS))
-    wide = stats.to_wide(z, "entity", ("balance", "spend", "discount"), value="z").where("spend is not null")
-    named = wide.toDF("entity", "z_linear", "z_trees", "z_spatial")
+    z = stats.winsor_z(signal_table(spark, sf), SIGNALS).where("spend is not null")
+    named = z.select("entity", "z_balance", "z_spend", "z_discount").toDF(
+        "entity", "z_linear", "z_trees", "z_spatial"
+    )
     return model.ensemble(named).select("entity", F.round("z", 6).alias("z"))
 
 
@@ -134,7 +136,7 @@ r AS (SELECT avg(bulk) AS m, stddev_samp(bulk) AS s FROM g WHERE bulk IS NOT NUL
 SELECT entity, round(CASE WHEN bulk IS NOT NULL AND nation = 7 THEN 0.7 * z + 0.3 * (bulk - m) / s ELSE z END, 6) AS z FROM g, r""",
 )
 def ml7(spark, sf):
-    s = roles.signals(spark, sf)
+    s = signal_table(spark, sf)
     z = stats.standardize(s.select("entity", F.col("balance").alias("z")), ["z"])
     regional = s.where("nation = 7").select("entity", "bulk")
     return model.regional_blend(z, regional, "entity", "bulk").select("entity", F.round("z", 6).alias("z"))
@@ -153,7 +155,7 @@ d AS (SELECT entity, signal, abs(value - a) AS gap, list_position(['balance', 's
 SELECT entity, arg_max(signal, (gap, -o)) AS top_feature, round(max(gap), 3) AS deviation FROM d GROUP BY 1""",
 )
 def ml9(spark, sf):
-    m = refit.features(roles.signals(spark, sf), "entity", SIGNALS, ("urgent", "bulk"), min_size=10)
+    m = refit.features(signal_table(spark, sf), "entity", SIGNALS, ("urgent", "bulk"), min_size=10)
     long = stats.to_long(m, "entity", SIGNALS, keep=("fine",))
     return model.top_deviant(long, "entity", "fine", SIGNALS).withColumn("deviation", F.round("deviation", 3))
 

@@ -25,8 +25,9 @@ def features(
 
     The imputed matrix is written once, since the group figures read it several times.
     """
-    filled = materialize(model.feature_matrix(df, key, signals, keep=("fine", "coarse")), "filled")
-    grouped = model.normalise_in_groups(filled, key, in_groups, "fine", "coarse", min_size)
+    rows = df.select(key, "fine", "coarse", *signals)
+    filled = materialize(model.feature_matrix(rows, signals), "filled")
+    grouped = stats.group_z(filled, in_groups, "fine", "coarse", min_size).drop("effective")
     return stats.standardize(grouped, signals)
 
 

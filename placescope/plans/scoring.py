@@ -8,6 +8,7 @@ from placescope.operators import score, stats
 from placescope.plans import roles
 from placescope.plans.catalog import Catalog
 from placescope.plans.roles import LONG_SQL, SCORE_SQL, SIGNAL_SQL, SIGNALS, WEIGHTS, Z_SQL
+from placescope.session import materialize
 
 CATALOG = Catalog()
 
@@ -23,13 +24,18 @@ ranked AS (
 )
 
 
-def long_z(spark: SparkSession, sf: str) -> DataFrame:
-    long = stats.to_long(roles.signals(spark, sf), "entity", SIGNALS, keep=("fine", "coarse"))
-    return stats.winsor_z(long)
+def signal_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals per entity, written once: the line items are read and shuffled one time, and the
+    statistics passes that follow read a narrow table."""
+    return materialize(roles.signals(spark, sf), "signals")
+
+
+def z_table(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.winsor_z(signal_table(spark, sf), SIGNALS)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return score.money(score.composite(long_z(spark, sf), "entity", WEIGHTS))
+    return score.money(score.composite(z_table(spark, sf), "entity", WEIGHTS))
 
 
 @CATALOG.query("flagship_ranked_index", f"WITH {MONEY_SQL} SELECT * FROM ranked")
@@ -43,16 +49,15 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {Z_SQL} SELECT entity, signal, round(z, 6) AS z FROM zs",
 )
 def win1(spark, sf):
-    return long_z(spark, sf).select(
-        "entity", "signal", F.round("z", 6).alias("z")
-    )
+    z = z_table(spark, sf).select("entity", *[F.col(f"z_{s}").alias(s) for s in SIGNALS])
+    return stats.to_long(z, "entity", SIGNALS).select("entity", "signal", F.round("value", 6).alias("z"))
 
 
 @CATALOG.query(
     "sc1_composite", f'WITH {SCORE_SQL} SELECT entity, composite_z, "index", coverage FROM scores'
 )
 def sc1(spark, sf):
-    return score.composite(long_z(spark, sf), "entity", WEIGHTS)
+    return score.composite(z_table(spark, sf), "entity", WEIGHTS)
 
 
 @CATALOG.query(
@@ -79,7 +84,7 @@ SELECT signal, max(swing) AS max_swing, CASE WHEN max(swing) <= 10 THEN 'PASS' E
 FROM swings GROUP BY 1""",
 )
 def sc3(spark, sf):
-    return score.leave_one_out(long_z(spark, sf), "entity", WEIGHTS)
+    return score.leave_one_out(z_table(spark, sf), WEIGHTS)
 
 
 @CATALOG.query(
@@ -111,7 +116,7 @@ SELECT entity, "index" AS new_value, old_value, abs("index" - old_value) AS delt
 FROM scores JOIN previous USING (entity)""",
 )
 def sc5(spark, sf):
-    z = long_z(spark, sf)
+    z = z_table(spark, sf)
     before = {s: w for s, w in WEIGHTS.items() if s != "bulk"}
     return score.drift(
         score.composite(z, "entity", WEIGHTS), score.composite(z, "entity", before), "entity", "index"

@@ -14,6 +14,7 @@ from placescope.plans.naming import (
     offices, vehicle_records,
 )
 from placescope.plans.roles import ENTITY_SQL, SIGNAL_SQL
+from placescope.plans.scoring import signal_table
 
 CATALOG = Catalog()
 NATION_POP_SQL = "pop AS (SELECT c_nationkey AS nation, count(*) * 1000 AS population FROM customer GROUP BY 1)"
@@ -346,9 +347,8 @@ FROM t JOIN m USING (effective)""",
 )
 def win2(spark, sf):
     s = roles.signals(spark, sf).fillna({"spend": 0.0})
-    long = stats.to_long(s, "entity", ("spend",), keep=("fine", "coarse"), drop_null=False)
-    out = stats.group_z(long, "entity", "fine", "coarse", min_size=10)
-    return out.select("entity", "effective", F.round("z", 6).alias("z"))
+    out = stats.group_z(s.select("entity", "fine", "coarse", "spend"), ("spend",), "fine", "coarse", min_size=10)
+    return out.select("entity", "effective", F.round("spend", 6).alias("z"))
 
 
 def _band_sql(lo, hi, expr="value"):
@@ -452,7 +452,7 @@ def win9(spark, sf):
   round(coalesce(bulk, (SELECT median(bulk) FROM signals)), 3) AS bulk FROM signals""",
 )
 def win10(spark, sf):
-    s = stats.impute_median(roles.signals(spark, sf), ("urgent", "bulk"), "entity")
+    s = stats.impute_median(signal_table(spark, sf), ("urgent", "bulk"))
     return s.select("entity", F.round("urgent", 3).alias("urgent"), F.round("bulk", 3).alias("bulk"))
 
 

@@ -8,7 +8,7 @@ from placescope.operators import filters, score, tables
 from placescope.plans import roles
 from placescope.plans.catalog import Catalog
 from placescope.plans.roles import SCORE_SQL, WEIGHTS
-from placescope.plans.scoring import MONEY_SQL, long_z, scored
+from placescope.plans.scoring import MONEY_SQL, scored, z_table
 from placescope.session import fresh_path
 from placescope.sources import store
 
@@ -50,7 +50,7 @@ def snk1(spark, sf):
 )
 def snk1_json(spark, sf):
     path = fresh_path(spark, "export")
-    s = score.composite(long_z(spark, sf), "entity", WEIGHTS)
+    s = score.composite(z_table(spark, sf), "entity", WEIGHTS)
     store.export_json(s, path, ("entity", "index"), [F.col("index").desc(), F.col("entity")], "scores")
     return spark.read.schema("count long, source string").json(f"{path}/envelope")
 
@@ -149,7 +149,7 @@ def snk7(spark, sf):
 UNION ALL SELECT 1000000 + s_suppkey, CAST(100 AS INTEGER) FROM supplier""",
 )
 def snk8(spark, sf):
-    result = score.composite(long_z(spark, sf), "entity", WEIGHTS).select("entity", "index")
+    result = score.composite(z_table(spark, sf), "entity", WEIGHTS).select("entity", "index")
     live = roles.table(spark, sf, "supplier").select(
         (1000000 + F.col("s_suppkey")).alias("entity"), F.lit(100).alias("index")
     )
