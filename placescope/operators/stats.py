@@ -49,12 +49,11 @@ def signal_quantiles(df: DataFrame, signals: Sequence[str], probs: Mapping[str,
     checked first. Beyond that the bracketing operator takes over, with the same result.
     """
     if df.count() <= quantile.WHOLE_GROUP_ROWS:
-        direct = [
-            F.percentile(F.col(s).cast("double"), p).alias(f"{name}_{s}")
-            for s in signals
-            for name, p in probs.items()
-        ]
-        return df.agg(F.struct(*direct))
+        fractions = F.array(*[F.lit(p) for p in probs.values()])
+        direct = df.agg(*[F.percentile(F.col(s).cast("double"), fractions).alias(s) for s in signals])
+        return direct.select(
+            F.struct(*[F.get(s, F.lit(i)).alias(f"{name}_{s}") for s in signals for i, name in enumerate(probs)])
+        )
     pairs = F.array(
         *[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("value")) for s in signals]
     )

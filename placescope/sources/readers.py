@@ -112,14 +112,18 @@ def read_grids(
 def read_piped(spark: SparkSession, glob: str, min_fields: int, positions: Mapping[str, int]) -> DataFrame:
     """Pipe-delimited quoted files with a header row each; rows with fewer fields are dropped."""
     names = [f"f{i}" for i in range(min_fields)]
-    schema = ", ".join(f"{n} string" for n in names)
-    df = spark.read.option("sep", "|").option("escape", '"').option("header", True).option(
-        "enforceSchema", True
-    ).option("mode", "PERMISSIVE").schema(schema + ", _corrupt string").option(
-        "columnNameOfCorruptRecord", "_corrupt"
-    ).csv(glob)
-    # A row shorter than the schema is a corrupt record in this reader; longer ones are too, but
-    # still carry all wanted fields.
+    schema = ", ".join(f"{n} string" for n in names) + ", _corrupt string"
+    # Without pruning the parser sees all fields of the schema and can tell a short row.
+    df = (
+        spark.read.option("sep", "|")
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("columnPruning", False)
+        .option("columnNameOfCorruptRecord", "_corrupt")
+        .schema(schema)
+        .csv(glob, header=True)
+    )
+    # Longer rows count as corrupt too, but still carry all wanted fields.
     whole = df.where(F.col("_corrupt").isNull() | F.col(names[-1]).isNotNull())
     return whole.select(*[F.col(f"f{i}").alias(n) for n, i in positions.items()])
 
