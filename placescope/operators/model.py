@@ -289,6 +289,8 @@ def _grow(sample_rows: int):
                 continue
             f = int(rng.choice(usable))
             cut = float(rng.uniform(lo[f], hi[f]))
+            if cut >= hi[f]:  # neighbouring floats: rounding may reach the upper end
+                cut = float(lo[f])
             left = part[:, f] <= cut
             out.append((tree, node, f, cut, float(depth)))
             todo += [(2 * node + 1, part[left], depth + 1), (2 * node + 2, part[~left], depth + 1)]

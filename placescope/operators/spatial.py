@@ -16,9 +16,11 @@ from placescope.functions.geo import cartesian, chord, haversine
 # Cells with more distinct places than this are split among several tasks.
 PLACES_PER_SPLIT = 20_000
 
-# Dyadic grid of the neighbour search: level l has cells of 0.5 * 2**l km. Coordinates are shifted
-# to be positive, so cells nest and the top level holds the whole globe in one cell.
-FINEST_KM, TOP_LEVEL, SHIFT_KM = 0.5, 16, 8_192.0
+# Dyadic grid of the neighbour search: level l has cells of FINEST_KM * 2**l km. Coordinates are
+# shifted to be positive, so cells nest and the top level holds the whole globe in one cell. With
+# coordinates of six decimals (11 cm) a finest cell of 16 m has room for about 21,000 places, which
+# bounds the work of a query in the densest spot.
+FINEST_KM, TOP_LEVEL, SHIFT_KM = 1 / 64, 21, 8_192.0
 
 
 def with_xyz(df: DataFrame, lat: str = "lat", lng: str = "lng") -> DataFrame:
@@ -94,7 +96,7 @@ def pairs_within(a: DataFrame, b: DataFrame, km: float, chord_km: str = "chord_k
     )
 
 
-def _levels(k: int) -> Column:
+def _levels() -> Column:
     """Cells of all levels a point lies in, as (level, x, y, z)."""
 
     def at(level: int) -> Column:
@@ -104,7 +106,7 @@ def _levels(k: int) -> Column:
             *[F.floor((F.col(f"_{c}") + SHIFT_KM) / F.lit(size)).alias(c) for c in ("x", "y", "z")],
         )
 
-    return F.array(*[at(level) for level in range(k, TOP_LEVEL + 1)])
+    return F.array(*[at(level) for level in range(TOP_LEVEL + 1)])
 
 
 def knn(
@@ -147,21 +149,22 @@ def knn(
         "_x", "_y", "_z",
     )
     q = with_xyz(queries.select(*by, query_key, "lat", "lng")).where("_x is not null")
-    r_cells = r.withColumn("_c", F.explode(_levels(0)))
+    r_cells = r.withColumn("_c", F.explode(_levels()))
     placed = r_cells.select(*by, "_c", "_rk", F.col("_x").alias("_bx"), F.col("_y").alias("_by"), F.col("_z").alias("_bz"))
-    counts = placed.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= need)
+    in_cell = W.partitionBy(*by, "_c").orderBy("_rk")
+    sample = (
+        placed.withColumn("_rn", F.row_number().over(in_cell)).where(F.col("_rn") <= 4 * need).drop("_rn")
+    )
+    # The sample is already grouped by cell, so telling the full cells needs no further shuffle.
+    full = sample.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= need)
     top = F.struct(F.lit(TOP_LEVEL).alias("level"), *[F.lit(0).cast("long").alias(c) for c in "xyz"])
     own = (
-        q.withColumn("_c", F.explode(_levels(0)))
-        .join(counts, [*by, "_c"])
+        q.withColumn("_c", F.explode(_levels()))
+        .join(full, [*by, "_c"])
         .groupBy(query_key, *by)
         .agg(F.min_by("_c", F.col("_c.level")).alias("_c"))
     )
     q_own = q.join(own, [query_key, *by], "left").withColumn("_c", F.coalesce("_c", top))
-    in_cell = W.partitionBy(*by, "_c").orderBy("_rk")
-    sample = (
-        placed.withColumn("_rn", F.row_number().over(in_cell)).where(F.col("_rn") <= 4 * need).drop("_rn")
-    )
     near = q_own.join(sample, [*by, "_c"]).select(query_key, F.sqrt(_squared("_b")).alias("_d"))
     to_kth = W.partitionBy(query_key).orderBy("_d")
     kth = (

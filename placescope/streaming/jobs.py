@@ -39,19 +39,31 @@ def _earlier(spark: SparkSession, base: str, batch: int, schema: StructType) ->
     return read.where(F.col("batch") < batch).drop("batch")
 
 
+# Up to this many distinct days of a batch the stored log is pruned to those days.
+PRUNE_DAYS = 1_000
+
+
 def ingest_log(stream: DataFrame, base: str, checkpoint: str, unique: Sequence[str], order: str) -> None:
     """Append events whose unique key is new, however late they arrive.
 
-    Each batch is one folder, so a replayed batch overwrites its own half-written output. Rows are
-    compared with the stored log by a plain anti-join: a watermark would forget old keys and drop
-    late events.
+    ``unique`` includes the timestamp ``ts``, so a repeat falls on the same day: the log is stored by
+    day and a batch is compared with its own days only. Each batch is one folder, so a replayed
+    batch overwrites its own half-written output. A watermark instead would forget old keys and
+    drop late events.
     """
+    if "ts" not in unique:
+        raise ValueError("the unique key must contain ts")
 
     def step(batch: DataFrame, number: int) -> None:
-        once = first_per_key(batch, list(unique), F.col(order)).select(*batch.columns)
-        known = _earlier(batch.sparkSession, base, number, batch.schema).select(*unique)
-        fresh = once.join(known, list(unique), "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{base}/batch={number}")
+        rows = batch.withColumn("day", F.to_date("ts")).persist()
+        days = [r["day"] for r in rows.select("day").distinct().limit(PRUNE_DAYS + 1).collect()]
+        known = _earlier(batch.sparkSession, base, number, rows.schema)
+        if len(days) <= PRUNE_DAYS:
+            known = known.where(F.col("day").isin(days))
+        once = first_per_key(rows, list(unique), F.col(order)).select(*rows.columns)
+        fresh = once.join(known.select(*unique), list(unique), "left_anti")
+        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{base}/batch={number}")
+        rows.unpersist()
 
     _batches(stream, checkpoint, step)
 
