@@ -211,34 +211,36 @@ def latest(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return representative(df, key, [F.col(at).desc(), F.col(tie).desc()])
 
 
+# Buckets of the value ranking: 32 coarse steps of 32 fine ones.
+RANK_STEP = 32
+
+
 def rank_of_values(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
-    """Count of rows whose value is at least this one, with no global window.
+    """Count of rows whose value is at least this one, with no window over all rows.
 
     Equal values collapse first. Their counts are then ranked in two levels: whole buckets above,
-    plus the values at or above inside the bucket. Buckets are cut at sketched quantiles, so each
-    holds a bounded share of the distinct values.
+    plus the values at or above inside the bucket. Buckets are cut at 1,023 sketched quantiles of
+    the distinct values, so each holds about a thousandth of them.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    steps = [i / 64 for i in range(1, 64)]
-    cuts = counts.agg(
-        F.percentile_approx(value, F.array(*[F.lit(s) for s in steps]), F.lit(1000))
-    ).scalar()
+    n = RANK_STEP * RANK_STEP
+    fractions = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = counts.agg(F.percentile_approx(value, fractions, F.lit(10_000))).scalar()
     below = lambda acc, c: acc + (c < F.col(value)).cast("int")
+    coarse = F.transform(
+        F.sequence(F.lit(RANK_STEP), F.lit(n - RANK_STEP), F.lit(RANK_STEP)),
+        lambda i: F.element_at("_cuts", i),
+    )
+    fine = F.slice("_cuts", F.col("_a") * RANK_STEP + 1, F.lit(RANK_STEP - 1))
     bucketed = (
         counts.withColumn("_cuts", cuts)
-        .withColumn("_b", F.aggregate("_cuts", F.lit(0), below))
-        .drop("_cuts")
+        .withColumn("_a", F.aggregate(coarse, F.lit(0), below))
+        .withColumn("_b", F.col("_a") * RANK_STEP + F.aggregate(fine, F.lit(0), below))
+        .drop("_cuts", "_a")
     )
     totals = bucketed.groupBy("_b").agg(F.sum("_c").alias("_t"))
-    above = totals.withColumn(
-        "_above",
-        F.coalesce(
-            F.sum("_t").over(
-                W.orderBy(F.col("_b").desc()).rowsBetween(W.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    ).select("_b", "_above")
+    higher = W.orderBy(F.col("_b").desc()).rowsBetween(W.unboundedPreceding, -1)
+    above = totals.select("_b", F.coalesce(F.sum("_t").over(higher), F.lit(0)).alias("_above"))
     inside = W.partitionBy("_b").orderBy(F.col(value).desc()).rowsBetween(W.unboundedPreceding, 0)
     ranked = (
         bucketed.withColumn("_in", F.sum("_c").over(inside))

@@ -381,7 +381,20 @@ def fn14(spark, sf):
     return harvest.region_rows(docs, "text", ["doc"]).join(years, "doc")
 
 
-@CATALOG.query("fn14_codes_in_documents")
+def _document_sql() -> str:
+    quoted = lambda p: p.replace("'", "''")
+    year = " , ".join(f"nullif(trim(regexp_extract(text, '{quoted(p)}', 1)), '')" for p in (fixed.YEAR_LABEL_PATTERN, fixed.YEAR_PATTERN))
+    whens = " ".join(
+        "WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{c}'"
+        for c, words in fixed.OFFICE_CLASSES
+    )
+    return (
+        f"SELECT doc_id, coalesce({year}, '') AS year, CAST(len(regexp_extract_all(text, '\\b([1-9]\\d{{5}})\\b', 1)) AS INTEGER) AS n_codes, "
+        f"CASE {whens} ELSE '' END AS class FROM documents"
+    )
+
+
+@CATALOG.query("fn14_codes_in_documents", _document_sql())
 def fn14_documents(spark, sf):
     """Whole texts of all documents searched for years, codes and keyword classes."""
     d = roles.table(spark, sf, "documents")

@@ -74,6 +74,9 @@ def test_rank_of_values_with_ties(spark):
     pdf = stats.rank_of_values(df, "v").toPandas()
     want = pdf["v"].rank(method="max", ascending=False).astype(int)
     assert (pdf["rank"] == want).all()
+    distinct = spark.range(20_000).select(((F.col("id") * 7919) % 20011).cast("double").alias("v"))
+    pdf = stats.rank_of_values(distinct, "v").toPandas()
+    assert (pdf["rank"] == pdf["v"].rank(method="max", ascending=False).astype(int)).all()
 
 
 def test_composite_renormalises_weights_and_skips_empty_rows(spark):
