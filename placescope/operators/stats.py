@@ -235,7 +235,8 @@ def rank_of_values(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     bucketed = (
         counts.withColumn("_cuts", cuts)
         .withColumn("_a", F.aggregate(coarse, F.lit(0), below))
-        .withColumn("_b", F.col("_a") * RANK_STEP + F.aggregate(fine, F.lit(0), below))
+        # Never null, so that no null filter on the bucket is pushed below the grouping.
+        .withColumn("_b", F.coalesce(F.col("_a") * RANK_STEP + F.aggregate(fine, F.lit(0), below), F.lit(0)))
         .drop("_cuts", "_a")
     )
     totals = bucketed.groupBy("_b").agg(F.sum("_c").alias("_t"))
