@@ -77,6 +77,18 @@ class DigestIndex:
             "doc_id", "keep_id", "group_size", ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256"
         )
 
+    def new_rows(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Ingest ``docs`` and return its rows that stay, all columns unchanged.
+
+        Of rows that share the id as well as the normalised text any one stays.
+        """
+        kept = self.ingest(docs, id_col, text_col).filter("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.col("text_sha256").alias("_sha"))
+        own = docs.withColumns({
+            "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_no_id": F.col(id_col).isNull(), "_sha": F.sha2(normalised(F.col(text_col).cast("string")).cast("binary"), 256),
+        })
+        keys = ["_sha", "_id", "_no_id"]
+        return own.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+
 
 ORACLE = r"""
 WITH t AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from placescope.llm import bpe, exact_dedup, packing, quality, warc
+from placescope.llm import bpe, exact_dedup, language_id, license_scan, minhash, packing, quality, suffix_dedup, toxicity, warc
 from placescope.plans.catalog import Catalog
 
 CATALOG = Catalog()
@@ -20,11 +20,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@CATALOG.query("op2_minhash_near_dedup", minhash.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 @CATALOG.query("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@CATALOG.query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(documents(spark, sf_dir))
+
+
 @CATALOG.query("op5_quality_rules", quality.ORACLE)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(documents(spark, sf_dir)).drop("rejected_by")
@@ -36,6 +46,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(warc.read_archives(archives))
 
 
+@CATALOG.query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @CATALOG.query("op8_exact_dedup", exact_dedup.ORACLE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.DigestIndex(spark).ingest(documents(spark, sf_dir))
+
+
+@CATALOG.query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_prediction(documents(spark, sf_dir))
+
+
+@CATALOG.query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
