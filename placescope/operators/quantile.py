@@ -2,8 +2,8 @@
 
 ``percentile`` keeps a count per distinct value of a group in one aggregation buffer, which a
 hot group of continuous values can blow up. Here a bounded sketch first brackets the wanted
-ranks, values below the bracket collapse to one count before the shuffle, and only the few
-values inside the bracket are ranked. The result equals ``percentile`` exactly.
+ranks; values outside the bracket collapse to a count and the nearest of them before the shuffle,
+and only the few values inside are ranked. The same steps run at every size.
 """
 
 from __future__ import annotations
@@ -13,11 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SKETCH_ACCURACY = 10_000
-# A group up to this size is ranked whole; above it the rank error of the sketch spans at
-# least 20 rows, so a margin of two errors covers every off-by-one of rank rounding.
-WHOLE_GROUP_ROWS = 20 * SKETCH_ACCURACY
-
-_LOWEST = float("-inf")
+_LOWEST, _HIGHEST = float("-inf"), float("inf")
 
 
 def _brackets(value: Column, probs: Sequence[float]) -> Column:
@@ -35,6 +31,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group: ``keys`` plus one double column per entry of ``probs``.
 
+    The bracket reaches two rank errors of the sketch to either side, the nearest values outside it one
+    row further, which covers the rounding of ranks in groups of any size.
+
     ``keys`` may be empty for one global row. Null values are ignored; a group with no value is
     absent from the result. ``registered_keys`` states that the keys come from a registry of
     signals, whose length bounds the sketch table, so that the rows need no shuffle to meet it.
@@ -53,30 +52,19 @@ def exact_quantiles(
         one = rows.withColumn("_one", sketch.select(F.struct("_n", "_cuts")).scalar())
         bracketed = one.select("_v", "_one._n", "_one._cuts")
         n, cuts = F.col("_n"), F.col("_cuts")
-    whole = n <= WHOLE_GROUP_ROWS
     targets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("target"),
-                F.when(whole, F.lit(_LOWEST)).otherwise(cuts[2 * i]).alias("lo"),
-                F.when(whole, F.lit(float("inf"))).otherwise(cuts[2 * i + 1]).alias("hi"),
-            )
-            for i in range(len(names))
-        ]
+        *[F.struct(F.lit(i).alias("target"), cuts[2 * i].alias("lo"), cuts[2 * i + 1].alias("hi")) for i in range(len(names))]
     )
+    v, lo, hi = F.col("_v"), F.col("_t.lo"), F.col("_t.hi")
+    place = F.when(v < lo, F.lit(_LOWEST)).when(v > hi, F.lit(_HIGHEST)).otherwise(v)
     counted = (
         bracketed.select(*keys, "_v", "_n", F.explode(targets).alias("_t"))
-        .where(F.col("_v") <= F.col("_t.hi"))
-        .select(
-            *keys,
-            "_n",
-            F.col("_t.target").alias("_target"),
-            F.when(F.col("_v") < F.col("_t.lo"), F.lit(_LOWEST)).otherwise(F.col("_v")).alias("_v"),
-        )
-        .groupBy(*keys, "_target", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+        .select(*keys, "_n", "_v", F.col("_t.target").alias("_target"), place.alias("_place"))
+        .groupBy(*keys, "_target", "_place")
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        .withColumn("_v", F.when(F.col("_place") == _LOWEST, F.col("_most")).otherwise(F.col("_least")))
     )
-    running = W.partitionBy(*keys, "_target").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    running = W.partitionBy(*keys, "_target").orderBy("_place", "_v").rowsBetween(W.unboundedPreceding, 0)
     fraction = F.element_at(F.array(*[F.lit(p) for p in fractions]), F.col("_target") + 1)
     position = fraction * (F.col("_n") - 1)
     ranked = counted.withColumn("_cum", F.sum("_c").over(running)).withColumn("_pos", position)

@@ -43,17 +43,7 @@ def to_wide(long: DataFrame, key: str, signals: Sequence[str], value: str = "val
 
 
 def signal_quantiles(df: DataFrame, signals: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
-    """One row with one struct: the exact quantile ``<name>_<signal>`` of every signal.
-
-    A table small enough for one aggregation buffer uses the built-in exact percentile; its size is
-    checked first. Beyond that the bracketing operator takes over, with the same result.
-    """
-    if df.count() <= quantile.WHOLE_GROUP_ROWS:
-        fractions = F.array(*[F.lit(p) for p in probs.values()])
-        direct = df.agg(*[F.percentile(F.col(s).cast("double"), fractions).alias(s) for s in signals])
-        return direct.select(
-            F.struct(*[F.get(s, F.lit(i)).alias(f"{name}_{s}") for s in signals for i, name in enumerate(probs)])
-        )
+    """One row with one struct: the exact quantile ``<name>_<signal>`` of every signal."""
     pairs = F.array(
         *[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("value")) for s in signals]
     )

@@ -25,24 +25,23 @@ def check_quantiles(spark, df):
     assert overall == pytest.approx(pdf["v"].quantile(0.95), abs=1e-9)
 
 
-def test_exact_quantiles_ranked_whole(spark):
+def test_exact_quantiles_of_groups(spark):
     check_quantiles(spark, hot_groups(spark))
 
 
-def test_exact_quantiles_by_brackets(spark, monkeypatch):
-    # A coarse sketch and no whole-group path force the bracket logic on every group.
+def test_exact_quantiles_with_a_coarse_sketch(spark, monkeypatch):
+    # A coarse sketch makes the bracket cut most values off in every group.
     monkeypatch.setattr(quantile, "SKETCH_ACCURACY", 100)
-    monkeypatch.setattr(quantile, "WHOLE_GROUP_ROWS", 0)
     check_quantiles(spark, hot_groups(spark, 60_000))
 
 
-def test_signal_quantiles_agree_on_both_paths(spark, monkeypatch):
-    df = spark.range(3000).select(((F.col("id") * 37) % 1009).cast("double").alias("a"), F.when(F.col("id") % 2 == 0, F.col("id") * 1.0).alias("b"))
-    probs = {"lo": 0.02, "hi": 0.98}
-    small = stats.signal_quantiles(df, ["a", "b"], probs).first()[0]
-    monkeypatch.setattr(quantile, "WHOLE_GROUP_ROWS", 20)
-    large = stats.signal_quantiles(df, ["a", "b"], probs).first()[0]
-    assert small.asDict() == pytest.approx(large.asDict())
+def test_exact_quantiles_of_groups_of_every_small_size(spark):
+    rows = [(n, float((k * 37) % 101) + k / 7) for n in range(1, 41) for k in range(n)]
+    probs = {"a": 0.0, "b": 0.01, "c": 0.02, "d": 0.37, "e": 0.5, "f": 0.98, "g": 0.99, "h": 1.0}
+    got = quantile.exact_quantiles(spark.createDataFrame(rows, "n int, v double"), ["n"], "v", probs).toPandas().set_index("n")
+    for n in range(1, 41):
+        want = [np.quantile([v for m, v in rows if m == n], q) for q in probs.values()]
+        assert list(got.loc[n, list(probs)]) == pytest.approx(want)
 
 
 def test_winsor_z_of_constant_and_null(spark):
