@@ -157,20 +157,24 @@ def permutation_importance(
 ) -> DataFrame:
     """Rise of the squared error when one feature comes from a random other row, normalised to 1.
 
-    Rows are dealt to buckets by hash and each gets a donor row of its bucket by a second hash
-    order, which is a random permutation without a global sort. All features are scored in one
-    pass; falls count as 0.
+    All rows stand in the order of a hash of their key and each takes the features of the next one,
+    the last those of the first: a random permutation of the whole table. Stretches of that order
+    are dealt to tasks with the first row of the next stretch, so their number changes nothing.
+    All features are scored in one pass; falls count as 0.
     """
     n = df.count()
-    buckets = max(1, n // rows_per_bucket)
-    rows = df.select(key, "target", F.array(*features).alias("_x")).withColumn(
-        "_b", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(buckets))
+    stretches = max(1, n // rows_per_bucket)
+    rows = df.select(key, "target", F.array(*features).alias("_x"), F.xxhash64(key, F.lit(1)).alias("_h"))
+    width = F.lit(float(2**64) / stretches)
+    rows = rows.withColumn("_b", F.least(F.floor((F.col("_h").cast("double") + 2.0**63) / width), F.lit(stretches - 1)))
+    order = W.partitionBy("_b").orderBy("_h", key)
+    firsts = rows.groupBy("_b").agg(F.min_by("_x", F.struct("_h", key)).alias("_f"))
+    # One row per stretch: the first features of the next stretch that has rows, wrapping around.
+    following = W.orderBy("_b")
+    heads = firsts.select(
+        "_b", F.coalesce(F.lead("_f").over(following), F.first("_f").over(following.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_f")
     )
-    by_key = rows.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(key)))
-    donors = rows.withColumn(
-        "_r", F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(2)), key))
-    ).select("_b", "_r", F.col("_x").alias("_d"))
-    paired = by_key.join(donors, ["_b", "_r"])
+    paired = rows.withColumn("_next", F.lead("_x").over(order)).join(heads, "_b").withColumn("_d", F.coalesce("_next", "_f"))
     swapped = [F.struct(F.lit("").alias("feature"), F.col("_x").alias("x"))]
     for i, f in enumerate(features):
         mixed = F.array(*[F.col("_d")[j] if j == i else F.col("_x")[j] for j in range(len(features))])
@@ -304,13 +308,18 @@ def isolation_scores(
 ) -> DataFrame:
     """Isolation-forest score per row and a flag for the top share.
 
-    Trees see at most ``sample_rows`` rows each, drawn from a common sample whose size depends on
-    the parameters only, so the collected nodes have a fixed size limit. All rows are scored.
+    Each tree draws its own ``sample_rows`` rows from the whole table: those whose hash of key and
+    tree is smallest. Rows far from any tree's limit drop out before the shuffle, which so moves about
+    eight times the samples. The collected nodes depend on the parameters only. All rows are scored.
     """
     x = F.array(*[F.col(f).cast("double") for f in features])
-    order = F.xxhash64(key, F.lit(42))
-    sample = df.select(x.alias("x"), order.alias("order")).orderBy("order").limit(trees * sample_rows)
-    dealt = sample.select("x", "order", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    seen = df.count()
+    limit = min(2**63 - 1, int(8 * sample_rows / max(seen, 1) * 2.0**63))
+    draw = lambda t: F.xxhash64(key, t).bitwiseAND(F.lit(2**63 - 1))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) <= limit)
+    dealt = df.select(key, x.alias("x"), F.explode(drawn).alias("tree")).select("x", "tree", draw(F.col("tree")).alias("order"))
+    place = F.row_number().over(W.partitionBy("tree").orderBy("order"))
+    dealt = dealt.withColumn("_place", place).where(F.col("_place") <= sample_rows).drop("_place")
     nodes = dealt.groupBy("tree").applyInPandas(_grow(sample_rows), _NODE_SCHEMA).collect()
     size = max((r["node"] for r in nodes), default=0) + 1
     feature = np.full((trees, size), -1, dtype=np.int32)
@@ -318,7 +327,6 @@ def isolation_scores(
     for r in nodes:
         feature[r["tree"], r["node"]] = r["feature"]
         cut[r["tree"], r["node"]], depth[r["tree"], r["node"]] = r["cut"], r["depth"]
-    seen = df.count()
     norm = _path_normaliser(min(sample_rows, seen)) or 1.0
     forest = df.sparkSession.sparkContext.broadcast((feature, cut, depth))
 

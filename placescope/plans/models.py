@@ -14,9 +14,6 @@ from placescope.session import materialize
 
 CATALOG = Catalog()
 
-# Small tree counts keep the checks quick; 200 is the default of the library.
-TREE_ITERATIONS = 8
-
 MATRIX_SQL = (
     LONG_SQL
     + """, b AS (SELECT signal, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM long GROUP BY 1),
@@ -91,7 +88,7 @@ def ml1(spark, sf):
 
 @CATALOG.query("ml2_boosted_trees")
 def ml2(spark, sf):
-    z, _ = model.boosted_trees(with_target(spark, sf, matrix(spark, sf)), "entity", SIGNALS, TREE_ITERATIONS)
+    z, _ = model.boosted_trees(with_target(spark, sf, matrix(spark, sf)), "entity", SIGNALS)
     return z.withColumn("z_trees", F.round("z_trees", 6))
 
 
@@ -100,7 +97,7 @@ def ml3(spark, sf):
     """Held-out errors: k folds for the trees, exact leave-one-out for ridge."""
     m = with_target(spark, sf, matrix(spark, sf))
     figures = [
-        ("trees_cv_rmse", model.cross_validated_rmse(m, "entity", SIGNALS, folds=3, iterations=4)),
+        ("trees_cv_rmse", model.cross_validated_rmse(m, "entity", SIGNALS)),
         ("ridge_loo_rmse", model.ridge_loo_rmse(m, SIGNALS)),
     ]
     return spark.createDataFrame([(n, round(v, 6)) for n, v in figures], "figure string, rmse double")
@@ -109,7 +106,7 @@ def ml3(spark, sf):
 @CATALOG.query("ml4_permutation_importance")
 def ml4(spark, sf):
     m = with_target(spark, sf, matrix(spark, sf))
-    _, trees = model.boosted_trees(m, "entity", SIGNALS, TREE_ITERATIONS)
+    _, trees = model.boosted_trees(m, "entity", SIGNALS)
     return model.permutation_importance(trees, m, "entity", SIGNALS)
 
 
@@ -197,7 +194,7 @@ def ml14(spark, sf):
     """Signals to refitted scores, committed as a table version that keeps rows added meanwhile."""
     return refit.run(
         roles.signals(spark, sf), "entity", SIGNALS, ("urgent", "bulk"), rate="balance", regional="bulk",
-        min_size=10, tree_iterations=4, forest_trees=50,
+        min_size=10,
     ).scores
 
 
@@ -205,7 +202,7 @@ def ml14(spark, sf):
 def snk11(spark, sf):
     return refit.run(
         roles.signals(spark, sf), "entity", SIGNALS, ("urgent", "bulk"), rate="balance", regional="bulk",
-        min_size=10, tree_iterations=4, forest_trees=50,
+        min_size=10,
     ).diagnostics
 
 
