@@ -143,9 +143,10 @@ def display_name(group: Column, region: Column, key: Column) -> Column:
     )
 
 
-def synthetic_key(*parts: Column) -> Column:
-    """Stable key for a keyless point: D and six digits from a content hash."""
-    return F.concat(F.lit("D"), (F.pmod(F.xxhash64(*parts), F.lit(900000)) + 100000).cast("string"))
+def synthetic_key(name: Column, lat: Column, lng: Column) -> Column:
+    """Stable key for a keyless point: D and all 128 bits of a hash of name and micro-degrees."""
+    micro = lambda v: F.round(v * 1_000_000).cast("bigint").cast("string")
+    return F.concat(F.lit("D"), F.md5(F.concat_ws("|", name, micro(lat), micro(lng)).cast("binary")))
 
 
 def fix_band(band: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from placescope.functions import fixed_values as fixed
 from placescope.functions.names import aliased
+from placescope.operators.components import components
 from placescope.session import materialize
 
 
@@ -98,16 +99,17 @@ def tiered(base: DataFrame, key: str, tiers: Sequence[tuple[DataFrame, str, str]
     return base.withColumn(out, F.coalesce(*picks)).drop(*[f"_t{i}" for i in range(len(tiers))])
 
 
-def keyword_lookup(texts: DataFrame, text: str, key: str, words: DataFrame, word: str, order: str) -> DataFrame:
-    """First listed keyword contained in each text; null where none is.
+def keyword_lookup(texts: DataFrame, text: str, words: Sequence[str], out: str) -> DataFrame:
+    """First listed keyword that each text contains, also inside a word; null where none is.
 
-    The keyword list is a parameter table. Texts are split in tokens and joined by equality when
-    the words are single tokens, which is what the callers use.
+    Texts and keywords are compared in lower case. The list is a parameter and becomes one row-local
+    expression: nothing is shuffled.
     """
-    tokens = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"))).alias(word))
-    hits = tokens.join(words, word)
-    first = hits.groupBy(key).agg(F.min_by(F.struct(*[c for c in words.columns]), F.col(order)).alias("_p"))
-    return texts.join(first.select(key, "_p.*"), key, "left")
+    low = F.lower(F.col(text))
+    found = F.lit(None).cast("string")
+    for word in reversed(words):
+        found = F.when(low.contains(word.lower()), F.lit(word)).otherwise(found)
+    return texts.withColumn(out, found)
 
 
 def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -120,31 +122,29 @@ name_ratio = F.pandas_udf(_ratios, DoubleType())
 
 
 def one_to_one(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Keep pairs that are each other's best, repeated on what is left until no pair remains.
+    """Best pairs first, each name used once; ties go by left, then right name.
 
-    Each round settles at least the best open pair. The open pairs are written between rounds, so
-    similarities are computed once and the plan stays flat.
+    Names that hang together by pairs form a component, and components do not touch one another, so
+    each is settled on its own in one grouped step. Above a high cutoff they hold a few spellings of
+    one name. The number of jobs grows with the logarithm of the longest chain of names.
     """
-    open_pairs = materialize(pairs, "open-pairs")
-    settled = open_pairs.limit(0)
-    while not open_pairs.isEmpty():
-        best_l = open_pairs.groupBy(left).agg(
-            F.min_by(right, F.struct(-F.col("ratio"), F.col(right))).alias(right)
-        )
-        best_r = open_pairs.groupBy(right).agg(
-            F.min_by(left, F.struct(-F.col("ratio"), F.col(left))).alias(left)
-        )
-        mutual = materialize(
-            best_l.join(best_r, [left, right]).join(open_pairs, [left, right]), "settled-pairs"
-        ).select(*open_pairs.columns)
-        settled = settled.unionByName(mutual)
-        open_pairs = materialize(
-            open_pairs.join(mutual.select(left), left, "left_anti").join(
-                mutual.select(right), right, "left_anti"
-            ),
-            "open-pairs",
-        )
-    return settled
+    pairs = materialize(pairs, "open-pairs")
+    links = pairs.select(F.concat(F.lit("l"), left).alias("a"), F.concat(F.lit("r"), right).alias("b"))
+    labels = components(links).select(F.col("node").alias("_node"), "label")
+    labelled = pairs.join(labels, F.concat(F.lit("l"), left) == F.col("_node")).drop("_node")
+
+    columns = list(pairs.columns)
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        used_left, used_right, keep = set(), set(), []
+        for at, l, r in group.sort_values(["ratio", left, right], ascending=[False, True, True])[[left, right]].itertuples(name=None):
+            if l not in used_left and r not in used_right:
+                used_left.add(l)
+                used_right.add(r)
+                keep.append(at)
+        return group.loc[keep, columns]
+
+    return labelled.groupBy("label").applyInPandas(settle, pairs.schema)
 
 
 def match_names(
@@ -229,6 +229,9 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, cutoff: float) -> DataFr
     )
     near = F.greatest("_la", "_lb") <= F.least("_la", "_lb") * F.lit(reach) + 1e-9
     pairs = left.join(right, ["piece", "at"]).where(near).select("left_name", "right_name").distinct()
+    # The ratio leaves (1 - c)(la + lb) characters unmatched at most, and so many edits suffice.
+    total = F.length("left_name") + F.length("right_name")
+    pairs = pairs.where(F.levenshtein("left_name", "right_name") <= F.lit(1 - cutoff) * total + 1e-9)
     return pairs.withColumn("ratio", name_ratio("left_name", "right_name")).where(
         F.col("ratio") >= cutoff
     )

@@ -279,7 +279,10 @@ def fn10(spark, sf):
     )
 
 
-@CATALOG.query("fn23_synthetic_key")
+@CATALOG.query(
+    "fn23_synthetic_key",
+    f"""WITH {ENTITY_SQL} SELECT entity, 'D' || md5(name || '|' || CAST(round(lat * 1000000) AS BIGINT) || '|' || CAST(round(lng * 1000000) AS BIGINT)) AS new_key FROM entities""",
+)
 def fn23(spark, sf):
     e = roles.entities(spark, sf)
     return e.select("entity", names.synthetic_key(F.col("name"), F.col("lat"), F.col("lng")).alias("new_key"))
@@ -521,7 +524,8 @@ def jn7(spark, sf):
     return joins.prefer_first(c, s, "key", ("name", "balance"), ("balance",)).orderBy("key")
 
 
-LISTED_WORDS = ("widget", "ring", "gear", "bolt", "red", "small")
+# "idge" stands inside a word, the next two span words.
+LISTED_WORDS = ("small bolt", "red gear", "idge", "ring", "gear", "bolt", "red", "small")
 
 
 @CATALOG.query(
@@ -531,8 +535,7 @@ LISTED_WORDS = ("widget", "ring", "gear", "bolt", "red", "small")
 )
 def jn11(spark, sf):
     p = roles.table(spark, sf, "part").select("p_partkey", "p_name")
-    words = spark.createDataFrame([(w, i) for i, w in enumerate(LISTED_WORDS)], "word string, seq int")
-    return joins.keyword_lookup(p, "p_name", "p_partkey", words, "word", "seq").select("p_partkey", "word")
+    return joins.keyword_lookup(p, "p_name", LISTED_WORDS, "word").select("p_partkey", "word")
 
 
 def misspelled(name, key):

@@ -164,3 +164,26 @@ def test_growth_weights_match_published_figures(spark):
     df = spark.createDataFrame([(r[0], float(r[1]), float(r[2])) for r in rows], "name string, base double, latest double")
     got = {r["name"]: (r["growth_pct"], r["weight"]) for r in growth_table(df).collect()}
     assert got == {r[0]: (float(r[3]), float(r[4])) for r in rows}
+
+
+def test_keywords_inside_words_and_of_two_words(spark):
+    texts = spark.createDataFrame([(1, "BengaluruUrban zone"), (2, "navi mumbai east"), (3, "mumbai"), (4, None), (5, "nothing")], "k int, t string")
+    found = {r.k: r.word for r in joins.keyword_lookup(texts, "t", ["navi mumbai", "bengaluru", "mumbai"], "word").collect()}
+    assert found == {1: "bengaluru", 2: "navi mumbai", 3: "mumbai", 4: None, 5: None}
+
+
+def test_one_to_one_settles_a_long_chain_in_order(spark):
+    chain = [(f"l{k:03}", f"r{k:03}", 0.9 + k / 10_000) for k in range(120)] + [(f"l{k:03}", f"r{k + 1:03}", 0.9 + k / 10_000 + 0.00005) for k in range(119)]
+    got = {(r["left"], r["right"]) for r in joins.one_to_one(spark.createDataFrame(chain, "left string, right string, ratio double"), "left", "right").collect()}
+    want, lefts, rights = set(), set(), set()
+    for a, b, _ in sorted(chain, key=lambda p: (-p[2], p[0], p[1])):
+        if a not in lefts and b not in rights:
+            want.add((a, b))
+            lefts.add(a)
+            rights.add(b)
+    assert got == want
+
+
+def test_synthetic_keys_do_not_collide(spark):
+    many = spark.range(100_000).select(names.synthetic_key(F.col("id").cast("string"), F.lit(1.5), F.lit(2.5)).alias("k"))
+    assert many.distinct().count() == 100_000
