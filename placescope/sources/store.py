@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -29,19 +30,44 @@ def read_current(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(f"{base}/v{versions[-1]:06d}") if versions else None
 
 
+class VersionTaken(RuntimeError):
+    """Another writer has claimed the next version; read again and redo the change."""
+
+
+def _claim(spark: SparkSession, path: str) -> None:
+    """Create the claim file of a version folder, which only one writer can do."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_claim")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(hadoop):
+        raise VersionTaken(f"{path} is claimed; if its writer is dead, remove the folder")
+
+
 def commit(df: DataFrame, base: str) -> DataFrame:
     """Write ``df`` as the next version and return it as read back.
 
     A plan that reads the current version can be committed safely: it writes to a new folder, and
-    a failed write leaves no success marker, so readers stay on the old version.
+    a failed write leaves no success marker, so readers stay on the old version. Of two writers that
+    start from the same version one gets ``VersionTaken``; see ``update``.
     """
     spark = df.sparkSession
     versions = _versions(spark, base)
     path = f"{base}/v{(versions[-1] if versions else 0) + 1:06d}"
-    df.write.mode("overwrite").parquet(path)
+    _claim(spark, path)
+    df.write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
+def update(spark: SparkSession, base: str, change: Callable[[DataFrame | None], DataFrame], tries: int = 5) -> DataFrame:
+    """Commit ``change`` of the current version, again from the newer one if another writer was first."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return commit(change(read_current(spark, base)), base)
+        except VersionTaken:
+            if not left:
+                raise
+            time.sleep(1)
+    raise ValueError("tries must be positive")
+
+
 def export_csv(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[Column]) -> None:
     """Sorted CSV parts with a header and a fixed column order; part order is row order."""
     df.select(*columns).orderBy(*order).write.mode("overwrite").option("header", True).csv(path)

@@ -6,6 +6,7 @@ rerun continues from the checkpoint.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,38 +32,51 @@ def _batches(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int]
     _run(stream.writeStream.outputMode(mode).foreachBatch(step), checkpoint)
 
 
-def _earlier(spark: SparkSession, base: str, batch: int, schema: StructType) -> DataFrame:
-    """Rows written by batches before this one; the batch's own output of a failed try is not seen."""
-    if not store.path_exists(spark, f"{base}/batch=*"):
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """Name of the run that a checkpoint belongs to, kept beside it: a fresh checkpoint is a new run.
+
+    Batch numbers start anew with a fresh checkpoint; the run keeps its batches apart from stored ones.
+    """
+    path = f"{checkpoint}-run"
+    if not store.path_exists(spark, f"{path}/_SUCCESS"):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "run string").write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).first()["run"]
+
+
+def _earlier(spark: SparkSession, base: str, run: str, batch: int, schema: StructType) -> DataFrame:
+    """Rows written before this batch; its own output of a failed try is not seen."""
+    if not store.path_exists(spark, f"{base}/*=*"):
         return spark.createDataFrame([], schema)
-    read = spark.read.schema(StructType(list(schema.fields)).add("batch", "long")).parquet(base)
-    return read.where(F.col("batch") < batch).drop("batch")
+    read = spark.read.schema(StructType(list(schema.fields)).add("run", "string").add("batch", "long")).parquet(base)
+    return read.where(~((F.col("run") == run) & (F.col("batch") >= batch))).drop("run", "batch")
 
 
-# Up to this many distinct days of a batch the stored log is pruned to those days.
-PRUNE_DAYS = 1_000
+def _store(rows: DataFrame, base: str, run: str, batch: int, by: Sequence[str] = ()) -> None:
+    """Write a batch to folders of its own; a replay replaces exactly these."""
+    named = rows.withColumns({"run": F.lit(run), "batch": F.lit(batch).cast("long")})
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "run", "batch").parquet(base)
 
 
 def ingest_log(stream: DataFrame, base: str, checkpoint: str, unique: Sequence[str], order: str) -> None:
     """Append events whose unique key is new, however late they arrive.
 
     ``unique`` includes the timestamp ``ts``, so a repeat falls on the same day: the log is stored by
-    day and a batch is compared with its own days only. Each batch is one folder, so a replayed
-    batch overwrites its own half-written output. A watermark instead would forget old keys and
-    drop late events.
+    day first and a batch is compared with the days between its first and last one. Below a day each
+    run and batch has a folder, so a replayed batch overwrites its own half-written output. A
+    watermark instead would forget old keys and drop late events.
     """
     if "ts" not in unique:
         raise ValueError("the unique key must contain ts")
 
+    run = _run_id(stream.sparkSession, checkpoint)
+
     def step(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("day", F.to_date("ts")).persist()
-        days = [r["day"] for r in rows.select("day").distinct().limit(PRUNE_DAYS + 1).collect()]
-        known = _earlier(batch.sparkSession, base, number, rows.schema)
-        if len(days) <= PRUNE_DAYS:
-            known = known.where(F.col("day").isin(days))
+        first, last = rows.agg(F.min("day"), F.max("day")).first()
+        known = _earlier(batch.sparkSession, base, run, number, rows.schema).where(F.col("day").between(F.lit(first), F.lit(last)))
         once = first_per_key(rows, list(unique), F.col(order)).select(*rows.columns)
         fresh = once.join(known.select(*unique), list(unique), "left_anti")
-        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{base}/batch={number}")
+        _store(fresh, base, run, number, ["day"])
         rows.unpersist()
 
     _batches(stream, checkpoint, step)
@@ -88,16 +102,17 @@ def enrich(
     k: int = 5,
 ) -> None:
     """Score each new keyed point once from its nearest trusted points; the first write wins."""
+    run = _run_id(stream.sparkSession, checkpoint)
 
     def step(batch: DataFrame, number: int) -> None:
         points = batch.select(key, "lat", "lng")
         points = first_per_key(points, [key], F.struct("lat", "lng"))
         schema = StructType([points.schema[key]])
-        known = _earlier(batch.sparkSession, base, number, schema)
+        known = _earlier(batch.sparkSession, base, run, number, schema)
         new = points.join(known, key, "left_anti")
         near = spatial.knn(new, trusted, key, ref_key, k, list(values))
         scored = new.join(spatial.idw(near, key, list(values)), key)
-        scored.write.mode("overwrite").parquet(f"{base}/batch={number}")
+        _store(scored, base, run, number)
 
     _batches(stream, checkpoint, step)
 

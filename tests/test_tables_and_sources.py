@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -139,3 +140,31 @@ def test_log_stream_replays_add_nothing(spark, tmp_path):
     run()
     run()
     assert rows(spark.read.parquet(base), "id") == [(1,), (2,), (3,)]
+
+
+def test_fresh_checkpoint_over_a_stored_log(spark, tmp_path):
+    land, base = str(tmp_path / "land"), str(tmp_path / "log")
+    days = spark.range(6).select(F.col("id").cast("int"), F.expr("timestamp'2026-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 3 AS int))").alias("ts"), F.lit("a").alias("s"))
+    days.withColumn("s", F.col("id").cast("string")).write.parquet(land)
+    schema = spark.read.parquet(land).schema
+    for check in ("one", "two"):
+        jobs.ingest_log(jobs.read_log(spark, land, schema), base, str(tmp_path / check), ["ts", "s"], "id")
+    more = days.select((F.col("id") + 10).alias("id"), "ts", F.lit("new").alias("s")).limit(1)
+    more.write.mode("append").parquet(land)
+    jobs.ingest_log(jobs.read_log(spark, land, schema), base, str(tmp_path / "three"), ["ts", "s"], "id")
+    assert sorted(r.id for r in jobs.stored(spark, base).collect())[:6] == [0, 1, 2, 3, 4, 5]
+    assert jobs.stored(spark, base).count() == 7
+
+
+def test_commit_refuses_a_taken_version(spark, tmp_path):
+    base = str(tmp_path / "t")
+    one = spark.createDataFrame([(1,)], "k int")
+    store.commit(one, base)
+    store._claim(spark, f"{base}/v000002")
+    with pytest.raises(store.VersionTaken):
+        store.commit(one, base)
+    assert store.read_current(spark, base).count() == 1
+    other = str(tmp_path / "u")
+    for k in range(3):
+        store.update(spark, other, lambda now, k=k: spark.createDataFrame([(k,)], "k int") if now is None else now.union(spark.createDataFrame([(k,)], "k int")))
+    assert rows(store.read_current(spark, other), "k") == [(0,), (1,), (2,)]
