@@ -4,8 +4,8 @@ Only the first ``LENGTH`` bytes of a suffix matter: equal groups at that depth a
 The most significant digit of a window is its anchor, the lowest-hashed gram of ``GRAM`` bytes in it,
 with its place in the window; windows that follow one another and share an anchor travel as one run. The
 first pass deals runs by anchor and drops anchors that occur once, which is nearly all of unique text. For the
-rest the bytes are fetched and the windows pass through two more digits, the first and the second half,
-each pass dropping groups of one. An anchor with many runs is dealt to several tasks, whose windows that
+rest the bytes are fetched and the windows pass through two more digits, the bytes before and those
+behind the anchor, each pass dropping groups of one. An anchor with many runs is dealt to several tasks, whose windows that
 are single there are matched in one more grouping by digest.
 """
 
@@ -30,8 +30,8 @@ LENGTH, GRAM = 200, 72
 #: Runs of one anchor that one task takes.
 SHARE = 2_000
 #: Windows that one vectorised step of a task sorts, apart from those of one anchor.
-STEP_WINDOWS = 1 << 19
-_PLACE = np.uint64((1 << 21) - 1)
+STEP_WINDOWS = 1 << 17
+_PLACE = np.uint64((1 << 20) - 1)
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,9 +45,9 @@ def _lowest(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_runs(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: anchor hash, first window, number of windows, anchor's place in the first.
+    """Runs of windows with one anchor (``length`` is below 4096): anchor hash, first window, number of windows, anchor's place in the first.
 
-    ``bounds`` are the byte offsets of the rows of the block; no window crosses them. At most 2**21 bytes.
+    ``bounds`` are the byte offsets of the rows of the block; no window crosses them. At most 2**20 bytes.
     """
     n = len(data)
     if n < length:
@@ -83,8 +83,8 @@ def _runs(length: int, gram: int):
                     row = np.searchsorted(bounds, first, side="right") - 1 + low
                     at = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(at), keys.take(at), pa.array(anchor), pa.array(first + base - offsets[row]), pa.array(count.astype(np.int32)), pa.array(place.astype(np.int32))],
-                        names=["doc_id", "tk", "anchor", "start", "n", "place"],
+                        [ids.take(at), keys.take(at), pa.array(anchor), pa.array((first + base - offsets[row]) << 24 | count << 12 | place)],
+                        names=["doc_id", "tk", "anchor", "run"],
                     )
                     if high > low + 1:
                         break
@@ -92,8 +92,8 @@ def _runs(length: int, gram: int):
     return run
 
 
-def _contexts(length: int):
-    """The bytes of each run's windows, cut out of its text."""
+def _contexts(length: int, gram: int):
+    """The bytes of each run's windows, cut out of its text, without those of the anchor, which all share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
@@ -101,13 +101,16 @@ def _contexts(length: int):
             for r in range(batch.num_rows):
                 text = unpacker.decompress(batch.column("z")[r].as_py())
                 runs = batch.column("runs")[r].values
-                start, count = runs.field("start").to_numpy(), runs.field("n").to_numpy()
-                parts = pa.array([text[s : s + k + length - 1] for s, k in zip(start.tolist(), count.tolist(), strict=True)], pa.binary())
+                run = runs.field("run").to_numpy()
+                start, count, place = run >> 24, run >> 12 & 4095, run & 4095
+                parts = pa.array(
+                    [text[s : s + p] + text[s + p + gram : s + k + length - 1] for s, k, p in zip(start.tolist(), count.tolist(), place.tolist(), strict=True)], pa.binary()
+                )
                 share = (mix(start.astype(np.uint64) * _C + np.uint64((batch.column("tk")[r].as_py() or 0) & (1 << 63) - 1)) % runs.field("shares").to_numpy().astype(np.uint64)).astype(np.int64)
                 same = pa.array([r] * len(runs), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(same), batch.column("tk").take(same), *(runs.field(c) for c in ("anchor", "shares", "start", "n", "place")), pa.array(share), parts],
-                    names=["doc_id", "tk", "anchor", "shares", "start", "n", "place", "share", "part"],
+                    [batch.column("doc_id").take(same), batch.column("tk").take(same), runs.field("anchor"), runs.field("shares"), pa.array(run), pa.array(share), parts],
+                    names=["doc_id", "tk", "anchor", "shares", "run", "share", "part"],
                 )
 
     return run
@@ -117,7 +120,7 @@ def _kept(code: np.ndarray, keep_all: np.ndarray) -> np.ndarray:
     return (np.bincount(code)[code] > 1) | keep_all
 
 
-def sorted_windows(group: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+def sorted_windows(group: pa.Table, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Radix passes over the windows of whole groups of runs.
 
     Gives a row of kind 0 for each stretch of repeated windows, and for anchors dealt to several tasks a
@@ -125,7 +128,8 @@ def sorted_windows(group: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     """
     parts, offsets = buffers(group.column("part"))
     base = offsets[0]
-    count, place, start = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "start"))
+    run = group.column("run").to_numpy()
+    count, place, start = run >> 12 & 4095, run & 4095, run >> 24
     anchor, dealt = group.column("anchor").to_numpy().astype(np.uint64), group.column("shares").to_numpy() > 1
     row = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -134,10 +138,11 @@ def sorted_windows(group: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     live, keep_all = np.arange(len(row)), dealt[row]
     key = mix(anchor[row] + (place[row] - step).astype(np.uint64) * _C)
     code = pd.factorize(key)[0]
-    half = length // 2
-    for digit in (None, (0, half), (half, length)):
-        if digit:
-            key = mix(key * _C + digests(running, at[live] + digit[0], at[live] + digit[1]))
+    middle = offsets[row] - base + place[row]
+    behind = at + length - gram
+    for first, last in ((None, None), (at, middle), (middle, behind)):
+        if first is not None:
+            key = mix(key * _C + digests(running, first[live], last[live]))
             code = pd.factorize(key)[0]
         stays = _kept(code, keep_all[live])
         live, key, code = live[stays], key[stays], code[stays]
@@ -164,7 +169,7 @@ def sorted_windows(group: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         yield batch(1, row[w], start[row[w]] + step[w], np.full(len(w), length, np.int64), key[spread][some].astype(np.int64), number[spread][some].astype(np.int64))
 
 
-def _radix(length: int):
+def _radix(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         windows = 0
@@ -172,7 +177,7 @@ def _radix(length: int):
             if not batch.num_rows:
                 continue
             held.append(batch)
-            windows += int(batch.column("n").to_numpy().sum())
+            windows += int((batch.column("run").to_numpy() >> 12 & 4095).sum())
             if windows < STEP_WINDOWS:
                 continue
             table = pa.Table.from_batches(held)
@@ -180,11 +185,11 @@ def _radix(length: int):
             changes = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))
             if len(changes):  # all but the last group are whole
                 cut = int(changes[-1]) + 1
-                yield from sorted_windows(table.slice(0, cut), length)
+                yield from sorted_windows(table.slice(0, cut), length, gram)
                 table = table.slice(cut)
-            held, windows = table.to_batches(), int(table.column("n").to_numpy().sum())
+            held, windows = table.to_batches(), int((table.column("run").to_numpy() >> 12 & 4095).sum())
         if held:
-            yield from sorted_windows(pa.Table.from_batches(held), length)
+            yield from sorted_windows(pa.Table.from_batches(held), length, gram)
 
     return run
 
@@ -194,15 +199,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     ``docs`` has doc_id, text and tk, a hash of the text that tells rows with equal ids apart.
     """
-    runs = materialize(docs.select("doc_id", "tk", "text").mapInArrow(_runs(length, gram), "doc_id long, tk long, anchor long, start long, n int, place int"), "anchor-runs")
-    shared = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor", F.ceil(F.col("c") / SHARE).alias("shares"))
-    repeated = runs.join(shared, "anchor").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("anchor", "shares", "start", "n", "place")).alias("runs"))
+    # Computed twice, for the counts and for the rows: that costs less than writing the rows.
+    runs = docs.select("doc_id", "tk", "text").mapInArrow(_runs(length, gram), "doc_id long, tk long, anchor long, run long")
+    shared = runs.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor", F.ceil(F.col("c") / SHARE).alias("shares"))
+    repeated = runs.join(shared, "anchor").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("anchor", "shares", "run")).alias("runs"))
     z = docs.select("doc_id", "tk", "text").mapInArrow(compressed, "doc_id long, tk long, z binary")
     same = z["doc_id"].eqNullSafe(repeated["doc_id"]) & (z["tk"] == repeated["tk"])
     with_text = z.join(repeated, same).select(z["doc_id"], z["tk"], "z", "runs")
-    parts = with_text.mapInArrow(_contexts(length), "doc_id long, tk long, anchor long, shares long, start long, n int, place int, share long, part binary")
+    parts = with_text.mapInArrow(_contexts(length, gram), "doc_id long, tk long, anchor long, shares long, run long, share long, part binary")
     found = materialize(
-        parts.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_radix(length), "kind int, doc_id long, tk long, start long, length long, digest long, n long"),
+        parts.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_radix(length, gram), "kind int, doc_id long, tk long, start long, length long, digest long, n long"),
         "repeated-windows",
     )
     spread = found.filter("kind = 1")
