@@ -114,12 +114,12 @@ def ml4(spark, sf):
     "ml6_ensemble",
     f"""WITH {Z_SQL}, p AS (SELECT entity, max(CASE WHEN signal = 'balance' THEN z END) AS a, max(CASE WHEN signal = 'spend' THEN z END) AS b,
   max(CASE WHEN signal = 'discount' THEN z END) AS c FROM zs GROUP BY 1),
-e AS (SELECT entity, 0.45 * a + 0.35 * b + 0.20 * c AS m FROM p WHERE b IS NOT NULL)
+e AS (SELECT entity, 0.45 * coalesce(a, 0) + 0.35 * coalesce(b, 0) + 0.20 * coalesce(c, 0) AS m FROM p)
 SELECT entity, round((m - avg(m) OVER ()) / stddev_pop(m) OVER (), 6) AS z FROM e""",
 )
 def ml6(spark, sf):
-    """Three signals stand in for the three model scores, so the check needs no model fit."""
-    z = stats.winsor_z(signal_table(spark, sf), SIGNALS).where("spend is not null")
+    """Three signals stand in for the three model scores, a missing one as the mean; the check needs no model fit."""
+    z = stats.winsor_z(signal_table(spark, sf), SIGNALS).fillna(0.0, ["z_balance", "z_spend", "z_discount"])
     named = z.select("entity", "z_balance", "z_spend", "z_discount").toDF(
         "entity", "z_linear", "z_trees", "z_spatial"
     )

@@ -510,16 +510,17 @@ def jn6(spark, sf):
 
 @CATALOG.query(
     "jn7_prefer_first",
-    """SELECT coalesce(c_custkey, s_suppkey) AS key, coalesce(c_name, s_name) AS name, coalesce(c_acctbal, s_acctbal) AS balance
-FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN supplier ON c_custkey = s_suppkey
-WHERE coalesce(c_acctbal, s_acctbal) IS NOT NULL""",
+    """WITH c AS (SELECT c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS balance FROM customer)
+SELECT coalesce(c_custkey, s_suppkey * 40) AS key, coalesce(c_name, s_name) AS name, coalesce(balance, s_acctbal) AS balance
+FROM c FULL JOIN supplier ON c_custkey = s_suppkey * 40 WHERE coalesce(balance, s_acctbal) IS NOT NULL""",
 )
 def jn7(spark, sf):
-    c = roles.table(spark, sf, "customer").where("c_acctbal > 0").select(
-        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")
+    """A customer's balance counts where it is positive; every 40th key has a supplier to fall back on."""
+    c = roles.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance")
     )
     s = roles.table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")
+        (F.col("s_suppkey") * 40).alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")
     )
     return joins.prefer_first(c, s, "key", ("name", "balance"), ("balance",)).orderBy("key")
 

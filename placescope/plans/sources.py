@@ -36,16 +36,16 @@ def write_files(docs: DataFrame, path: str, *parts: str) -> str:
     return f"{path}" + "/*" * len(parts)
 
 
-@CATALOG.query("src1_signal_csv", f"WITH {LONG_SQL} SELECT entity, signal, round(value, 2) AS value FROM long WHERE signal IN ('balance', 'urgent')")
+@CATALOG.query("src1_signal_csv", f"WITH {LONG_SQL} SELECT entity, signal, round(value, 2) AS value FROM long")
 def src1(spark, sf):
-    """Two signal files are read; a third is absent and a fourth lacks the wanted column."""
+    """All signal files are read; one more is absent and another lacks the wanted column."""
     path = fresh_path(spark, "signals")
     s = roles.signals(spark, sf)
-    for name in ("balance", "urgent"):
+    for name in roles.SIGNALS:
         s.where(F.col(name).isNotNull()).select("entity", F.round(name, 2).alias(name)).write.option("header", True).csv(f"{path}/{name}")
     s.select("entity", "segment").write.option("header", True).csv(f"{path}/segment")
     long = None
-    for name in ("balance", "urgent", "absent", "segment"):
+    for name in (*roles.SIGNALS, "absent", "segment"):
         column = "value" if name == "segment" else name
         df = readers.read_signal(spark, f"{path}/{name}", f"{column} double", "entity", [column])
         if df is not None:
@@ -85,12 +85,12 @@ def src3(spark, sf):
 
 @CATALOG.query(
     "src4_header_discovery",
-    f"WITH {ENTITY_SQL} SELECT entity AS pos_key, segment AS state, round(balance, 2) AS schools FROM entities WHERE nation <> 3",
+    f"WITH {ENTITY_SQL} SELECT entity AS pos_key, segment AS state, round(balance, 2) AS schools FROM entities",
 )
 def src4(spark, sf):
     """Grids with a title, differing header wordings and total rows, one wording per segment."""
     path = fresh_path(spark, "grids")
-    e = roles.entities(spark, sf).where("nation <> 3")
+    e = roles.entities(spark, sf)
     line = F.concat_ws(
         ";",
         F.col("entity").cast("string"), F.col("segment"),

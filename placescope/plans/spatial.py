@@ -97,18 +97,17 @@ def jn13_max(spark, sf):
 
 @CATALOG.query(
     "jn14_pooled_knn",
-    f"""WITH {ENTITY_SQL}, {SITE_SQL}, refs AS (SELECT * FROM entities WHERE balance > 9000),
+    f"""WITH {ENTITY_SQL}, {SITE_SQL}, refs AS (SELECT * FROM entities),
 sizes AS (SELECT coarse, count(*) AS n FROM refs GROUP BY 1),
 p AS (SELECT site, entity, balance, {SITE_TO_ENTITY} AS d FROM sites s LEFT JOIN sizes z ON z.coarse = s.coarse
-  JOIN refs e ON coalesce(n, 0) < 6 OR e.coarse = s.coarse),
+  JOIN refs e ON coalesce(n, 0) < 60 OR e.coarse = s.coarse),
 k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY d, entity) AS rank FROM p)
 SELECT site, entity, round(balance, 2) AS balance, round(d, 6) AS dist_km, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""",
 )
 def jn14(spark, sf):
     """Neighbours inside the own nation when that has enough references, else anywhere."""
-    refs = roles.entities(spark, sf).where("balance > 9000")
     near = spatial.pooled_knn(
-        roles.sites(spark, sf), refs, "site", "entity", "coarse", 5, ["balance"], min_pool=6
+        roles.sites(spark, sf), roles.entities(spark, sf), "site", "entity", "coarse", 5, ["balance"], min_pool=60
     )
     return near.withColumn("dist_km", F.round("dist_km", 6))
 

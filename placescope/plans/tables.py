@@ -14,18 +14,21 @@ from placescope.sources import store
 
 CATALOG = Catalog()
 
-BASE_SQL = "base AS (SELECT c_custkey AS entity, c_name AS name, c_acctbal AS balance FROM customer WHERE c_acctbal > 1000)"
-INCOMING_SQL = "incoming AS (SELECT o_custkey AS entity, round(max(o_totalprice), 2) AS balance FROM orders WHERE o_orderpriority = '2-HIGH' GROUP BY 1)"
+# Two thirds of the customers are stored; the others and all orders come in, so that every row is on one side.
+BASE_SQL = "base AS (SELECT c_custkey AS entity, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey % 3 <> 0)"
+INCOMING_SQL = """incoming AS (SELECT entity, round(max(balance), 2) AS balance, count(*) AS n FROM
+(SELECT o_custkey AS entity, o_totalprice AS balance FROM orders UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 = 0) GROUP BY 1)"""
 
 
 def base(spark, sf):
-    c = roles.table(spark, sf, "customer").where("c_acctbal > 1000")
+    c = roles.table(spark, sf, "customer").where("c_custkey % 3 <> 0")
     return c.select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
 
 
 def incoming(spark, sf):
-    o = roles.table(spark, sf, "orders").where("o_orderpriority = '2-HIGH'")
-    return o.groupBy(F.col("o_custkey").alias("entity")).agg(F.round(F.max("o_totalprice"), 2).alias("balance"))
+    o = roles.table(spark, sf, "orders").select(F.col("o_custkey").alias("entity"), F.col("o_totalprice").alias("balance"))
+    c = roles.table(spark, sf, "customer").where("c_custkey % 3 = 0").select("c_custkey", "c_acctbal")
+    return o.union(c).groupBy("entity").agg(F.round(F.max("balance"), 2).alias("balance"), F.count(F.lit(1)).alias("n"))
 
 
 @CATALOG.query(
@@ -66,15 +69,17 @@ def snk2(spark, sf):
 
 @CATALOG.query(
     "snk3_merge_authoritative",
-    """SELECT p_name AS key, min(p_retailprice) AS price FROM part WHERE p_type = 'PROMO' GROUP BY 1
-UNION ALL SELECT p_name || ' ' || p_brand, min(p_retailprice) FROM part WHERE p_type = 'SMALL' AND p_size > 10 GROUP BY 1""",
+    """SELECT p_name AS key, min(p_retailprice) AS price FROM part WHERE p_size <= 25 GROUP BY 1
+UNION ALL SELECT p_name || ' ' || p_brand, min(p_retailprice) FROM part WHERE p_size > 25 GROUP BY 1""",
 )
 def snk3(spark, sf):
+    """Small parts are the repo, the others the backup, which also has the repo's keys and an empty key."""
     p = roles.table(spark, sf, "part")
-    repo = p.where("p_type = 'PROMO'").groupBy(F.col("p_name").alias("key")).agg(F.min("p_retailprice").alias("price"))
-    longer = F.when(F.col("p_size") > 10, F.concat_ws(" ", "p_name", "p_brand")).otherwise("")
-    backup = p.where("p_type = 'SMALL'").groupBy(longer.alias("key")).agg(F.min("p_retailprice").alias("price"))
-    backup = backup.unionByName(repo.withColumn("price", F.lit(0.0)))
+    repo = p.where("p_size <= 25").groupBy(F.col("p_name").alias("key")).agg(F.min("p_retailprice").alias("price"))
+    longer = F.concat_ws(" ", "p_name", "p_brand")
+    backup = p.where("p_size > 25").groupBy(longer.alias("key")).agg(F.min("p_retailprice").alias("price"))
+    empty = backup.agg(F.lit("").alias("key"), F.min("price").alias("price"))
+    backup = backup.unionByName(empty).unionByName(repo.withColumn("price", F.lit(0.0)))
     return tables.merge_authoritative(repo, backup, "key")
 
 
@@ -88,39 +93,35 @@ def snk4(spark, sf):
 
 @CATALOG.query(
     "snk5_fill_gaps",
-    f"""WITH {BASE_SQL}, b2 AS (SELECT entity, name, CASE WHEN balance > 5000 THEN balance END AS balance FROM base),
-i AS (SELECT o_custkey AS entity, round(max(o_totalprice), 2) AS balance, count(*) AS n FROM orders GROUP BY 1)
+    f"""WITH {BASE_SQL}, {INCOMING_SQL}, b2 AS (SELECT entity, name, CASE WHEN balance > 5000 THEN balance END AS balance FROM base),
+i AS (SELECT * FROM incoming)
 SELECT coalesce(b2.entity, i.entity) AS entity, name, coalesce(b2.balance, i.balance) AS balance, n FROM b2 FULL JOIN i ON b2.entity = i.entity""",
 )
 def snk5(spark, sf):
     b = base(spark, sf).withColumn("balance", F.when(F.col("balance") > 5000, F.col("balance")))
-    i = roles.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("entity")).agg(
-        F.round(F.max("o_totalprice"), 2).alias("balance"), F.count(F.lit(1)).alias("n")
-    )
-    return tables.fill_gaps(b, i, "entity")
+    return tables.fill_gaps(b, incoming(spark, sf), "entity")
 
 
 @CATALOG.query(
     "snk6_upsert_latest",
-    """SELECT user_id AS key, arg_max(event_type, (ts, w)) AS name, arg_max(value, (ts, w)) AS figure FROM
-(SELECT user_id, ts, event_type, value, 0 AS w FROM events WHERE event_type = 'signup'
- UNION ALL SELECT user_id, ts, event_type, value, 1 FROM events WHERE event_type = 'purchase') GROUP BY 1""",
+    """SELECT user_id AS key, arg_max(event_type, (ts, w, event_id)) AS name, arg_max(value, (ts, w, event_id)) AS figure FROM
+(SELECT *, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS w FROM events) GROUP BY 1""",
 )
 def snk6(spark, sf):
-    """Two upserts committed as table versions; the second reads the first."""
+    """Purchases upserted over all other events, committed as table versions; the second reads the first."""
     e = roles.table(spark, sf, "events")
 
-    def rows(kind):
-        r = e.where(F.col("event_type") == kind)
-        newest = F.max_by(F.struct("event_type", "value"), "ts").alias("_p")
+    def rows(condition):
+        r = e.where(condition)
+        newest = F.max_by(F.struct("event_type", "value"), F.struct("ts", "event_id")).alias("_p")
         return r.groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("updated_at"), newest).select(
             "key", F.col("_p.event_type").alias("name"), F.col("_p.value").alias("figure"), "updated_at"
         )
 
     path = fresh_path(spark, "upsert")
-    store.commit(rows("signup"), path)
+    store.commit(rows("event_type <> 'purchase'"), path)
     current = store.read_current(spark, path)
-    done = store.commit(tables.upsert_latest(current, rows("purchase"), "key", "updated_at"), path)
+    done = store.commit(tables.upsert_latest(current, rows("event_type = 'purchase'"), "key", "updated_at"), path)
     return done.select("key", "name", "figure")
 
 
