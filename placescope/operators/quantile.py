@@ -28,6 +28,7 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     registered_keys: bool = False,
+    count: str | None = None,
 ) -> DataFrame:
     """One row per group: ``keys`` plus one double column per entry of ``probs``.
 
@@ -37,6 +38,7 @@ def exact_quantiles(
     ``keys`` may be empty for one global row. Null values are ignored; a group with no value is
     absent from the result. ``registered_keys`` states that the keys come from a registry of
     signals, whose length bounds the sketch table, so that the rows need no shuffle to meet it.
+    ``count`` names a further column for the number of values, which the sketch has already counted.
     """
     names = list(probs)
     fractions = [float(probs[n]) for n in names]
@@ -73,11 +75,13 @@ def exact_quantiles(
         F.min(F.when(F.col("_cum") > rank, F.col("_v"))).alias("_low"),
         F.min(F.when(F.col("_cum") > rank + 1, F.col("_v"))).alias("_high"),
         F.first(F.col("_pos") - rank).alias("_w"),
+        F.first("_n").alias("_n"),
     )
     low, high = F.col("_low"), F.coalesce("_high", "_low")
     result = F.when(F.col("_w") == 0, low).otherwise(low + F.col("_w") * (high - low))
     return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_target") == i, result)).alias(n) for i, n in enumerate(names)]
+        *[F.max(F.when(F.col("_target") == i, result)).alias(n) for i, n in enumerate(names)],
+        *([F.first("_n").alias(count)] if count else []),
     )
 
 

@@ -82,9 +82,7 @@ def transform_median(df: DataFrame, group: str, value: str, out: str) -> DataFra
 
 def median_and_count(df: DataFrame, key: str, value: str) -> DataFrame:
     """Median and count of positive values per key."""
-    rows = df.where(F.col(value) > 0)
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("sample_count"))
-    return medians(rows, [key], value, "median").join(counts, key)
+    return exact_quantiles(df.where(F.col(value) > 0), [key], value, {"median": 0.5}, count="sample_count")
 
 
 def latest_value(
