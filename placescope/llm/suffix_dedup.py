@@ -201,7 +201,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """
     # Computed twice, for the counts and for the rows: that costs less than writing the rows.
     runs = docs.select("doc_id", "tk", "text").mapInArrow(_runs(length, gram), "doc_id long, tk long, anchor long, run long")
-    shared = runs.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor", F.ceil(F.col("c") / SHARE).alias("shares"))
+    counts = runs.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # Written, so that the join reads both sides from a shuffle of its own and can split a hot anchor's rows.
+    shared = materialize(counts.select("anchor", F.ceil(F.col("c") / SHARE).alias("shares")), "repeated-anchors")
     repeated = runs.join(shared, "anchor").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("anchor", "shares", "run")).alias("runs"))
     z = docs.select("doc_id", "tk", "text").mapInArrow(compressed, "doc_id long, tk long, z binary")
     same = z["doc_id"].eqNullSafe(repeated["doc_id"]) & (z["tk"] == repeated["tk"])
