@@ -79,14 +79,29 @@ class Templates:
         return out
 
     def matches(self, block: set[bytes]) -> dict[str, float]:
-        """Labels of all templates that the block holds, with the share of the template found.
+        """Labels of all templates that the block holds, with the share of the template found."""
+        return self.labels(self.held(block))
 
-        A template all of whose words are in a larger one that the block holds too does not count.
+    def labels(self, held: dict[int, float]) -> dict[str, float]:
+        """Labels of held templates with their shares.
+
+        Of two templates one of which has all words of the other, that with the greater share counts, and the
+        larger one if they are equal: a plain CC BY notice holds most words of the CC BY-NC one, but not NC.
         """
+        found: dict[str, float] = {}
+        sets = {k: set(self.sets[k][1]) for k in held}
+        for k, share in held.items():
+            if not any((sets[k] < sets[o] and x >= share) or (sets[o] < sets[k] and x > share) for o, x in held.items()):
+                label = self.sets[k][0]
+                found[label] = max(found.get(label, 0.0), share)
+        return found
+
+    def held(self, block: set[bytes]) -> dict[int, float]:
+        """All templates that the block holds, with the share of the template found."""
         ranks = sorted(self.rank[w] for w in block if w in self.rank)
-        size, seen, held, found = len(ranks), set(), {}, {}
+        size, seen, held = len(ranks), set(), {}
         if size < self.least:
-            return found
+            return held
         own = set(ranks)
         for j, r in enumerate(ranks[: size - self.least + 1]):
             for k, place in self.index.get(r, ()):
@@ -98,11 +113,7 @@ class Templates:
                 overlap = sum(x in own for x in template)
                 if overlap >= need:
                     held[k] = overlap / len(template)
-        for k, share in held.items():
-            label, template, _ = self.sets[k]
-            if not any(set(template) < set(self.sets[other][1]) for other in held):
-                found[label] = max(found.get(label, 0.0), share)
-        return found
+        return held
 
 
 def block_frequencies(docs: DataFrame, templates: dict[str, tuple[str, ...]], id_col: str = "doc_id", text_col: str = "text") -> dict[bytes, int]:
