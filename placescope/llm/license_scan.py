@@ -1,16 +1,18 @@
 r"""Operator 10: license scans by an exact set-similarity join of text blocks with license templates.
 
-Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z became lower case; a block is a line. A block
+Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z became lower case. A block is a line, or, for
+notices wrapped over lines, a window of as many words as the template has, anywhere in the text. A block
 holds a template if at least ``CONTAINMENT`` of the template's distinct words are among its own. Words
-are ordered by how many blocks of the whole corpus hold them, rarest first. Prefix, length and
-positional filters then leave few pairs to be checked in full, and lose none.
+are ordered by how many lines and texts of the whole corpus hold them, rarest first. Prefix, length and
+positional filters then leave few pairs of texts and templates, and lose none; only these are searched
+by lines and windows.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -61,6 +63,7 @@ class Templates:
 
     rank: dict[bytes, int]
     sets: list[tuple[str, tuple[int, ...], int]] = field(default_factory=list)  # label, ranks ascending, overlap needed
+    sizes: list[int] = field(default_factory=list)  # words of the template, repeated ones too
     index: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # rank in a prefix -> (template, place)
     least: int = 1 << 30
 
@@ -75,6 +78,7 @@ class Templates:
                 for place, r in enumerate(ranks[: len(ranks) - need + 1]):
                     out.index.setdefault(r, []).append((len(out.sets), place))
                 out.sets.append((label, ranks, need))
+                out.sizes.append(len(words(t)))
                 out.least = min(out.least, need)
         return out
 
@@ -115,17 +119,50 @@ class Templates:
                     held[k] = overlap / len(template)
         return held
 
+    def windows(self, ws: list[bytes], wanted: Iterable[int]) -> Iterator[dict[int, float]]:
+        """What the windows of a text hold of the wanted templates: one row of shares for each run of overlapping windows."""
+        at = [(i, r) for i, r in enumerate(map(self.rank.get, ws)) if r is not None]
+        hits = []  # first word, place behind the last, template, share
+        for k in wanted:
+            _, template, need = self.sets[k]
+            own, counts, first = set(template), Counter(), 0
+            places = [(i, r) for i, r in at if r in own]
+            for i, r in places:
+                counts[r] += 1
+                while places[first][0] <= i - self.sizes[k]:
+                    gone = places[first][1]
+                    counts[gone] -= 1
+                    if not counts[gone]:
+                        del counts[gone]
+                    first += 1
+                if len(counts) >= need:
+                    hits.append((places[first][0], i + 1, k, len(counts) / len(template)))
+        held: dict[int, float] = {}
+        reach = 0
+        for low, high, k, share in sorted(hits):
+            if held and low >= reach:
+                yield held
+                held = {}
+            held[k] = max(held.get(k, 0.0), share)
+            reach = max(reach, high)
+        if held:
+            yield held
+
 
 def block_frequencies(docs: DataFrame, templates: dict[str, tuple[str, ...]], id_col: str = "doc_id", text_col: str = "text") -> dict[bytes, int]:
-    """Number of blocks of the corpus that hold each template word; as many rows as template words."""
+    """Number of lines and whole texts of the corpus that hold each template word; as many rows as template words."""
     vocabulary = {w for group in templates.values() for t in group for w in words(t)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0):
+                whole: set[bytes] = set()
                 for line in (text.as_py() or "").encode("utf-8", "surrogatepass").translate(_LINE_BYTES).split(b"\n"):
-                    counts.update(vocabulary.intersection(line.split()))
+                    found = vocabulary.intersection(line.split())
+                    counts.update(found)
+                    whole |= found
+                counts.update(whole)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     rows = narrow(docs, id_col, text_col).select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
@@ -170,9 +207,11 @@ def scan(
                         places.append(at)
                         base.add(label)
         labels, score = set(base), 1.0 if base else 0.0
-        if any(ready.rank.get(w) in ready.index for w in distinct.intersection(ready.rank)):
-            for line in raw.translate(_LINE_BYTES).split(b"\n"):
-                for label, share in ready.matches(set(line.split())).items():
+        likely = ready.held(distinct)
+        if likely:
+            found = [ready.matches(set(line.split())) for line in raw.translate(_LINE_BYTES).split(b"\n")]
+            for block in (*found, *map(ready.labels, ready.windows(ws, likely))):
+                for label, share in block.items():
                     labels.add(label)
                     score = max(score, share)
         first, last = (min(places), max(places)) if places else (None, None)
