@@ -24,8 +24,8 @@ from placescope.session import materialize
 ORDER = 4
 #: Grams of one order that the broadcast model holds at most, over all languages.
 MAX_ENTRIES = 1_000_000
-#: Rows on which the rejection thresholds are calibrated at most.
-CALIBRATION_ROWS = 4_000
+#: Digits to which cross-entropies are rounded for the rejection thresholds.
+DIGITS = 4
 #: Characters that one vectorised step works on; a longer text is a step of its own.
 STEP_CHARS = 4_000_000
 #: Characters of evidence that the confidence counts at most.
@@ -274,15 +274,19 @@ def accepted(docs: DataFrame, model: Model, limits: dict[str, float], text_col:
     return docs.mapInArrow(run, docs.schema)
 
 
-def calibrate(train: DataFrame, model: Model, rows: int = CALIBRATION_ROWS) -> dict[str, float]:
-    """Limits of the cross-entropy by language, from at most ``rows`` training rows of lowest id hash.
+def calibrate(train: DataFrame, model: Model) -> dict[str, float]:
+    """Limits of the cross-entropy by language, from all rows that the model was learned from.
 
     The limit lies five times as far above the median as the 99.5 % point, and at least one nat:
-    texts that are merely short or unusual stay below it.
+    texts that are merely short or unusual stay below it. A language that no row was assigned to has
+    the limit of all rows together.
     """
-    sample = train.filter("lang is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "text", "lang")
-    found = predict(sample, model).filter(f"lang_pred <> '{UNDETERMINED}'").groupBy("lang_pred").agg(F.percentile("cross_entropy", [0.5, 0.995]).alias("q"))
-    return {r["lang_pred"]: r["q"][0] + max(5 * (r["q"][1] - r["q"][0]), 1.0) for r in found.collect()}
+    found = predict(train.filter("lang is not null and text is not null"), model).filter(f"lang_pred <> '{UNDETERMINED}' or score > 0")
+    # Counted by rounded value, so that the quantiles take bounded memory.
+    values = found.groupBy("lang_pred", F.round("cross_entropy", DIGITS).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    points = values.rollup("lang_pred").agg(F.expr("percentile(x, array(0.5, 0.995), n)").alias("q"), F.grouping("lang_pred").alias("all"))
+    limits = {None if r["all"] else r["lang_pred"]: r["q"][0] + max(5 * (r["q"][1] - r["q"][0]), 1.0) for r in points.collect() if r["q"]}
+    return {lang: limits.get(lang, limits[None]) for lang in model} if limits else {}
 
 
 def remainder(doc_id: Column, k: int) -> Column:

@@ -3,7 +3,9 @@
 import random
 import textwrap
 
-from placescope.llm import license_scan
+from pyspark.sql import functions as F
+
+from placescope.llm import language_id, license_scan
 
 
 def test_a_plain_cc_by_notice_is_cc_by(docs_of):
@@ -54,3 +56,19 @@ def test_license_labels_equal_brute_force_over_lines_and_windows(docs_of):
                 if not any((own < set(templates[o][1]) and y >= x) or (set(templates[o][1]) < own and y > x) for o, y in held.items()):
                     base.add(templates[k][0])
         assert got[i] == ",".join(sorted(base)), text
+
+
+def test_rejection_limits_come_from_all_rows(spark):
+    # More rows than were sampled before; the Italian one has the largest id hash of 400.
+    last = spark.range(5000, 5400).orderBy(F.xxhash64("id").desc()).first()["id"]
+    docs = spark.createDataFrame([*((k, "the thing and the other thing", "en") for k in range(4200)), (last, "gli uomini della città sono felici", "it")], "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    limits = language_id.calibrate(docs, model)
+    assert sorted(limits) == ["en", "it"] and all(0 < x < 10 for x in limits.values())
+    odd = spark.createDataFrame([(1, "Жжщ ыйъ " * 9), (2, "the thing")], "doc_id long, text string")
+    assert {r.doc_id: r.rejected for r in language_id.predict(odd, model, limits).collect()} == {1: True, 2: False}
+    # A language that no learned row is assigned to has a limit too.
+    twins = spark.createDataFrame([(k, "the thing and the other thing", lang) for k in range(9) for lang in ("en", "eo")], "doc_id long, text string, lang string")
+    model = language_id.fit(twins)
+    limits = language_id.calibrate(twins, model)
+    assert limits["eo"] == limits["en"] < 10
