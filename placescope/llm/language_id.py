@@ -2,8 +2,9 @@
 
 The 4-grams of all training texts are counted in Spark; the statistics of every order follow from that
 table by grouping. A language's model is one sorted array of gram hashes per order with the discounted
-probabilities, and one of context hashes with the back-off weights. The model has at most
-``MAX_ENTRIES`` grams of each order over all languages: the most frequent of each language.
+probabilities, and one of context hashes with the back-off weights. All grams are kept: beyond
+``MAX_ENTRIES`` of them the model stays in Spark tables, which the distinct grams of the texts are joined
+with, instead of being sent to the tasks; the results are the same.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placescope.llm.arrow import narrow, strings
@@ -22,7 +23,7 @@ from placescope.llm.bytehash import mix
 from placescope.session import materialize
 
 ORDER = 4
-#: Grams of one order that the broadcast model holds at most, over all languages.
+#: Grams of one order, over all languages, up to which the model is broadcast.
 MAX_ENTRIES = 1_000_000
 #: Digits to which cross-entropies are rounded for the rejection thresholds.
 DIGITS = 4
@@ -148,6 +149,17 @@ class Order:
 Model = dict[str, tuple[list[Order], float]]
 
 
+@dataclass
+class Tables:
+    """A model too large to be broadcast; it goes through its languages as a ``Model`` does."""
+
+    uniform: dict[str, float]
+    orders: list[tuple[DataFrame, DataFrame]]  # from single characters up: (lang, gram, value), (lang, context, backoff)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.uniform)
+
+
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
     if not len(keys):
         return np.full(len(wanted), missing)
@@ -155,32 +167,45 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: flo
     return np.where(keys[at] == wanted, values[at], missing)
 
 
-def fit(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Model:
+def _discount(n1: int, n2: int) -> float:
+    return min(max(n1 / (n1 + 2 * n2), 0.1), 0.95) if n1 else 0.5
+
+
+def fit(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Model | Tables:
     """Fit one model per language on the text and lang columns of ``train``.
 
     Discounts are n1 / (n1 + 2 n2) of the order's counts. Below the highest order a gram counts by the
-    number of different characters before it. An empty table gives an empty model.
+    number of different characters before it. An empty table gives an empty model. All grams are kept;
+    with more than ``max_entries`` the model is left in tables.
     """
     counts = materialize(gram_counts(train), "grams")
-    langs = [r[0] for r in counts.select("lang").distinct().limit(max_entries).collect()]
-    share = max(1, max_entries // max(1, len(langs)))
+    langs = [r[0] for r in counts.select("lang").distinct().collect()]
+    large = counts.count() > max_entries  # no lower order has more
     model: Model = {}
-    level, tables = counts, []
+    level, tables, kept = counts, [], []
     for n in range(ORDER, 0, -1):
         if n < ORDER:
             level = level.groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+            level = materialize(level, f"grams-{n}") if large else level
         context = F.substring("gram", 1, n - 1) if n > 1 else F.lit("")
         ctx = level.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
         few = level.filter("n <= 2").groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
-        top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-        kept = level.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= share).select("lang", "gram", "n", context.alias("context"))
-        tables.append((n, kept.join(ctx, ["lang", "context"]).toPandas(), {r["lang"]: (r["n1"], r["n2"]) for r in few.collect()}))
+        few = {r["lang"]: (r["n1"], r["n2"]) for r in few.collect()}
+        joined = level.select("lang", "gram", "n", context.alias("context")).join(ctx, ["lang", "context"])
+        if large:
+            d = F.create_map(*(F.lit(x) for lang in langs for x in (lang, _discount(*few.get(lang, (0, 0))))))[F.col("lang")]
+            grams = joined.select("lang", "gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total")).alias("value"))
+            contexts = ctx.select("lang", "context", (d * F.col("kinds") / F.col("total")).alias("backoff"))
+            kept.append((materialize(grams, f"order-{n}"), materialize(contexts, f"contexts-{n}")))
+        else:
+            tables.append((n, joined.toPandas(), few))
+    if large:
+        return Tables({r["lang"]: 1.0 / (r["n"] + 1) for r in sorted(level.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())}, kept[::-1])
     for lang in sorted(langs):
         orders, alphabet = [], 1
         for n, table, few in reversed(tables):  # from single characters up
             own = table[table["lang"] == lang]
-            n1, n2 = few.get(lang, (0, 0))
-            discount = min(max(n1 / (n1 + 2 * n2), 0.1), 0.95) if n1 else 0.5
+            discount = _discount(*few.get(lang, (0, 0)))
             grams = _gram_hash(own["gram"].tolist())
             at = np.argsort(grams)
             value = (np.maximum(own["n"].to_numpy(float) - discount, 0) / own["total"].to_numpy(float))[at]
@@ -220,16 +245,14 @@ def cross_entropies(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndar
     return out, chars.count
 
 
-def _predict(model: Model, limits: dict[str, float]):
-    langs = sorted(model)
+def _judge(langs: list[str], limits: dict[str, float]):
     bounds = np.array([limits.get(x, np.inf) for x in langs])
 
-    def rows(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        entropy, count = cross_entropies(texts, model)
+    def rows(entropy: np.ndarray, count: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         if not langs:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
+            return [UNDETERMINED] * len(count), np.zeros(len(count)), np.zeros(len(count)), np.ones(len(count), bool)
         best = entropy.argmin(axis=1)
-        lowest = entropy[np.arange(len(texts)), best]
+        lowest = entropy[np.arange(len(count)), best]
         odds = np.exp((lowest[:, None] - entropy) * np.minimum(count, EVIDENCE)[:, None])
         score = np.where(count > 0, 1 / odds.sum(axis=1), 0.0)
         names = [langs[b] if c else UNDETERMINED for b, c in zip(best, count, strict=True)]
@@ -238,7 +261,64 @@ def _predict(model: Model, limits: dict[str, float]):
     return rows
 
 
-def predict(docs: DataFrame, model: Model, limits: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _predict(model: Model, limits: dict[str, float]):
+    judge = _judge(sorted(model), limits)
+    return lambda texts: judge(*cross_entropies(texts, model))
+
+
+_JUDGED = ["lang_pred", "score", "cross_entropy", "rejected"]
+
+
+def _judged(names: list[str], score: np.ndarray, entropy: np.ndarray, rejected: np.ndarray) -> list[pa.Array]:
+    return [pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)]
+
+
+def _row_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct highest-order grams of every row, with their number."""
+    for batch in batches:
+        for first, texts in _steps(batch, 1):
+            chars = Chars.of(texts)
+            places = chars.places()
+            if not len(places):
+                continue
+            code, unique = pd.factorize(hashes(chars.codes, places, ORDER))
+            row = np.repeat(np.arange(len(texts)), chars.count)
+            pair, at, n = np.unique(row * len(unique) + code, return_index=True, return_counts=True)
+            spelled = np.stack([chars.codes[places[at] - k] for k in range(ORDER - 1, -1, -1)], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(first + pair // len(unique))), pa.array([spelled[i : i + ORDER] for i in range(0, len(spelled), ORDER)]), pa.array(n, pa.int64())],
+                names=["row", "gram", "n"],
+            )
+
+
+def _judged_by_tables(texts: DataFrame, model: Tables, limits: dict[str, float]) -> DataFrame:
+    """row, lang_pred, score, cross_entropy and rejected of ``texts`` (row, text), by joins with the model's tables."""
+    langs = sorted(model)
+    grams = materialize(texts.select("row", "text").mapInArrow(_row_grams, "row long, gram string, n long"), "row-grams")
+    every = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("lang"), F.lit(model.uniform[x]).alias("p")) for k, x in enumerate(langs)))
+    p = grams.select("gram").distinct().select("gram", F.explode(every).alias("e")).select("gram", "e.k", "e.lang", "e.p")
+    for n, (values, contexts) in enumerate(model.orders, 1):
+        own = F.substring("gram", ORDER + 1 - n, n).alias("g")
+        context = (F.substring("gram", ORDER + 1 - n, n - 1) if n > 1 else F.lit("")).alias("c")
+        p = p.select("gram", "k", "lang", "p", own, context)
+        p = p.join(values.withColumnRenamed("gram", "g"), ["lang", "g"], "left").join(contexts.withColumnRenamed("context", "c"), ["lang", "c"], "left")
+        p = p.select("gram", "k", "lang", (F.coalesce("value", F.lit(0.0)) + F.coalesce("backoff", F.lit(1.0)) * F.col("p")).alias("p"))
+    scores = materialize(p.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("k", F.ln(F.greatest("p", F.lit(1e-12))).alias("lp")))).alias("s")).select("gram", "s.lp"), "gram-scores")
+    sums = grams.join(scores, "gram").select("row", "n", F.posexplode("lp").alias("k", "x")).groupBy("row", "k").agg(F.sum("n").alias("count"), F.sum(-F.col("x") * F.col("n")).alias("x"))
+    of_row = sums.groupBy("row").agg(F.max("count").alias("count"), F.sort_array(F.collect_list(F.struct("k", "x"))).alias("s")).select("row", "count", "s.x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(langs, limits)
+        for batch in batches:
+            count = batch.column(1).fill_null(0).to_numpy()
+            entropy = np.array([x or [0.0] * len(langs) for x in batch.column(2).to_pylist()], dtype=float).reshape(len(count), len(langs))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(*judge(entropy / np.maximum(count, 1)[:, None], count))], names=["row", *_JUDGED])
+
+    kinds = "row long, lang_pred string, score double, cross_entropy double, rejected boolean"
+    return texts.select("row").join(of_row, "row", "left").select("row", "count", "x").mapInArrow(run, kinds)
+
+
+def predict(docs: DataFrame, model: Model | Tables, limits: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy and rejected for every row.
 
     A null or empty text, or one without a letter, is ``und`` with score 0 and rejected; so is every
@@ -246,23 +326,27 @@ def predict(docs: DataFrame, model: Model, limits: dict[str, float] | None = Non
     true if the lowest cross-entropy exceeds that language's limit. Rows with equal or null ids are
     judged one by one; other columns are ignored.
     """
+    if isinstance(model, Tables):
+        numbered = materialize(narrow(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "numbered")
+        return numbered.select("row", "doc_id").join(_judged_by_tables(numbered, model, limits or {}), "row").select("doc_id", *_JUDGED)
     shared = docs.sparkSession.sparkContext.broadcast((model, limits or {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _predict(*shared.value)
         for batch in batches:
             for first, texts in _steps(batch, 1):
-                names, score, entropy, rejected = rows(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(names, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)],
-                    names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *_judged(*rows(texts))], names=["doc_id", *_JUDGED])
 
     return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
-def accepted(docs: DataFrame, model: Model, limits: dict[str, float], text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, model: Model | Tables, limits: dict[str, float], text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose text is not rejected; cases as for ``predict``."""
+    if isinstance(model, Tables):
+        numbered = materialize(docs.withColumn("_judged_row", F.monotonically_increasing_id()), "numbered")
+        texts = numbered.select(F.col("_judged_row").alias("row"), F.col(text_col).cast("string").alias("text"))
+        kept = _judged_by_tables(texts, model, limits).filter("not rejected").select(F.col("row").alias("_judged_row"))
+        return numbered.join(kept, "_judged_row", "left_semi").select(docs.columns)
     shared, at = docs.sparkSession.sparkContext.broadcast((model, limits)), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +358,7 @@ def accepted(docs: DataFrame, model: Model, limits: dict[str, float], text_col:
     return docs.mapInArrow(run, docs.schema)
 
 
-def calibrate(train: DataFrame, model: Model) -> dict[str, float]:
+def calibrate(train: DataFrame, model: Model | Tables) -> dict[str, float]:
     """Limits of the cross-entropy by language, from all rows that the model was learned from.
 
     The limit lies five times as far above the median as the 99.5 % point, and at least one nat:

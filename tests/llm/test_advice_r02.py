@@ -72,3 +72,20 @@ def test_rejection_limits_come_from_all_rows(spark):
     model = language_id.fit(twins)
     limits = language_id.calibrate(twins, model)
     assert limits["eo"] == limits["en"] < 10
+
+
+def test_language_model_keeps_all_grams(spark):
+    rnd = random.Random(7)
+    text = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 7))) for _ in range(20))
+    rows = [(k, text("abcdefgh") if k % 2 else text("efghijklé𝒳"), "xx" if k % 2 else "yy") for k in range(60)]
+    rows += [(100, None, "xx"), (101, "12 !", "yy"), (None, "abc", None), (5, "abc def", "stray"), (102, "жжж", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    small, large = language_id.fit(docs), language_id.fit(docs, 50)
+    assert isinstance(large, language_id.Tables) and sorted(small) == sorted(large) == ["stray", "xx", "yy"]
+    limits, same = language_id.calibrate(docs, small), language_id.calibrate(docs, large)
+    assert all(abs(limits[x] - same[x]) < 1e-3 for x in limits)
+    key = lambda r: (str(r.doc_id), r.lang_pred, round(r.cross_entropy, 8), round(r.score, 8), r.rejected)
+    want = sorted(map(key, language_id.predict(docs, small, limits).collect()))
+    assert sorted(map(key, language_id.predict(docs, large, limits).collect())) == want
+    ids = lambda model: sorted(map(str, language_id.accepted(docs, model, limits).collect()))
+    assert ids(large) == ids(small) != []
