@@ -106,7 +106,11 @@ def _contexts(length: int, gram: int):
                 parts = pa.array(
                     [text[s : s + p] + text[s + p + gram : s + k + length - 1] for s, k, p in zip(start.tolist(), count.tolist(), place.tolist(), strict=True)], pa.binary()
                 )
-                share = (mix(start.astype(np.uint64) * _C + np.uint64((batch.column("tk")[r].as_py() or 0) & (1 << 63) - 1)) % runs.field("shares").to_numpy().astype(np.uint64)).astype(np.int64)
+                # By id as well as text, so that copies of one text spread, and by number among the runs of rows that share both.
+                salt = mix(np.array([batch.column("doc_id")[r].as_py() or 0], np.int64).astype(np.uint64)) + np.uint64((batch.column("tk")[r].as_py() or 0) & (1 << 63) - 1)
+                if len(np.unique(run)) < len(run):
+                    salt = mix(salt + pd.Series(run).groupby(run).cumcount().to_numpy().astype(np.uint64))
+                share = (mix(start.astype(np.uint64) * _C + salt) % runs.field("shares").to_numpy().astype(np.uint64)).astype(np.int64)
                 same = pa.array([r] * len(runs), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(same), batch.column("tk").take(same), runs.field("anchor"), runs.field("shares"), pa.array(run), pa.array(share), parts],

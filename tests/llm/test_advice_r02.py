@@ -2,10 +2,15 @@
 
 import random
 import textwrap
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import zstandard
 
 from pyspark.sql import functions as F
 
-from placescope.llm import language_id, license_scan
+from placescope.llm import language_id, license_scan, suffix_dedup
 
 
 def test_a_plain_cc_by_notice_is_cc_by(docs_of):
@@ -89,3 +94,24 @@ def test_language_model_keeps_all_grams(spark):
     assert sorted(map(key, language_id.predict(docs, large, limits).collect())) == want
     ids = lambda model: sorted(map(str, language_id.accepted(docs, model, limits).collect()))
     assert ids(large) == ids(small) != []
+
+
+def test_copies_of_one_text_are_dealt_to_several_tasks(docs_of, monkeypatch):
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("abcd ") for _ in range(300)).encode()
+    anchor, first, count, place = suffix_dedup.anchor_runs(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 40, 16)
+    runs = [{"anchor": int(a), "shares": 15, "run": int(f << 24 | c << 12 | p)} for a, f, c, p in zip(anchor, first, count, place, strict=True)]
+    kinds = pa.list_(pa.struct([("anchor", pa.int64()), ("shares", pa.int64()), ("run", pa.int64())]))
+    z = zstandard.ZstdCompressor().compress(text)
+
+    def largest(ids, lists):
+        rows = [pa.array(ids, pa.int64()), pa.array([77] * len(ids), pa.int64()), pa.array([z] * len(ids), pa.binary()), pa.array(lists, kinds)]
+        out = pa.Table.from_batches(suffix_dedup._contexts(40, 16)(iter([pa.RecordBatch.from_arrays(rows, names=["doc_id", "tk", "z", "runs"])])))
+        return max(Counter(zip(out["anchor"].to_pylist(), out["share"].to_pylist(), strict=True)).values())
+
+    assert largest(list(range(60)), [runs] * 60) < 20  # 60 if all copies of a run go to one task
+    assert largest([5], [runs * 60]) < 20
+    copies = [(k, text.decode()) for k in range(30)] + [(5, text.decode()), (None, text.decode()), (40, "x" + text.decode()[:60]), (41, "abcd")]
+    monkeypatch.setattr(suffix_dedup, "SHARE", 4)
+    got = sorted((str(r.doc_id), r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_digests(docs_of(copies), 40, 16).collect())
+    assert got == sorted((str(i), *w) for (i, _), w in zip(copies, suffix_dedup.brute_force([t.encode() for _, t in copies], 40), strict=True))
