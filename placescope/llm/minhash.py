@@ -10,9 +10,9 @@ drop out before any table key is made. Links are confirmed on the full shingle s
 held against one central class of its tables on a diagonal, which joins most groups without pairing
 their members. What is left are pairs of classes of different components in a common table: all tables
 (i, j) of one i are searched together, by meeting on half key i and comparing the second collection.
-There a pair whose minima agree so rarely that it lies three standard deviations below the threshold is
+There a pair whose minima agree so rarely that it lies six standard deviations below the threshold is
 not confirmed, so that a passage common to very many texts does not make all pairs of them; at exactly
-0.75 that passes over one pair in 700, at 0.8 one in 300,000, each on top of the first rounds.
+0.75 that passes over one pair in 300,000,000, far fewer than the tables do.
 """
 
 from __future__ import annotations
@@ -40,9 +40,9 @@ ROUNDS = 3
 MINIMA = 2 * HALVES * ROWS
 SIGNATURE_WORDS = MINIMA // 16
 #: Equal four-bit entries a pair must have to be confirmed. Two minima are equal with the probability of
-#: the similarity, else their four bits with 1/16; three standard deviations below that at 0.75.
+#: the similarity, else their four bits with 1/16; six standard deviations below that at 0.75.
 _P = PERCENT / 100 + (1 - PERCENT / 100) / 16
-LEAST_EQUAL = math.floor(MINIMA * _P - 3 * math.sqrt(MINIMA * _P * (1 - _P)))
+LEAST_EQUAL = math.floor(MINIMA * _P - 6 * math.sqrt(MINIMA * _P * (1 - _P)))
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
