@@ -9,6 +9,7 @@ logistic function. Lexicon and function are fitted on labelled rows, at most ``M
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,10 +46,18 @@ LOOKALIKES = {
 INVISIBLE = "­​‌‍⁠﻿"
 
 
-def _fold_table() -> dict[int, str | None]:
-    table: dict[int, str | None] = {c: " " for c in range(0x30)} | {c: " " for c in [*range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0xA1)]}
-    table |= {ord(c): v for c, v in LOOKALIKES.items()} | {ord(c): None for c in INVISIBLE}
-    return table | {0xFF41 + k: chr(97 + k) for k in range(26)}  # full-width letters
+class _Fold(dict):
+    """What each code point becomes, filled as they occur: a space if it is no letter, mark or number."""
+
+    def __missing__(self, c: int) -> int | str:
+        self[c] = c if unicodedata.category(chr(c))[0] in "LMN" else " "
+        return self[c]
+
+
+def _fold_table() -> _Fold:
+    table = _Fold({ord(c): v for c, v in LOOKALIKES.items()} | {ord(c): None for c in INVISIBLE})
+    table.update({0xFF41 + k: chr(97 + k) for k in range(26)})  # full-width letters
+    return table
 
 
 FOLD = _fold_table()

@@ -11,7 +11,7 @@ import zstandard
 
 from pyspark.sql import functions as F
 
-from placescope.llm import language_id, license_scan, minhash, suffix_dedup
+from placescope.llm import language_id, license_scan, minhash, suffix_dedup, toxicity
 
 
 def test_a_plain_cc_by_notice_is_cc_by(docs_of):
@@ -124,3 +124,13 @@ def test_the_signature_estimate_loses_no_similar_pair():
     lost = sum(math.comb(n, k) * equal**k * (1 - equal) ** (n - k) for k in range(minhash.LEAST_EQUAL))
     banding = 1 - (1 - (1 - 0.75**minhash.ROWS) ** minhash.HALVES) ** 2
     assert lost < 1e-6 < banding / 100
+
+
+def test_toxic_words_behind_any_sign_are_hit():
+    measure = toxicity.Lexicon({" trash": 5.0}).matcher()
+    want = measure("you trash here")
+    for sign in "“”„‘’«»‹¡¿–—…§•、。！\U0001f600 \x85\\|~!?(":
+        assert measure(f"you {sign}trash{sign} here") == want and " trash" in toxicity.features(f"{sign}trash"), sign
+    # Look-alikes, invisible signs and marks stay inside the word.
+    assert measure("you tr4­s​h here") == want
+    assert toxicity.fold("été हिन्दी").split() == ["été", "हिन्दी"]
