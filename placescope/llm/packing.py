@@ -10,7 +10,6 @@ their rank among pieces of equal length, with no group in one task.
 from __future__ import annotations
 
 import bisect
-import gc
 import hashlib
 import os
 import zlib
@@ -19,10 +18,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placescope.llm.arrow import narrow, strings
+from placescope.llm.arrow import blocks, buffers, narrow
 from placescope.session import materialize
 
 CAPACITY = 4096
@@ -30,9 +30,23 @@ END = 1
 #: Rounds of the multiplicative weights.
 ROUNDS = 24
 #: Rows of one length that one ranking task takes.
-RANK_ROWS = 10_000
-#: Words whose ids a Python worker keeps before it starts anew.
-CACHE = 500_000
+RANK_ROWS = 1_000
+#: Bytes of words and ids that a Python worker keeps before it starts anew.
+CACHE_BYTES = 16 << 20
+#: Bytes of text that are split and looked up together; a longer text is a block of its own.
+TEXT_BYTES = 2 << 20
+#: What every added token of the vocabulary begins with.
+SPECIAL = b"<|"
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK, _STOP, _LETTER = (np.zeros(256, dtype=bool) for _ in range(3))
+_BLANK[[9, 10, 13, 32]] = True
+_STOP[[ord(","), ord(".")]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on.
+_SELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _SELF)}
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how often), lengths descending
 
@@ -162,62 +176,139 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS)
     return {"key": table[:, 0] << 44 | table[:, 1], "rank": table[:, 1], "sequence": table[:, 2], "each": table[:, 3], "offset": table[:, 4]}
 
 
-_words: dict[str, tuple] = {}
+_tokenizers: dict[str, Words] = {}
 
 
-def _tokenizer(key: str, text) -> tuple:
-    """Tokenizer and cache of word ids of this Python worker."""
-    if key not in _words:
+def _words_of(key: str, text) -> Words:
+    """Tokenizer and word cache of this Python worker."""
+    if key not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(text())
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        gc.disable()  # the cache holds no cycles; walking it again and again would cost more than encoding
-        _words.clear()
-        _words[key] = (tokenizer, {"": ()})
-    return _words[key]
+        _tokenizers.clear()
+        _tokenizers[key] = Words(Tokenizer.from_str(text()))
+    return _tokenizers[key]
 
 
-def _encode(words: list[str], tokenizer) -> list[tuple[int, ...]]:
-    """Ids of each word. Words without the digit 0 go together in longer texts, a 0 between them."""
-    mark = tuple(tokenizer.encode("0", add_special_tokens=False).ids)
-    if len(mark) != 1 or any("0" in w for w in words):
-        return [tuple(x.ids) for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-    flat: list[int] = []
-    for x in tokenizer.encode_batch_fast([" 0 ".join(words[i : i + 64]) + " 0" for i in range(0, len(words), 64)], add_special_tokens=False):
-        flat += x.ids
-    ends = np.flatnonzero(np.array(flat) == mark[0]).tolist()
-    return [tuple(flat[a:b]) for a, b in zip([0, *(e + 1 for e in ends)], ends, strict=False)]
+def _gathered(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices [first, first + size) of ``values``, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(first - before, sizes) + np.arange(int(sizes.sum()))]
 
 
-def _ids_of(texts: list[str], tokenizer, known: dict[str, tuple[int, ...]]) -> list[list[int]]:
-    """Ids of whole texts. The tokenizer drops white space and never joins across it, so words are looked up.
+class Words:
+    """Ids of words, as flat arrays; a word is tokenised again only after the cache was full.
 
-    It lower-cases after composing characters; for texts in Latin-1 that is the same as lower-casing
-    first. A comma or full stop after letters is a piece of its own.
+    The tokenizer drops white space and never joins across it, nor across a comma or full stop that ends
+    a word behind a letter. It lower-cases after composing characters; for rows in Latin-1, where nothing
+    composes, A-Z may be lower-cased first. Rows that hold ``SPECIAL`` are given to it whole, as only there
+    its added tokens can match.
     """
-    parts = []
-    for text in texts:
-        try:
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-        parts.append(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-    if len(known) > CACHE:
-        known.clear()
-        known[""] = ()
-    new = set(chain.from_iterable(parts)).difference(known)
-    ended = [w for w in new if w[-1] in ",." and w[:-1].isalpha()]
-    plain = set(w[:-1] for w in ended).difference(known) | new.difference(ended) | {",", "."}
-    for group in ([w for w in plain if "0" not in w], [w for w in plain if "0" in w]):
-        for first in range(0, len(group), 20_000):
-            some = group[first : first + 20_000]
-            known.update(zip(some, _encode(some, tokenizer), strict=True))
-    for word in ended:
-        known[word] = known[word[:-1]] + known[word[-1]]
-    return [list(chain.from_iterable(map(known.__getitem__, p))) for p in parts]
+
+    def __init__(self, tokenizer, most: int = CACHE_BYTES) -> None:
+        self.tokenizer, self.model, self.most = tokenizer, tokenizer.model, most
+        mark = tokenizer.encode("0", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words and their number for each.
+
+        A word of Latin-1 letters is one piece that nothing composes: it goes to the model at once. Of the
+        others those without the digit 0 go together in longer texts, a 0 between them.
+        """
+        found: list[list[int]] = [[]] * len(words)
+        plain, single = [], []
+        for k, w in enumerate(words):
+            if w.isalpha() and (w.isascii() or max(w) <= "\xff"):
+                w = w.lower()
+                found[k] = [x.id for x in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+            elif self.mark is not None and "0" not in w:
+                plain.append(k)
+            else:
+                single.append(k)
+        for at in range(0, len(plain), 64):
+            some = plain[at : at + 64]
+            ids: list[int] = self.tokenizer.encode(" 0 ".join([words[k] for k in some]) + " 0", add_special_tokens=False).ids
+            first = 0
+            for k in some:
+                end = ids.index(self.mark, first)
+                found[k], first = ids[first:end], end + 1
+        for k in single:
+            found[k] = self.tokenizer.encode(words[k], add_special_tokens=False).ids
+        sizes = np.fromiter(map(len, found), np.int64, len(words))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the distinct ``words`` stand in the cache; those that are missing come in."""
+        at = pc.index_in(words, value_set=self.known)  # builds its hash table anew: one call a block
+        if not at.null_count:
+            return at.to_numpy().astype(np.int64)
+        new, place = words.filter(at.is_null()), at.fill_null(-1).to_numpy().astype(np.int64)
+        if self.known.nbytes + self.ids.nbytes + self.ends.nbytes > self.most:
+            self._forget()
+            new, place = words, np.full(len(words), -1, np.int64)
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        ids, sizes = self._encode(new.to_pylist())
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.known = pa.concat_arrays([self.known, new])
+        return place
+
+    def block(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows of a block of texts, each closed by ``END``, and the rows' offsets in them."""
+        rows = len(bounds) - 1
+        whole = data.tobytes()
+        special: dict[int, np.ndarray] = {}
+        at = whole.find(SPECIAL)
+        while at >= 0:
+            k = int(np.searchsorted(bounds, at, side="right")) - 1
+            text = whole[bounds[k] : bounds[k + 1]]
+            if SPECIAL in text:
+                special[k] = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+                at = int(bounds[k + 1]) - 1
+            at = whole.find(SPECIAL, at + 1)
+        low = _LOWER[data]
+        wide = np.flatnonzero(data >= 0xC4)
+        for k in np.unique(np.searchsorted(bounds, wide, side="right") - 1):
+            low[bounds[k] : bounds[k + 1]] = data[bounds[k] : bounds[k + 1]]
+        blank = _BLANK[data]
+        for k in special:
+            blank[bounds[k] : bounds[k + 1]] = True
+        n = len(data)
+        edge = np.zeros(n + 1, bool)
+        edge[bounds] = True
+        kept = ~blank
+        start = kept & edge[:n]
+        start[1:] |= kept[1:] & blank[:-1]
+        if n > 1:
+            closes = edge[1:].copy()  # the last byte of a row or word
+            closes[:-1] |= blank[1:]
+            start[1:] |= kept[1:] & closes[1:] & ~edge[1:n] & _STOP[data[1:]] & _LETTER[data[:-1]]
+        first = np.flatnonzero(start)
+        row = np.searchsorted(bounds, first, side="right") - 1
+        inside = np.cumsum(kept)  # bytes of words up to and with this one
+        offsets = np.concatenate([inside[first] - 1, inside[-1:] if n else np.zeros(1, np.int64)]).astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(low[kept])).dictionary_encode()
+        place = self._places(words.dictionary)[words.indices.to_numpy()] if len(first) else np.zeros(0, np.int64)
+        begin, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
+        lengths = np.bincount(row, weights=sizes, minlength=rows).astype(np.int64) + 1
+        for k, ids in special.items():
+            lengths[k] = len(ids) + 1
+        ends = np.cumsum(lengths)
+        out = np.empty(int(ends[-1]) if rows else 0, np.uint32)
+        out[ends - 1] = END
+        free = np.ones(len(out), bool)
+        free[ends - 1] = False
+        for k, ids in special.items():
+            out[ends[k] - 1 - len(ids) : ends[k] - 1] = ids
+            free[ends[k] - 1 - len(ids) : ends[k] - 1] = False
+        out[free] = _gathered(self.ids, begin, sizes)
+        return out, np.concatenate([[0], ends])
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,19 +318,23 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
     key, shared = hashlib.sha256(text.encode()).hexdigest(), docs.sparkSession.sparkContext.broadcast(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(key, lambda: shared.value)
+        words = _words_of(key, lambda: shared.value)
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), _ids_of(list(strings(part.column(1))), tokenizer, known), strict=True):
-                    ids.append(END)
-                    whole = np.array(ids, dtype="<u4")
-                    for n, start in enumerate(range(0, len(whole), capacity)):
-                        piece = whole[start : start + capacity]
-                        out.append((doc, n, start, len(piece), zlib.crc32(piece.tobytes())))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            data, offsets = buffers(batch.column(1))
+            for begin, end in blocks(offsets, TEXT_BYTES):
+                ids, ends = words.block(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
+                lengths = np.diff(ends)
+                count = -(-lengths // capacity)
+                n = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                start = n * capacity
+                size = np.minimum(np.repeat(lengths, count) - start, capacity)
+                at = np.repeat(ends[:-1], count) + start
+                view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + size).tolist(), strict=True)]
+                doc = batch.column(0).slice(begin, end - begin).take(pa.array(np.repeat(np.arange(end - begin), count)))
+                yield pa.RecordBatch.from_arrays(
+                    [doc, pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"]
+                )
 
     return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

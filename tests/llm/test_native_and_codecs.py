@@ -7,6 +7,7 @@ import re
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -51,7 +52,6 @@ def test_segment_tree_lockstep_and_plain_merges_agree():
 
 def _check_packing(rows, docs):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     want = []
     for i, t in docs:
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
@@ -71,6 +71,23 @@ def _check_packing(rows, docs):
     return len(bins)
 
 
+@pytest.mark.parametrize("most", [packing.CACHE_BYTES, 4096])
+def test_packing_ids_equal_the_untouched_tokenizer(most):
+    """Special tokens, composing characters, case, digits and punctuation, with a cache that overflows."""
+    tok, rnd = Tokenizer.from_file(WORDS), random.Random(5)
+    parts = (
+        "<|endoftext|> <|startoftext|> <|ENDOFTEXT|> <| |> a B It's we'LL 'S. word, Word. x.y, é É ẘ W̊ e\u0301 E\u0301. \u0301 Σ ΑΣ ΑΣ. ß İ 日本 0 10 0, 😀 a😀. ... ., , "
+        "- \u212b ﬁ …  ’s Don’t. \ufeff Ǆ \x00 \x0b \x0c \x85 \xa0 ª º\xad"
+    ).split(" ") + ["\r\n", "\t", "\x1d x"]
+    texts = [None, "", " ", ".", ",a"] + ["".join(rnd.choice(parts) + rnd.choice(["", " ", "  ", "\n", ". ", ", "]) for _ in range(rnd.randint(1, 14))) for _ in range(4000)]
+    words = packing.Words(Tokenizer.from_file(WORDS), most)
+    data, offsets = packing.buffers(pa.array(texts))
+    for begin, end in packing.blocks(offsets, 1 << 13):
+        ids, ends = words.block(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
+        for k in range(begin, end):
+            assert ids[ends[k - begin] : ends[k - begin + 1]].tolist() == [*tok.encode(texts[k] or "", add_special_tokens=False).ids, 1]
+
+
 def test_packing_ids_offsets_and_bins(spark, docs_of):
     rnd = random.Random(1)
     docs = ODD + [(100 + k, " ".join(rnd.choice(("alpha", "beta", "Gamma,", "x.")) for _ in range(rnd.randint(1, 900)))) for k in range(300)]
