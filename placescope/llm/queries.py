@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from placescope.llm import bpe, exact_dedup, language_id, license_scan, minhash, packing, quality, suffix_dedup, toxicity, warc
+from placescope.llm import bpe, exact_dedup, hard_negatives, language_id, license_scan, minhash, packing, quality, suffix_dedup, toxicity, warc
 from placescope.plans.catalog import Catalog
 
 CATALOG = Catalog()
@@ -64,3 +65,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
+
+
+@CATALOG.query("op11_hard_negatives", hard_negatives.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=label)
