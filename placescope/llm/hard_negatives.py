@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placescope.llm.ranking import ALL, Best
 from placescope.session import materialize
 
 SCALE = 256
@@ -44,7 +45,6 @@ FOCUS = 4
 SHARE_ROWS, LEAST_SHARES = 1 << 20, 24
 #: Products of greater vectors may leave 64 bits: such rows are multiplied as Python numbers.
 _EXACT_FLOAT, _EXACT_LONG = 2.0**53, 2.0**63
-_NONE, _ALL = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 BLOCK_SCHEMA = "key long, share int, n int, dim int, longest double, size double, ids binary, labels binary, vectors binary, lists binary"
 _BLOCK_NAMES = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
@@ -214,39 +214,6 @@ def _focus(anchors: Block, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return unit, np.argsort(-np.abs(unit), axis=1, kind="stable")[:, :most]
 
 
-@dataclass
-class Best:
-    """The best rows so far of numbered searches: greatest product first, then smallest id."""
-
-    searches: int
-    keep: int
-
-    def __post_init__(self) -> None:
-        self.search, self.score, self.id = (np.zeros(0, np.int64) for _ in range(3))
-        self.least, self.last = np.full(self.searches, _NONE), np.full(self.searches, _ALL)
-
-    def improving(self, search: np.ndarray, score: np.ndarray, ids: np.ndarray, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of a score matrix, a search a row, that may come in: better than what is kept and among a row's best."""
-        least, last = self.least[search], self.last[search]
-        if score.shape[1] > self.keep:
-            own = np.partition(np.where(fits, score, _NONE), score.shape[1] - self.keep, axis=1)[:, -self.keep]
-            last = np.where(own > least, _ALL, last)
-            least = np.maximum(own, least)
-        return np.nonzero(fits & ((score > least[:, None]) | ((score == least[:, None]) & (ids[None, :] < last[:, None]))))
-
-    def add(self, search: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        if not len(search):
-            return
-        search, score, ids = np.concatenate([self.search, search]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
-        order = np.lexsort((ids, ~score, search))  # ~x falls as x rises, without overflow
-        search, score, ids = search[order], score[order], ids[order]
-        place = np.arange(len(search)) - np.searchsorted(search, search)
-        kept = place < self.keep
-        self.search, self.score, self.id = search[kept], score[kept], ids[kept]
-        full = place == self.keep - 1
-        self.least[search[full]], self.last[search[full]] = score[full], ids[full]
-
-
 def _met(anchors: DataFrame, rows: DataFrame, on: list[str], shares: Column) -> DataFrame:
     """Each block of anchors with every block of rows of the same key in each of its shares, share by share."""
     a = anchors.withColumn("share", F.explode(F.sequence(F.lit(0), (shares - 1).cast("int"))))
@@ -331,7 +298,7 @@ def _negatives(keep: int, each: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 floor = np.frombuffer(row["a_floor"], "<i8").reshape(-1, each)
                 ceiling = np.frombuffer(row["a_ceiling"], "<i8").reshape(-1, each)
             least = np.maximum(best.least.reshape(-1, each), floor)
-            for who, some in candidates(a, unit, focus, np.where(floor <= ceiling, least, _ALL).min(axis=1).astype(np.float64), b):
+            for who, some in candidates(a, unit, focus, np.where(floor <= ceiling, least, ALL).min(axis=1).astype(np.float64), b):
                 x, y = _aligned(a, b)
                 score = products(x[who], y[some], _bound(a, b))
                 fits = b.labels[some][None, :] != a.labels[who][:, None]

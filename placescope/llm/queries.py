@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placescope.llm import bpe, exact_dedup, hard_negatives, language_id, license_scan, minhash, packing, quality, suffix_dedup, toxicity, warc
+from placescope.llm import bpe, exact_dedup, hard_negatives, language_id, lexical_search, license_scan, minhash, packing, quality, suffix_dedup, toxicity, warc
 from placescope.plans.catalog import Catalog
 
 CATALOG = Catalog()
@@ -71,3 +71,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=label)
+
+
+@CATALOG.query("op12_lexical_search", lexical_search.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
