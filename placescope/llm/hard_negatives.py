@@ -141,7 +141,7 @@ class Block:
         n, dim, size = row[f"{prefix}n"], row[f"{prefix}dim"], row[f"{prefix}size"]
         vectors = np.frombuffer(row[f"{prefix}vectors"], "<i2" if size < 2**15 else "<i8").reshape(n, dim)
         out = cls(np.frombuffer(row[f"{prefix}ids"], "<i8"), np.frombuffer(row[f"{prefix}labels"], "<i8"), vectors, row[f"{prefix}longest"], size)
-        if row.get(f"{prefix}lists"):
+        if row.get(f"{prefix}lists") is not None:
             out.order = np.frombuffer(row[f"{prefix}lists"], "<u2").reshape(dim, n)
             unit = vectors / np.maximum(_lengths(vectors), 1e-300)[:, None]
             out.values = np.take_along_axis(unit.T, out.order.astype(np.int64), axis=1)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placescope.llm import bpe, exact_dedup, hard_negatives, language_id, lexical_search, license_scan, minhash, packing, quality, suffix_dedup, toxicity, warc
+from placescope.llm import bpe, exact_dedup, hard_negatives, language_id, lexical_search, license_scan, minhash, packing, pii, quality, suffix_dedup, toxicity, warc
 from placescope.plans.catalog import Catalog
 
 CATALOG = Catalog()
@@ -76,3 +76,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query("op12_lexical_search", lexical_search.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@CATALOG.query("op13_pii")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_spans(documents(spark, sf_dir)))
