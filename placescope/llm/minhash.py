@@ -12,7 +12,8 @@ their members. What is left are pairs of classes of different components in a co
 (i, j) of one i are searched together, by meeting on half key i and comparing the second collection.
 There a pair whose minima agree so rarely that it lies six standard deviations below the threshold is
 not confirmed, so that a passage common to very many texts does not make all pairs of them; at exactly
-0.75 that passes over one pair in 300,000,000, far fewer than the tables do.
+0.75 that passes over one pair in 300,000,000, far fewer than the tables do. Where many classes that are
+linked with nothing meet a large group, sets of up to 512 shingles are compared in the join itself.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from placescope.llm.arrow import blocks, buffers, narrow
 from placescope.llm.bytehash import digests, mix, sums
-from placescope.operators.components import components
+from placescope.llm.components import components
 from placescope.session import materialize
 
 SHINGLE = 5
@@ -44,6 +45,9 @@ SIGNATURE_WORDS = MINIMA // 16
 _P = PERCENT / 100 + (1 - PERCENT / 100) / 16
 LEAST_EQUAL = math.floor(MINIMA * _P - 6 * math.sqrt(MINIMA * _P * (1 - _P)))
 
+#: Shingles of a set that may travel whole, and strays of a bucket from which they do.
+SHORT_SET, FEW_STRAYS = 512, 8
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
@@ -199,21 +203,43 @@ def _stars(nodes: DataFrame, step: int) -> DataFrame:
     return met.groupBy("node").agg(F.max("centre").alias("centre")).select(F.col("node").alias("a"), F.col("centre.node").alias("b"))
 
 
-def _across(nodes: DataFrame) -> DataFrame:
+def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of at most ``SHORT_SET`` shingles as distinct 16-bit hashes, with the number that fell together."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 500):
+            part = batch.slice(first, 500)
+            whole = _sets_of(part.column("z").to_pylist()) if part.num_rows else []
+            short = [np.unique((s >> np.uint64(48)).astype(np.uint16).view(np.int16)) if len(s) <= SHORT_SET else None for s in whole]
+            lost = [None if t is None else len(s) - len(t) for s, t in zip(whole, short, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(short, pa.list_(pa.int16())), pa.array(lost, pa.int32())], names=["node", "short", "lost"])
+
+
+def _across(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of classes of different components that share a table and may be similar enough.
 
     In a bucket of the first collection only classes outside its largest component meet the others, and
     a pair counts in the first bucket that it has in common. Half keys travel as their upper 32 bits.
+    Where more than ``FEW_STRAYS`` classes meet the others, the sets travel as well, as 16-bit hashes. At
+    most as many common shingles can be missing from the common hashes as fell together in either set,
+    so that the join decides by an upper bound of the similarity, not by the estimate.
     """
+    halves = lambda: F.explode(F.transform("u", lambda i: F.get("halves", i))).alias("h")
+    tally = nodes.select("label", halves()).groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"))
+    largest = tally.groupBy("h").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("all"))
+    mixed = materialize(largest.filter("kinds > 1").select("h", F.col("most.label").alias("main"), (F.col("all") - F.col("most.c") > FEW_STRAYS).alias("hot")), "mixed-halves")
+    hot = nodes.select("node", halves()).join(mixed.filter("hot").select("h"), "h").groupBy("node").agg(F.collect_list("h").alias("hot"))
+    short = texts.join(hot.select("node"), "node").mapInArrow(_short_sets, "node long, short array<short>, lost int")
+    with_sets = materialize(hot.join(short, "node", "left"), "short-sets")
+
     words = [f"s{k}" for k in range(SIGNATURE_WORDS)]
-    short = lambda places: F.transform(places, lambda i: F.shiftright(F.get("halves", i), 32).cast("int"))
-    slim = nodes.select("node", "n", "label", "halves", "u", short(F.sort_array("u")).alias("us"), short("v").alias("vs"), *(F.get("signature", F.lit(k)).alias(w) for k, w in enumerate(words)))
-    rows = slim.select("node", "n", "label", "us", "vs", *words, F.explode(F.transform("u", lambda i: F.get("halves", i))).alias("h"))
-    tally = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = materialize(tally.groupBy("h").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("h", F.col("most.label").alias("main")), "mixed-halves")
-    met = rows.join(mixed, "h")
-    x = met.filter("label <> main").select("h", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("us").alias("ua"), F.col("vs").alias("va"), *(F.col(w).alias(f"a{w}") for w in words))
-    y = met.select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("main").alias("mb"), F.col("us").alias("ub"), F.col("vs").alias("vb"), *(F.col(w).alias(f"b{w}") for w in words))
+    upper = lambda places: F.transform(places, lambda i: F.shiftright(F.get("halves", i), 32).cast("int"))
+    slim = nodes.select("node", "n", "label", "halves", "u", upper(F.sort_array("u")).alias("us"), upper("v").alias("vs"), *(F.get("signature", F.lit(k)).alias(w) for k, w in enumerate(words)))
+    wide = slim.join(with_sets, "node", "left").select("node", "n", "label", "us", "vs", *words, "hot", "short", "lost", halves())
+    rows = wide.withColumn("short", F.when(F.array_contains("hot", F.col("h")), F.col("short"))).drop("hot")
+    met = rows.join(mixed.select("h", "main"), "h")
+    carried = {"n": "n", "us": "u", "vs": "v", "short": "short", "lost": "lost"}
+    x = met.filter("label <> main").select("h", F.col("node").alias("a"), F.col("label").alias("la"), *(F.col(c).alias(f"{t}a") for c, t in carried.items()), *(F.col(w).alias(f"a{w}") for w in words))
+    y = met.select("h", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("main").alias("mb"), *(F.col(c).alias(f"{t}b") for c, t in carried.items()), *(F.col(w).alias(f"b{w}") for w in words))
     unequal = None
     for w in words:
         d = F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))
@@ -221,8 +247,12 @@ def _across(nodes: DataFrame) -> DataFrame:
         d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111))
         unequal = F.bit_count(d) if unequal is None else unequal + F.bit_count(d)
     # Two classes outside the largest component meet twice; one of the meetings counts.
-    fits = F.expr(f"la <> lb and (lb = mb or a > b) and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)") & (MINIMA - unequal >= LEAST_EQUAL)
+    fits = F.expr(f"la <> lb and (lb = mb or a > b) and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
     fits = fits & F.arrays_overlap("va", "vb") & (F.get(F.array_intersect("ua", "ub"), F.lit(0)) == F.shiftright(x["h"], 32).cast("int"))
+    # I common of a + b - I: 100 * I >= P * (a + b - I), with I at most what the hashes show and what fell together.
+    common = F.size(F.array_intersect("shorta", "shortb")) + F.least("losta", "lostb")
+    decided = F.col("shorta").isNotNull() & F.col("shortb").isNotNull()
+    fits = fits & F.when(decided, (100 + PERCENT) * common >= PERCENT * (F.col("na") + F.col("nb"))).otherwise(MINIMA - unequal >= LEAST_EQUAL)
     return x.join(y, (x["h"] == y["h"]) & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -262,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = found if links is None else links.union(found)
         labels = components(links)
         nodes = materialize(nodes.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    final = materialize(components(links.union(_links(_across(nodes), texts))), "near-labels")
+    final = materialize(components(links.union(_links(_across(nodes, texts), texts))), "near-labels")
 
     named = classes.select("k1", "k2", "rep", "node").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
