@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from placescope.session import fresh_path, materialize
 
 #: A run of these counts as one space.
 WHITE = r"[\x20\x09-\x0D]+"
+#: Buckets of a new index.
+BUCKETS = 64
 
 
 def normalised(text: Column) -> Column:
@@ -22,23 +25,53 @@ class DigestIndex:
     """One row per known text: its SHA-256, the id that stays and the batch that brought it.
 
     The table is bucketed and sorted by the digest, so that a new batch meets it in a sort-merge
-    anti-join for which only the batch is shuffled. Appending adds sorted files to each bucket.
-    Buckets are fixed when the index is made: take about one per 128 MB of digests expected.
+    anti-join for which only the batch is shuffled. Appending adds sorted files to each bucket; with
+    several of them a bucket is sorted again when it is read, until ``compacted`` makes one of them.
+    Buckets are fixed when the index is made: take about one per 128 MB of digests expected. An index at
+    a ``path`` that an earlier session made is opened with the buckets noted there.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:
         self.spark = spark
         self.path = path or fresh_path(spark, "digest-index")
-        self.buckets = buckets
+        note = f"{self.path.rstrip('/')}.buckets"
+        known = self._noted(note) if path else None
+        if known is not None and buckets not in (None, known):
+            raise ValueError(f"the index at {self.path} has {known} buckets, not {buckets}")
+        self.buckets = known or buckets or BUCKETS
+        if known is None:
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.parquet(note)
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.table} (text_sha256 STRING, keep_id BIGINT, keep_row BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{self.path}'"
+            f"CREATE TABLE {self.table} (text_sha256 STRING, keep_id BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def _noted(self, note: str) -> int | None:
+        try:
+            return self.spark.read.parquet(note).first()["buckets"]
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def _append(self, rows: DataFrame) -> None:
+        rows.repartition(self.buckets, "text_sha256").sortWithinPartitions("text_sha256").write.insertInto(self.table)
+        self.spark.catalog.refreshTable(self.table)
+
+    def compacted(self, path: str | None = None, buckets: int | None = None) -> DigestIndex:
+        """The same rows as a new index with one file per bucket; this one stays as it is."""
+        out = DigestIndex(self.spark, path, buckets or self.buckets)
+        out._append(self.rows().select("text_sha256", "keep_id", "batch"))
+        return out
+
+    def close(self) -> None:
+        """Forget the table's name; its files stay and can be opened again by their path."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def digests(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, row number and digest of every row, written once; the texts are not read again."""
         d = narrow(docs, id_col, text_col)
@@ -47,7 +80,7 @@ class DigestIndex:
             "digests",
         )
 
-    def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def ingest(self, docs: DataFrame, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Append the batch's new texts; return doc_id, keep_id, group_size, kept, text_sha256 of each row.
 
         Equal texts are those with the same normalised form; null counts as empty, and empty texts
@@ -55,8 +88,11 @@ class DigestIndex:
         and of rows that share it exactly one. A text that an earlier batch brought keeps the id stored
         then, and no row of this batch stays. ``group_size`` counts rows of this batch. An empty batch
         appends nothing and returns no rows. Other columns of ``docs`` are ignored.
+
+        A job that died is run again with the rows and the ``batch`` it had: what it appended under that
+        name counts as new, and only what is missing is appended. Without a name each call is a batch.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         rows = self.digests(docs, id_col, text_col)
         groups = materialize(
             rows.groupBy("text_sha256").agg(
@@ -65,29 +101,24 @@ class DigestIndex:
             "digest-groups",
         )
         new = groups.join(self.rows().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
-        (
-            new.select("text_sha256", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), F.lit(batch).alias("batch"))
-            .repartition(self.buckets, "text_sha256")
-            .sortWithinPartitions("text_sha256")
-            .write.insertInto(self.table)
-        )
-        self.spark.catalog.refreshTable(self.table)
-        known = groups.select("text_sha256", "group_size").join(self.rows().hint("merge"), "text_sha256")
+        self._append(new.select("text_sha256", F.col("first.doc_id").alias("keep_id"), F.lit(batch).alias("batch")))
+        known = groups.join(self.rows().hint("merge"), "text_sha256").select("text_sha256", "keep_id", "group_size", "batch", F.col("first.row").alias("first_row"))
         return rows.join(known, "text_sha256").select(
-            "doc_id", "keep_id", "group_size", ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256"
+            "doc_id", "keep_id", "group_size", ((F.col("batch") == batch) & (F.col("row") == F.col("first_row"))).alias("kept"), "text_sha256"
         )
 
-    def new_rows(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def new_rows(self, docs: DataFrame, batch: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Ingest ``docs`` and return its rows that stay, all columns unchanged.
 
         Of rows that share the id as well as the normalised text any one stays.
         """
-        kept = self.ingest(docs, id_col, text_col).filter("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.col("text_sha256").alias("_sha"))
-        own = docs.withColumns({
-            "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_no_id": F.col(id_col).isNull(), "_sha": F.sha2(normalised(F.col(text_col).cast("string")).cast("binary"), 256),
-        })
-        keys = ["_sha", "_id", "_no_id"]
-        return own.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+        kept = self.ingest(docs, batch, id_col, text_col).filter("kept").select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("text_sha256").alias("sha"))
+        own = docs.select(
+            F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("no_id"),
+            F.sha2(normalised(F.col(text_col).cast("string")).cast("binary"), 256).alias("sha"),
+        )
+        keys = ["sha", "id", "no_id"]
+        return own.join(kept, keys, "left_semi").dropDuplicates(keys).select("own.*")
 
 
 ORACLE = r"""

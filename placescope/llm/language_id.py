@@ -343,10 +343,10 @@ def predict(docs: DataFrame, model: Model | Tables, limits: dict[str, float] | N
 def accepted(docs: DataFrame, model: Model | Tables, limits: dict[str, float], text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose text is not rejected; cases as for ``predict``."""
     if isinstance(model, Tables):
-        numbered = materialize(docs.withColumn("_judged_row", F.monotonically_increasing_id()), "numbered")
-        texts = numbered.select(F.col("_judged_row").alias("row"), F.col(text_col).cast("string").alias("text"))
-        kept = _judged_by_tables(texts, model, limits).filter("not rejected").select(F.col("row").alias("_judged_row"))
-        return numbered.join(kept, "_judged_row", "left_semi").select(docs.columns)
+        own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+        numbered = materialize(docs.select(own, F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row")), "numbered")
+        kept = _judged_by_tables(numbered.select("row", "text"), model, limits).filter("not rejected").select("row")
+        return numbered.join(kept, "row", "left_semi").select("own.*")
     shared, at = docs.sparkSession.sparkContext.broadcast((model, limits)), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

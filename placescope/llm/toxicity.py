@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placescope.llm.arrow import narrow, strings
@@ -28,8 +28,9 @@ from placescope.session import materialize
 MAX_ROWS = 20_000
 #: Word beginnings that are looked at, by length; a whole word ends with the mark.
 SHORTEST, LONGEST = 3, 14
-#: Toxic training rows that must hold an entry; candidates and entries kept at most.
-LEAST_ROWS, MAX_CANDIDATES, MAX_LEXICON = 5, 30_000, 400
+#: An entry must stand in so many toxic training rows that rows drawn at random would all be toxic with
+#: at most this probability.
+CHANCE = 0.005
 #: Log odds from which a candidate may enter the lexicon, and how often a row is to be covered.
 LEAST_ODDS, COVER = 3.0, 4
 THRESHOLD = 0.7
@@ -79,26 +80,31 @@ def features(text: str) -> set[str]:
     return out
 
 
-def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """Number of texts with each feature, of the wanted ones only if they are given."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """Number of toxic and of other texts with each feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 200):
-                counts: Counter[str] = Counter()
-                for text in strings(batch.column(0).slice(first, 200)):
-                    found = features(text)
-                    counts.update(found if wanted is None else found & wanted)
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+            for first in range(0, batch.num_rows, 1_000):
+                part = batch.slice(first, 1_000)
+                counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+                for text, toxic in zip(strings(part.column(0)), part.column(1).to_pylist(), strict=True):
+                    counts[toxic == 1].update(features(text))
+                names = list({*counts[0], *counts[1]})
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[k][f] for f in names], pa.int64()) for k in (1, 0))], names=["feature", "toxic", "clean"])
 
-    return rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return rows.select("text", "toxic").mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _odds(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
-    return math.log((toxic + 0.5) / (all_toxic + 1)) - math.log((clean + 0.5) / (all_clean + 1))
+def _odds(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Column:
+    return F.log((toxic + 0.5) / F.lit(all_toxic + 1.0)) - F.log((clean + 0.5) / F.lit(all_clean + 1.0))
 
 
-def choose(odds: dict[str, float], counts: dict[str, int], rows: list[list[str]]) -> dict[str, float]:
+def least_rows(toxic: int, clean: int) -> int:
+    return max(2, math.ceil(math.log(CHANCE) / math.log(toxic / (toxic + clean))))
+
+
+def choose(odds: dict[str, float], counts: dict[str, int], rows: list[list[str]], least: int) -> dict[str, float]:
     """Entries that cover the toxic rows ``COVER`` times over, the most useful first.
 
     No entry begins another one, so a word counts once. Of entries with equal counts along one word the
@@ -112,10 +118,8 @@ def choose(odds: dict[str, float], counts: dict[str, int], rows: list[list[str]]
     covered, lexicon, barred = [0] * len(rows), {}, set()
     order = sorted(odds, key=lambda f: (-round(odds[f], 1) * counts[f], -len(f), f))
     for f in order:
-        if len(lexicon) >= MAX_LEXICON:
-            break
         own = holds.get(f, [])
-        if f in barred or any(f[:k] in lexicon for k in range(SHORTEST + 1, len(f))) or sum(covered[k] < COVER for k in own) < LEAST_ROWS:
+        if f in barred or any(f[:k] in lexicon for k in range(SHORTEST + 1, len(f))) or sum(covered[k] < COVER for k in own) < least:
             continue
         lexicon[f] = odds[f]
         barred.update(f[:k] for k in range(1, len(f)))
@@ -202,10 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return Lexicon({}, exceptions, (-30.0 if not toxic else 30.0, 0.0, 0.0))
-    found = _counted(train.filter("toxic = 1"), None).filter(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()
-    positive = {r["feature"]: r["n"] for r in found}
-    negative = {r["feature"]: r["n"] for r in _counted(train.filter("toxic = 0"), frozenset(positive)).collect()}
-    odds = {f: o for f, k in positive.items() if (o := _odds(k, negative.get(f, 0), toxic, clean)) >= LEAST_ODDS}
+    # What can be in the lexicon at all; the rows learned from are bounded, and with them its length.
+    likely = _counted(train).filter(F.col("toxic") >= least_rows(toxic, clean)).withColumn("odds", _odds(F.col("toxic"), F.col("clean"), toxic, clean)).filter(F.col("odds") >= LEAST_ODDS)
+    found = likely.collect()
+    positive, odds = {r["feature"]: r["toxic"] for r in found}, {r["feature"]: r["odds"] for r in found}
     wanted = frozenset(odds)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, exceptions
             yield pa.RecordBatch.from_arrays([pa.array([sorted(features(t) & wanted) for t in strings(batch.column(0))], pa.list_(pa.string()))], names=["held"])
 
     rows = [r["held"] for r in train.filter("toxic = 1").select("text").mapInArrow(held, "held array<string>").collect()]  # toxic rows of the bounded sample
-    lexicon = Lexicon(choose(odds, positive, rows), exceptions)
+    lexicon = Lexicon(choose(odds, positive, rows, least_rows(toxic, clean)), exceptions)
     points = _measured(train, lexicon).select("doc_id", "total", "density").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("total", "density", "toxic").collect()
     x = np.array([(r["total"], r["density"]) for r in points])
     return Lexicon(lexicon.weights, exceptions, _logistic(x, np.array([r["toxic"] for r in points], dtype=float)))

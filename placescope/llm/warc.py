@@ -19,6 +19,8 @@ MIN_SHARED = 100
 #: An archive is closed after this many uncompressed bytes.
 ARCHIVE_BYTES = 64 << 20
 READ_BYTES = 1 << 16
+#: A reading task takes one archive, or of very many archives so many.
+MANY_TASKS, ARCHIVES_A_TASK = 10_000, 8
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed capture time, so that equal tables give equal archives.
 DATE = "2024-01-01T00:00:00Z"
@@ -136,7 +138,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, archive_bytes: i
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn(
         "digest", F.sha2(F.col("html").cast("binary"), 256)
     )
-    first = rows.filter(F.octet_length("html") >= MIN_SHARED).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first_id")
+    shared = rows.filter(F.octet_length("html") >= MIN_SHARED).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written, so that the join reads both sides from a shuffle of its own and can split a hot payload's rows.
+    first = materialize(shared.select("digest", "first_id"), "shared-payloads")
     out = rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(None)).otherwise(F.col("first_id")))
     return materialize(out.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_writer(folder, archive_bytes), "path string, records long"), "warc-list")
 
@@ -173,7 +177,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
     payload digest are checked; a fault raises ``WarcError``. A revisit has no payload. An empty list
     gives no rows.
     """
-    spread = archives.repartition("path")
+    n = archives.count()
+    # A given number of partitions is kept: the paths are few bytes, what they name is not.
+    spread = archives.repartition(max(1, min(n, max(MANY_TASKS, n // ARCHIVES_A_TASK))))
     return spread.mapInArrow(_read, "page_id long, url string, record_type string, payload_digest string, refers_to long, payload binary")
 
 

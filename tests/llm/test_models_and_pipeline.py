@@ -1,5 +1,6 @@
 """Operators 7, 9 and 10 on held-out rows and against brute force; the pipeline stage by stage."""
 
+import math
 import random
 import re
 import zlib
@@ -74,6 +75,80 @@ def test_toxicity_learns_beginnings_of_words_and_folds(spark):
     assert {r.score < 0.01 for r in toxicity.held_out_scores(docs, known.limit(0)).collect()} == {True}
 
 
+def _plain_toxicity(text, lexicon):
+    """Hits by naive search for every entry at every place; the same formula."""
+    folded = " ".join(toxicity.fold(text).split())
+    if not folded:
+        return 0.0, 0.0
+    folded, total = f" {folded} ", 0.0
+    safe = []
+    for phrase in lexicon.exceptions:
+        sought = " " + " ".join(toxicity.fold(phrase).split()) + " "
+        safe += [(i + 1, i + len(sought) - 1) for i in range(len(folded)) if folded.startswith(sought, i)]
+    for entry, weight in lexicon.weights.items():
+        for i in range(len(folded)):
+            if folded.startswith(entry, i) and not any(low <= i + 1 < high for low, high in safe):
+                total += weight
+    return math.log1p(total), math.log1p(100 * total / (len(folded.split()) + 1))
+
+
+def test_toxicity_hits_equal_naive_search():
+    rnd = random.Random(31)
+    lexicon = toxicity.Lexicon({" tra": 1.5, " trash ": 2.0, " clown": 4.0, " los": 0.5, " é": 3.0, " sore loser ": 1.0})
+    parts = "trash tr4sh can bin clown fish clowns CLOWN class loser sore lost é ésa x-trash — … ¡trash! \u00ad th3 a".split(" ")
+    measure = lexicon.matcher()
+    for _ in range(1500):
+        text = "".join(rnd.choice(parts) + rnd.choice([" ", "  ", ", ", "\n"]) for _ in range(rnd.randint(0, 9)))
+        got, want = measure(text), _plain_toxicity(text, lexicon)
+        assert all(abs(g - w) < 1e-9 for g, w in zip(got, want, strict=True)), text
+        assert abs(lexicon.score(*got) - 1 / (1 + math.exp(4 - want[0] - want[1]))) < 1e-9
+
+
+def _plain_entropy(texts, lang_texts):
+    """Interpolated Kneser-Ney by dictionaries: mean negative log probability a character of each text."""
+    def normal(t):
+        return "   " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in t.lower())).lstrip(" ")
+
+    top = Counter(n[i - 3 : i + 1] for t in lang_texts for n in [normal(t)] for i in range(3, len(n)))
+    levels = {4: top}
+    for n in (3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    discount, total, kinds = {}, {}, {}
+    for n, counts in levels.items():
+        n1, n2 = (sum(c == k for c in counts.values()) for k in (1, 2))
+        discount[n] = min(max(n1 / (n1 + 2 * n2), 0.1), 0.95) if n1 else 0.5
+        total[n], kinds[n] = Counter(), Counter()
+        for g, c in counts.items():
+            total[n][g[:-1]] += c
+            kinds[n][g[:-1]] += 1
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / (len(levels[1]) + 1)
+        context = gram[:-1]
+        if not total[n][context]:
+            return p(gram[1:])
+        return max(levels[n][gram] - discount[n], 0) / total[n][context] + discount[n] * kinds[n][context] / total[n][context] * p(gram[1:])
+
+    out = []
+    for t in texts:
+        n = normal(t)
+        out.append(-sum(math.log(p(n[i - 3 : i + 1])) for i in range(3, len(n))) / max(1, len(n) - 3))
+    return out
+
+
+def test_cross_entropies_equal_plain_kneser_ney(spark):
+    rnd = random.Random(41)
+    rows = [(prose(rnd, lang, rnd.randint(1, 25)) + rnd.choice(["", "!", " 12 x", "Ünï"]), lang) for lang in ("en", "de", "fr") for _ in range(25)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    texts = ["The thing", "x", "Ωψ", "12 über  alles!", "the\nand", *(prose(rnd, "fr", 8) for _ in range(20))]
+    got, count = language_id.cross_entropies(texts, model)
+    for k, lang in enumerate(sorted(model)):
+        want = _plain_entropy(texts, [t for t, x in rows if x == lang])
+        assert all(abs(g - w) < 1e-9 for g, w in zip(got[:, k], want, strict=True))
+
+
 def _scan(text):
     ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     places, base = [], set()
@@ -151,9 +226,9 @@ def test_pipeline_stages_equal_plain_python(spark, tmp_path):
     rows += [(300 + k, rows[k][1].replace(" ", "  "), rows[k][2]) for k in range(8)]
     rows += [(400 + k, rows[k][1] + " plus", rows[k][2]) for k in range(20, 28)]
     rows += [(500, None, "en"), (501, "", None), (502, "42 !", "en"), (503, "Жжщ ыйъ " * 30, None)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _kept string, own string, kept string, component_id string, row string"
     folder = str(tmp_path / "sf")
-    spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, t, lang, "s", len(t or ""), *"abcde") for i, t, lang in rows], schema).write.parquet(f"{folder}/documents.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     steps = {}
     for name, stage in corpus_pipeline.STAGES:
@@ -161,7 +236,8 @@ def test_pipeline_stages_equal_plain_python(spark, tmp_path):
         stage(spark, docs, folder).write.parquet(out)
         docs = steps[name] = spark.read.parquet(out)
         if name != "best_fit_packing":
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+            assert {tuple(r[5:]) for r in docs.collect()} == {tuple("abcde")}
     ids = lambda name: sorted(r.doc_id for r in steps[name].collect())
     clean = [r for r in rows if r[0] < 500]
     assert ids("language_id") == [i for i, _, _ in clean]

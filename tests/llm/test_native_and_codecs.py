@@ -155,9 +155,30 @@ def test_exact_dedup_within_and_across_batches(spark, docs_of):
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in second) == [(0, 3, False), (8, 8, True), (10, 9, False)]
     assert index.rows().count() == 6
     assert index.ingest(docs_of([])).count() == 0
+    for again in (exact_dedup.DigestIndex(spark, index.path), index.compacted()):
+        assert again.buckets == 4 and sorted((r.doc_id, r.keep_id, r.kept) for r in again.ingest(docs_of([(4, "a b"), (11, "c")])).collect()) == [(4, 3, False), (11, 9, False)]
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, index.path, buckets=8)
+    index.close()
+    assert exact_dedup.DigestIndex(spark, index.path).rows().count() == 6
 
 
-PAGES = "page_id long, url string, html string, text string"
+def test_exact_dedup_retry_of_a_batch_keeps_its_rows(spark, docs_of):
+    index, rows = exact_dedup.DigestIndex(spark, buckets=2), [(2, "a"), (1, "a"), (3, "b"), (None, "c")]
+    plain = lambda df: sorted((str(r.doc_id), str(r.keep_id), r.kept) for r in df.collect())
+    first = plain(index.ingest(docs_of(rows), "monday"))
+    assert first == plain(index.ingest(docs_of(rows[::-1]), "monday")) and sum(k for _, _, k in first) == 3 and index.rows().count() == 3
+    assert not any(k for _, _, k in plain(index.ingest(docs_of(rows), "tuesday")))
+
+
+def test_exact_dedup_carries_columns_of_any_name(spark):
+    rows = [(1, "a", "x", 1.5, "s"), (2, "a", "y", None, "t"), (3, None, "z", 2.5, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_id` string, sha double, `own.id` string")
+    kept = exact_dedup.DigestIndex(spark).new_rows(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+PAGES = "page_id long, url string, html string, digest string"
 
 
 def test_warc_round_trip_and_revisits(spark):
@@ -165,6 +186,7 @@ def test_warc_round_trip_and_revisits(spark):
     rows = [(1, "http://a", "x" * 99, ""), (2, "http://b", "x" * 99, ""), (3, None, None, ""), (4, "u\r\nX-Page-Id: 9", big, ""), (5, "u", big, ""), (None, "n", big, ""), (6, "l", "long\r\n\r\n" * 50_000, "")]
     pages = spark.createDataFrame(rows, PAGES)
     archives = warc.write_archives(pages, archive_bytes=100)
+    assert warc.read_archives(archives).rdd.getNumPartitions() == archives.count() > 1
     records = {r.page_id: r for r in warc.read_archives(archives).collect()}
     assert {i: bytes(records[i].payload).decode() for i in (1, 2, 3, 4, 6)} == {1: "x" * 99, 2: "x" * 99, 3: "", 4: big, 6: rows[6][2]}
     assert records[5].record_type == records[None].record_type == "revisit" and records[5].payload is None
