@@ -2,6 +2,9 @@
 
 Language rejection, exact dedup, near dedup and repeat removal return the columns of ``documents``; the
 last stage returns the pieces of the packed sequences. Ids are taken to be unique, as in ``documents``.
+Columns of any name are carried. A null or empty text, having no letter, goes at the first stage. Rows with
+a null id are judged like others; of near-duplicates without any id all stay. An empty table passes through
+every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the smallest id, of each component of near-duplicates."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").alias("id"))
+    return own.join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("own.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
