@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placescope.llm.arrow import narrow, strings
+from placescope.llm.arrow import Lean, narrow, strings
 from placescope.llm.bytehash import mix
 from placescope.session import materialize
 
@@ -135,7 +135,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gram_counts(train: DataFrame) -> DataFrame:
     """Counts of the 4-grams of each language; ``train`` has text and lang, all rows count."""
     rows = train.filter("lang is not null and text is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    return rows.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(Lean(_count), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -294,7 +294,7 @@ def _row_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _judged_by_tables(texts: DataFrame, model: Tables, limits: dict[str, float]) -> DataFrame:
     """row, lang_pred, score, cross_entropy and rejected of ``texts`` (row, text), by joins with the model's tables."""
     langs = sorted(model)
-    grams = materialize(texts.select("row", "text").mapInArrow(_row_grams, "row long, gram string, n long"), "row-grams")
+    grams = materialize(texts.select("row", "text").mapInArrow(Lean(_row_grams), "row long, gram string, n long"), "row-grams")
     every = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(x).alias("lang"), F.lit(model.uniform[x]).alias("p")) for k, x in enumerate(langs)))
     p = grams.select("gram").distinct().select("gram", F.explode(every).alias("e")).select("gram", "e.k", "e.lang", "e.p")
     for n, (values, contexts) in enumerate(model.orders, 1):
@@ -315,7 +315,7 @@ def _judged_by_tables(texts: DataFrame, model: Tables, limits: dict[str, float])
             yield pa.RecordBatch.from_arrays([batch.column(0), *_judged(*judge(entropy / np.maximum(count, 1)[:, None], count))], names=["row", *_JUDGED])
 
     kinds = "row long, lang_pred string, score double, cross_entropy double, rejected boolean"
-    return texts.select("row").join(of_row, "row", "left").select("row", "count", "x").mapInArrow(run, kinds)
+    return texts.select("row").join(of_row, "row", "left").select("row", "count", "x").mapInArrow(Lean(run), kinds)
 
 
 def predict(docs: DataFrame, model: Model | Tables, limits: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +337,7 @@ def predict(docs: DataFrame, model: Model | Tables, limits: dict[str, float] | N
             for first, texts in _steps(batch, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *_judged(*rows(texts))], names=["doc_id", *_JUDGED])
 
-    return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return narrow(docs, id_col, text_col).mapInArrow(Lean(run), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model | Tables, limits: dict[str, float], text_col: str = "text") -> DataFrame:
@@ -355,7 +355,7 @@ def accepted(docs: DataFrame, model: Model | Tables, limits: dict[str, float], t
             for first, texts in _steps(batch, at):
                 yield batch.slice(first, len(texts)).filter(pa.array(~rows(texts)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(Lean(run), docs.schema)
 
 
 def calibrate(train: DataFrame, model: Model | Tables) -> dict[str, float]:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placescope.llm.arrow import blocks, buffers, narrow
+from placescope.llm.arrow import Lean, blocks, buffers, narrow
 from placescope.llm.bytehash import digests, mix, sums
 from placescope.llm.components import components
 from placescope.session import materialize
@@ -184,12 +184,12 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("z").alias("za"))
     right = texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(_confirmed, "a long, b long"), "near-links")
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(Lean(_confirmed), "a long, b long"), "near-links")
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Size, key, half keys and signature of every row's shingle set; nulls for an empty set."""
-    return narrow(docs, id_col, text_col).mapInArrow(_signatures, "doc_id long, n_shingles long, k1 long, k2 long, halves array<long>, signature array<long>")
+    return narrow(docs, id_col, text_col).mapInArrow(Lean(_signatures), "doc_id long, n_shingles long, k1 long, k2 long, halves array<long>, signature array<long>")
 
 
 def _stars(nodes: DataFrame, step: int) -> DataFrame:
@@ -228,7 +228,7 @@ def _across(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     largest = tally.groupBy("h").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("all"))
     mixed = materialize(largest.filter("kinds > 1").select("h", F.col("most.label").alias("main"), (F.col("all") - F.col("most.c") > FEW_STRAYS).alias("hot")), "mixed-halves")
     hot = nodes.select("node", halves()).join(mixed.filter("hot").select("h"), "h").groupBy("node").agg(F.collect_list("h").alias("hot"))
-    short = texts.join(hot.select("node"), "node").mapInArrow(_short_sets, "node long, short array<short>, lost int")
+    short = texts.join(hot.select("node"), "node").mapInArrow(Lean(_short_sets), "node long, short array<short>, lost int")
     with_sets = materialize(hot.join(short, "node", "left"), "short-sets")
 
     words = [f"s{k}" for k in range(SIGNATURE_WORDS)]
@@ -280,9 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .filter("size(u) > 0 and size(v) > 0").drop("places"),
         "candidates",
     )
-    z = narrow(docs, id_col, text_col).mapInArrow(compressed, "doc_id long, z binary")
+    z = narrow(docs, id_col, text_col).mapInArrow(Lean(compressed), "doc_id long, z binary")
     texts = materialize(
-        z.join(candidates.select("node", "rep", "k1", "k2"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "k1", "k2", "z").mapInArrow(_matching, "node long, z binary"), "candidate-texts"
+        z.join(candidates.select("node", "rep", "k1", "k2"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "k1", "k2", "z").mapInArrow(Lean(_matching), "node long, z binary"), "candidate-texts"
     )
 
     nodes = candidates.select("node", "n", "weight", "halves", "signature", "u", "v", F.col("node").alias("label"))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placescope.llm.arrow import blocks, buffers, narrow
+from placescope.llm.arrow import Lean, blocks, buffers, narrow
 from placescope.session import materialize
 
 CAPACITY = 4096
@@ -336,7 +336,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
                     [doc, pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"]
                 )
 
-    return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return narrow(docs, id_col, text_col).mapInArrow(Lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
@@ -371,7 +371,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("place")).alias("rank")).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+        Lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
 
 

@@ -204,17 +204,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     ``docs`` has doc_id, text and tk, a hash of the text that tells rows with equal ids apart.
     """
     # Computed twice, for the counts and for the rows: that costs less than writing the rows.
-    runs = docs.select("doc_id", "tk", "text").mapInArrow(_runs(length, gram), "doc_id long, tk long, anchor long, run long")
+    runs = docs.select("doc_id", "tk", "text").mapInArrow(Lean(_runs(length, gram)), "doc_id long, tk long, anchor long, run long")
     counts = runs.select("anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     # Written, so that the join reads both sides from a shuffle of its own and can split a hot anchor's rows.
     shared = materialize(counts.select("anchor", F.ceil(F.col("c") / SHARE).alias("shares")), "repeated-anchors")
     repeated = runs.join(shared, "anchor").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("anchor", "shares", "run")).alias("runs"))
-    z = docs.select("doc_id", "tk", "text").mapInArrow(compressed, "doc_id long, tk long, z binary")
+    z = docs.select("doc_id", "tk", "text").mapInArrow(Lean(compressed), "doc_id long, tk long, z binary")
     same = z["doc_id"].eqNullSafe(repeated["doc_id"]) & (z["tk"] == repeated["tk"])
     with_text = z.join(repeated, same).select(z["doc_id"], z["tk"], "z", "runs")
-    parts = with_text.mapInArrow(_contexts(length, gram), "doc_id long, tk long, anchor long, shares long, run long, share long, part binary")
+    parts = with_text.mapInArrow(Lean(_contexts(length, gram)), "doc_id long, tk long, anchor long, shares long, run long, share long, part binary")
     found = materialize(
-        parts.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(_radix(length, gram), "kind int, doc_id long, tk long, start long, length long, digest long, n long"),
+        parts.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(Lean(_radix(length, gram)), "kind int, doc_id long, tk long, start long, length long, digest long, n long"),
         "repeated-windows",
     )
     spread = found.filter("kind = 1")
@@ -261,9 +261,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), carried.alias("carried"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
     spans = repeated_spans(d.drop("carried"), length, gram).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     kind = d.schema["carried"].dataType.simpleString()
-    z = d.select("doc_id", "tk", "carried", "text").mapInArrow(compressed, f"doc_id long, tk long, carried {kind}, z binary")
+    z = d.select("doc_id", "tk", "carried", "text").mapInArrow(Lean(compressed), f"doc_id long, tk long, carried {kind}, z binary")
     joined = z.join(spans, z["doc_id"].eqNullSafe(spans["doc_id"]) & (z["tk"] == spans["tk"]), "left").select(z["doc_id"], "carried", "z", "spans")
-    return joined.mapInArrow(_applied, f"doc_id long, carried {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(Lean(_applied), f"doc_id long, carried {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,7 +276,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
 
     out = without_repeats(docs, length, gram, id_col, text_col, tuple(c for c in docs.columns if c not in (id_col, text_col)) or ())
     kind = out.schema["carried"].dataType.simpleString()
-    rows = out.select("doc_id", "carried", "kept").mapInArrow(run, f"doc_id long, carried {kind}, text string")
+    rows = out.select("doc_id", "carried", "kept").mapInArrow(Lean(run), f"doc_id long, carried {kind}, text string")
     source = {id_col: F.col("doc_id"), text_col: F.col("text")}
     return rows.select(*(source.get(c, F.col("carried")[c]).alias(c) for c in docs.columns))
 

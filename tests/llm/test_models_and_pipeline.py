@@ -94,7 +94,7 @@ def _plain_toxicity(text, lexicon):
 
 def test_toxicity_hits_equal_naive_search():
     rnd = random.Random(31)
-    lexicon = toxicity.Lexicon({" tra": 1.5, " trash ": 2.0, " clown": 4.0, " los": 0.5, " é": 3.0, " sore loser ": 1.0})
+    lexicon = toxicity.Lexicon({" tra": 1.5, " trash ": 2.0, " clown": 4.0, " los": 0.5, " é": 3.0})
     parts = "trash tr4sh can bin clown fish clowns CLOWN class loser sore lost é ésa x-trash — … ¡trash! \u00ad th3 a".split(" ")
     measure = lexicon.matcher()
     for _ in range(1500):
