@@ -6,7 +6,7 @@ version, so no plan reads and overwrites the same path.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -70,6 +70,36 @@ def upsert_latest(current: DataFrame, new: DataFrame, key: str, at: str) -> Data
     )
 
 
+def valid_rows(rows: DataFrame, required: Mapping[str, str], optional: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose figures have the wanted types, typed, and the rows that do not.
+
+    A required column must be present and convert. An optional one may be null, blank or "None", which
+    counts as null; any other text that does not convert makes the row bad. Bad rows come back as they
+    were, with the first failing column in ``bad_column``.
+    """
+    bad, typed = F.lit(None).cast("string"), {}
+    for names, needed in ((required, True), (optional, False)):
+        for c, kind in names.items():
+            text = F.trim(F.col(c).cast("string"))
+            blank = text.isNull() | text.isin("", "None")
+            typed[c] = F.when(~blank, text.try_cast(kind))
+            bad = F.coalesce(bad, F.when(typed[c].isNull() & (F.lit(True) if needed else ~blank), F.lit(c)))
+    judged = rows.withColumn("bad_column", bad)
+    return judged.where("bad_column is null").drop("bad_column").withColumns(typed), judged.where("bad_column is not null")
+
+
+def upsert(current: DataFrame, incoming: DataFrame, key: str, order: Column) -> DataFrame:
+    """``current`` with every incoming row in place of the stored row of its key, whatever their timestamps.
+
+    Of several incoming rows of a key the last by ``order`` comes in; a null key never does. Columns
+    that the incoming rows lack become null. Only the batch is grouped; the stored rows pass a join
+    against its keys, which the planner broadcasts while they are few.
+    """
+    last = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*[c for c in incoming.columns if c != key]), order).alias("_row")).select(key, "_row.*")
+    kept = current.join(last.select(key), key, "left_anti").select(*current.columns)
+    return kept.unionByName(last.select(*[c for c in current.columns if c in last.columns]), allowMissingColumns=True)
+
+
 def parse_log(raw: DataFrame, ts: str, key: str, source: str, numbers: Sequence[str]) -> DataFrame:
     """Typed log rows: bad timestamps or non-numeric figures drop the row, commas are allowed."""
     typed = raw.withColumn(ts, F.col(ts).try_cast("timestamp"))
@@ -130,8 +160,10 @@ def star_join(core: DataFrame, signals: Sequence[DataFrame], key: str) -> DataFr
     return core
 
 
-def diagnostics(importances: DataFrame, figures: DataFrame, gates: DataFrame, anomalies: DataFrame, threshold: float = 0.15) -> DataFrame:
-    """The run's diagnostics as (section, item, json) rows.
+def diagnostics(
+    importances: DataFrame, figures: DataFrame, gates: DataFrame, anomalies: DataFrame, threshold: float = 0.15, moved: DataFrame | None = None
+) -> DataFrame:
+    """The run's diagnostics as (section, item, json) rows; of ``moved`` the rows beyond the drift limit.
 
     One row per item instead of one document: the flagged keys of a large run do not fit in a cell.
     """
@@ -141,9 +173,10 @@ def diagnostics(importances: DataFrame, figures: DataFrame, gates: DataFrame, an
         return df.select(F.lit(name).alias("section"), F.col(item).cast("string").alias("item"), body.alias("json"))
 
     flagged = anomalies.where(F.col("is_anomaly") | (F.col("anomaly_score") > threshold))
-    return (
+    parts = (
         section(importances, "importance", importances.columns[0])
         .unionByName(section(figures, "figure", figures.columns[0]))
         .unionByName(section(gates, "gate", gates.columns[0]))
         .unionByName(section(flagged, "anomaly", flagged.columns[0]))
     )
+    return parts if moved is None else parts.unionByName(section(moved.where("status = 'WARN'"), "drift", moved.columns[0]))

@@ -189,21 +189,58 @@ def ml12(spark, sf):
     return joined.select("entity", model.anchor(F.round("bulk", 2), F.col("v")).alias("anchor"))
 
 
+def own_anchors(s):
+    """A figure of its own for each entity that has bulk returns."""
+    return s.where("bulk is not null").select("entity", F.round(5000 + F.pmod(F.col("bulk"), F.lit(4000.0)), 2).alias("own_anchor"))
+
+
+def region_figures(s):
+    """Anchors of the even nations and the growth of each nation."""
+    sums = s.groupBy("nation").agg(F.round(F.avg("balance"), 2).alias("b"), F.sum("balance").alias("base"), F.sum("spend").alias("latest"))
+    growth = F.round(estimates.growth_pct(F.nullif("base", F.lit(0.0)), F.col("latest")), 4)
+    return sums.select("nation", F.when(F.col("nation") % 2 == 0, F.col("b")).alias("region_anchor"), growth.alias("region_growth"))
+
+
+@CATALOG.query(
+    "ml14_anchored_money",
+    f"""WITH {SIGNAL_SQL}, z0 AS (SELECT entity, fine, nation, bulk, (balance - avg(balance) OVER ()) / stddev_pop(balance) OVER () AS z FROM signals),
+r AS (SELECT nation, round(avg(balance), 2) AS v FROM signals GROUP BY 1),
+s AS (SELECT fine, count(*) AS n, avg(z) AS m, stddev_pop(z) AS d FROM z0 GROUP BY 1),
+a AS (SELECT entity, CASE WHEN bulk IS NOT NULL THEN round(5000 + bulk % 4000, 2) WHEN nation % 2 = 0 THEN v ELSE 7000 END AS anchor,
+  CASE WHEN n < 2 THEN z ELSE n / (n + 50) * ((z - m) / CASE WHEN d > 0 THEN d ELSE 1 END) + (1 - n / (n + 50)) * z END AS z_adj FROM z0 JOIN s USING (fine) JOIN r USING (nation)),
+i AS (SELECT *, greatest(least(z_adj, 100 / 30.0::DOUBLE), -2) AS zc FROM a)
+SELECT entity, anchor, CAST(round_even(greatest(least(100 + 30 * z_adj, 200), 40), 0) AS INTEGER) AS index_ml,
+  round_even(anchor * 4.1::DOUBLE * exp(0.55 * zc) / greatest(least(0.82 - 0.10 * zc, 0.85), 0.45), -2) AS est_monthly_income_hh,
+  round_even(anchor * 4.1::DOUBLE * exp(0.55 * zc), -2) AS est_monthly_spend_hh FROM i""",
+)
+def ml14_money(spark, sf):
+    """The refit's money step: own anchors, then those of the region, then the default."""
+    s = signal_table(spark, sf)
+    rows = refit.with_anchors(s.select("entity", "fine", "nation", F.col("balance").alias("z")), "entity", own_anchors(s), region_figures(s))
+    out = refit.money(model.credibility(stats.standardize(rows, ["z"]), "fine"))
+    return out.select("entity", "anchor", "index_ml", "est_monthly_income_hh", "est_monthly_spend_hh")
+
+
+def full_refit(spark, sf):
+    from placescope.plans.scoring import sc1
+
+    s = signal_table(spark, sf)
+    before = sc1(spark, sf).select("entity", F.col("index").alias("index_ml"))
+    return refit.run(
+        s, "entity", SIGNALS, ("urgent", "bulk"), rate="balance", regional="bulk", min_size=10,
+        own_anchors=own_anchors(s), regions=region_figures(s), covered_region=7, previous=before,
+    )
+
+
 @CATALOG.query("ml14_full_refit")
 def ml14(spark, sf):
     """Signals to refitted scores, committed as a table version that keeps rows added meanwhile."""
-    return refit.run(
-        roles.signals(spark, sf), "entity", SIGNALS, ("urgent", "bulk"), rate="balance", regional="bulk",
-        min_size=10,
-    ).scores
+    return full_refit(spark, sf).scores
 
 
 @CATALOG.query("snk11_diagnostics")
 def snk11(spark, sf):
-    return refit.run(
-        roles.signals(spark, sf), "entity", SIGNALS, ("urgent", "bulk"), rate="balance", regional="bulk",
-        min_size=10,
-    ).diagnostics
+    return full_refit(spark, sf).diagnostics
 
 
 @CATALOG.query("ml5_smoothed_model_score")

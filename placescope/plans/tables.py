@@ -125,6 +125,28 @@ def snk6(spark, sf):
     return done.select("key", "name", "figure")
 
 
+@CATALOG.query(
+    "snk6_upsert_validated",
+    """WITH raw AS (SELECT user_id AS key, ts, event_id, event_type, CASE WHEN event_id % 7 = 0 THEN 'n/a' WHEN event_id % 11 = 0 THEN 'None' ELSE CAST(CAST(value * 1000 AS BIGINT) AS VARCHAR) END AS figure FROM events),
+cur AS (SELECT key, max(ts) AS updated_at, 'stored' AS name FROM raw WHERE event_type <> 'purchase' GROUP BY 1),
+inc AS (SELECT key, arg_max(event_id, event_id) AS event_id, arg_max(TRY_CAST(figure AS BIGINT), event_id) AS figure FROM
+  (SELECT key, event_id, coalesce(TRY_CAST(figure AS BIGINT), -1) AS figure FROM raw WHERE event_type = 'purchase' AND event_id % 7 <> 0) GROUP BY 1)
+SELECT coalesce(cur.key, inc.key) AS key, CASE WHEN inc.key IS NULL THEN 'stored' ELSE 'incoming' END AS name, nullif(inc.figure, -1) AS figure FROM cur FULL JOIN inc ON cur.key = inc.key""",
+)
+def snk6_validated(spark, sf):
+    """Purchases with text figures over all other events: bad rows are skipped, the last good one of a key wins even if it is older."""
+    e = roles.table(spark, sf, "events").withColumnRenamed("user_id", "key")
+    figure = F.when(F.col("event_id") % 7 == 0, "n/a").when(F.col("event_id") % 11 == 0, "None").otherwise((F.col("value") * 1000).cast("long").cast("string"))
+    stored = e.where("event_type <> 'purchase'").groupBy("key").agg(F.max("ts").alias("updated_at"))
+    stored = stored.select("key", F.lit("stored").alias("name"), F.lit(None).cast("long").alias("figure"), "updated_at")
+    raw = e.where("event_type = 'purchase'").select("key", F.lit("incoming").alias("name"), figure.alias("figure"), F.col("ts").alias("updated_at"), "event_id")
+    good, _ = tables.valid_rows(raw, {"key": "long"}, {"figure": "long"})
+    path = fresh_path(spark, "upsert")
+    store.commit(stored, path)
+    done = store.commit(tables.upsert(store.read_current(spark, path), good, "key", F.col("event_id")), path)
+    return done.select("key", "name", "figure")
+
+
 @CATALOG.query(
     "snk7_insert_ignore",
     "SELECT event_id, user_id, event_type AS source, CAST(CAST(value * 1000 AS BIGINT) AS DOUBLE) AS income FROM events WHERE event_type <> 'error'",

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -107,3 +108,29 @@ def test_index_and_money_saturate_together(spark):
     r = model.index_and_money(df).collect()
     assert (r[0]["index_ml"], r[1]["index_ml"], r[2]["index_ml"]) == (200, 200, 40)
     assert r[0]["est_monthly_income_hh"] == r[1]["est_monthly_income_hh"]
+
+
+def test_refit_uses_anchors_growth_and_the_drift_gate(spark):
+    """Twins that differ in their anchor only get the same index and money in the ratio of the anchors."""
+    from placescope.plans import refit
+
+    rows = []
+    for k in range(60):
+        nation, twin = k % 3, k // 2 if k < 20 else k
+        fixed = random.Random(twin)
+        rows.append((k, f"n{k}", 10.0 + (twin % 7) / 10, 70.0 + (twin % 5) / 10, f"{twin % 4}", f"{twin % 2}", nation if k >= 20 else 1, fixed.random(), fixed.random() if twin % 3 else None, fixed.random()))
+    table = spark.createDataFrame(rows, "k long, name string, lat double, lng double, fine string, coarse string, nation long, a double, b double, c double")
+    own = spark.createDataFrame([(k, 5000.0 if k % 2 else 10000.0) for k in range(20)] + [(21, 0.0)], "k long, own_anchor double")
+    regions = spark.createDataFrame([(0, 6000.0, 1.5), (1, None, -2.0)], "nation long, region_anchor double, region_growth double")
+    anchored = {r.k: (r.own_anchor, r.region_anchor, r.region_growth) for r in refit.with_anchors(table, "k", own, regions).collect()}
+    assert anchored[0] == (10000.0, None, -2.0) and anchored[21] == (0.0, 6000.0, 1.5) and anchored[20] == (None, None, None)
+    before = spark.createDataFrame([(k, 100 if k else 300) for k in range(60)], "k long, index_ml int")
+    done = refit.run(table, "k", ["a", "b", "c"], ("c",), rate="a", regional="b", tree_iterations=2, forest_trees=2, own_anchors=own, regions=regions, covered_region=1, previous=before)
+    got = {r.k: r for r in done.scores.collect()}
+    for k in range(0, 20, 2):
+        one, two = got[k], got[k + 1]
+        assert one.index_ml == two.index_ml and abs(one.est_monthly_spend_hh - 2 * two.est_monthly_spend_hh) <= 300 and one.est_monthly_spend_hh > two.est_monthly_spend_hh
+    said = done.diagnostics.collect()
+    figures = {r.item: r.json for r in said if r.section == "figure"}
+    moved = {int(r.item) for r in said if r.section == "drift"}
+    assert '"value":60.0' in figures["drift_rows"] and moved == {k for k in got if abs(got[k].index_ml - (100 if k else 300)) > 10} and "linear_region_growth" in figures

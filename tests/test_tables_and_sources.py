@@ -44,6 +44,18 @@ def test_upsert_and_versions(spark, tmp_path):
     assert rows(store.read_current(spark, base), "k", "v") == rows(done, "k", "v")
 
 
+def test_bad_rows_are_counted_and_an_older_incoming_row_wins(spark):
+    raw = spark.createDataFrame(
+        [("a", "1.5", "None", 1), ("a", "2.5", " ", 2), ("b", "x", "3", 3), ("c", None, "3", 4), ("d", "4", "y", 5), ("e", "1e400x", None, 6), (None, "1", "2", 7), ("f", "7", "8", 8)],
+        "k string, lat string, spend string, n int",
+    )
+    good, bad = tables.valid_rows(raw, {"lat": "double"}, {"spend": "double"})
+    assert rows(bad, "k", "bad_column") == [("b", "lat"), ("c", "lat"), ("d", "spend"), ("e", "lat")]
+    cur = spark.createDataFrame([("a", 9.0, 9.0, 99), ("z", 1.0, None, 99)], "k string, lat double, spend double, n int")
+    assert sorted(map(tuple, tables.upsert(cur, good, "k", F.col("n")).collect())) == [("a", 2.5, None, 2), ("f", 7.0, 8.0, 8), ("z", 1.0, None, 99)]
+    assert rows(tables.upsert(cur, good.limit(0), "k", F.col("n")), "k") == [("a",), ("z",)]
+
+
 def test_log_rows_with_bad_figures_are_skipped(spark):
     raw = spark.createDataFrame(
         [("2026-01-01T00:00:00Z", "k1", "s", "1,200"), ("bad", "k2", "s", "1"), ("2026-01-01T00:00:00+00:00", "k3", "s", "x"),
