@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placescope.llm.arrow import BLOCK_BYTES, blocks, buffers
+from placescope.llm.arrow import BLOCK_BYTES, Lean, blocks, buffers
 from placescope.llm.bytehash import _INVERSE, _power_table, digests, mix, sums
 from placescope.llm.minhash import compressed
 from placescope.session import materialize
