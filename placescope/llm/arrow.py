@@ -52,6 +52,14 @@ def strings(column: pa.Array) -> Iterator[str]:
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def give_back() -> None:
+    """Return memory that the allocators hold but do not use to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 class Lean:
     """A batch function that gives freed memory back to the system when its task ends.
 
@@ -66,7 +74,4 @@ class Lean:
         try:
             yield from self.run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-            if trim:
-                trim(0)
+            give_back()

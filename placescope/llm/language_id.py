@@ -15,10 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placescope.llm.arrow import Lean, narrow, strings
+from placescope.llm.arrow import Lean, give_back, narrow, strings
 from placescope.llm.bytehash import mix
 from placescope.session import materialize
 
@@ -132,6 +133,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts with the hashes of their grams and contexts, so that the driver gets numbers only."""
+    for batch in batches:
+        grams, contexts = (_gram_hash(batch.column(c).to_pylist()) for c in ("gram", "context"))
+        context = contexts if len(contexts) and len(batch.column("context")[0].as_py()) else np.zeros(batch.num_rows, np.uint64)
+        columns = [batch.column("lang"), pa.array(grams.view(np.int64)), pa.array(context.view(np.int64)), *(batch.column(c) for c in ("n", "total", "kinds"))]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "context", "n", "total", "kinds"])
+
+
 def gram_counts(train: DataFrame) -> DataFrame:
     """Counts of the 4-grams of each language; ``train`` has text and lang, all rows count."""
     rows = train.filter("lang is not null and text is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
@@ -198,24 +208,25 @@ def fit(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Model | Tables:
             contexts = ctx.select("lang", "context", (d * F.col("kinds") / F.col("total")).alias("backoff"))
             kept.append((materialize(grams, f"order-{n}"), materialize(contexts, f"contexts-{n}")))
         else:
-            tables.append((n, joined.toPandas(), few))
+            tables.append((n, joined.mapInArrow(Lean(_hashed), "lang string, gram long, context long, n long, total long, kinds long").toArrow(), few))
     if large:
         return Tables({r["lang"]: 1.0 / (r["n"] + 1) for r in sorted(level.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())}, kept[::-1])
     for lang in sorted(langs):
         orders, alphabet = [], 1
         for n, table, few in reversed(tables):  # from single characters up
-            own = table[table["lang"] == lang]
+            own = table.filter(pc.equal(table["lang"], lang))
+            column = lambda name: own[name].to_numpy()  # noqa: B023, E731
             discount = _discount(*few.get(lang, (0, 0)))
-            grams = _gram_hash(own["gram"].tolist())
+            grams = column("gram").view(np.uint64)
             at = np.argsort(grams)
-            value = (np.maximum(own["n"].to_numpy(float) - discount, 0) / own["total"].to_numpy(float))[at]
-            contexts = own.drop_duplicates("context")
-            keys = _gram_hash(contexts["context"].tolist()) if n > 1 else np.zeros(len(contexts), np.uint64)
-            by = np.argsort(keys)
-            backoff = (discount * contexts["kinds"].to_numpy(float) / contexts["total"].to_numpy(float))[by]
-            orders.append(Order(grams[at], value, keys[by], backoff))
+            value = (np.maximum(column("n") - discount, 0) / column("total"))[at]
+            keys, by = np.unique(column("context").view(np.uint64), return_index=True)
+            backoff = (discount * column("kinds") / column("total"))[by]
+            orders.append(Order(grams[at], value, keys, backoff))
             alphabet = len(own) + 1 if n == 1 else alphabet
         model[lang] = (orders, 1.0 / alphabet)
+    del tables
+    give_back()
     return model
 
 
