@@ -29,7 +29,7 @@ MAX_ENTRIES = 1_000_000
 #: Digits to which cross-entropies are rounded for the rejection thresholds.
 DIGITS = 4
 #: Characters that one vectorised step works on; a longer text is a step of its own.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 #: Characters of evidence that the confidence counts at most.
 EVIDENCE = 64
 UNDETERMINED = "und"
