@@ -61,7 +61,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens with their sequence and offset."""
     bounded_batches(spark)
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), text_bytes=1 << 20)
 
 
 STAGES = [
