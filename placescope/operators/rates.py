@@ -10,6 +10,9 @@ from placescope.operators.quantile import exact_quantiles, medians
 
 LAKH, CRORE = 100_000, 10_000_000
 
+#: Positions of a file that one task carries labels over.
+RANGE_LINES = 100_000
+
 
 def weighted_mean(value: Column, weight: Column, where: Column | None = None) -> Column:
     """Aggregate: weighted mean, 0 when the weights sum to nothing."""
@@ -131,10 +134,21 @@ def latest_year_table(long: DataFrame, key: str) -> DataFrame:
     return long.where(F.col("year") == newest)
 
 
-def carry_down(df: DataFrame, file: str, pos: str, label: str, out: str) -> DataFrame:
-    """Last label seen at or above each line of its file."""
-    above = W.partitionBy(file).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(label, ignorenulls=True).over(above))
+def carry_down(df: DataFrame, file: str, pos: str, label: str, out: str, lines: int = RANGE_LINES) -> DataFrame:
+    """Last label seen at or above each line of its file; null above the first one.
+
+    ``pos`` is a whole number, each once in a file. A file is cut into ranges of ``lines`` positions, and the
+    last label before a range enters it as a line above its first. So a task orders one range, and the
+    window over a whole file meets one row per range.
+    """
+    ranged = df.withColumn("_range", F.floor(F.col(pos) / lines))
+    labelled = F.when(F.col(label).isNotNull(), F.col(pos))
+    last = ranged.groupBy(file, "_range").agg(F.max_by(label, labelled).alias("_last"))
+    before = W.partitionBy(file).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    heads = last.select(file, "_range", F.last("_last", ignorenulls=True).over(before).alias(label), F.lit(True).alias("_head"))
+    rows = ranged.withColumn("_head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    above = W.partitionBy(file, "_range").orderBy(F.col("_head").desc(), pos).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn(out, F.last(label, ignorenulls=True).over(above)).where("not _head").drop("_range", "_head")
 
 
 def donor_fill(figures: DataFrame, key: str, missing: str, donor: str) -> DataFrame:

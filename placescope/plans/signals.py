@@ -262,6 +262,20 @@ def agg11(spark, sf):
     return rates.latest_value(facts, WANTED, "name", "year", "value")
 
 
+@CATALOG.query(
+    "agg12_carry_down",
+    """WITH lines AS (SELECT event_id, user_id % 16 AS file, value, CASE WHEN event_id % 5 = 0 THEN event_type END AS heading FROM events),
+c AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY file ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label FROM lines)
+SELECT event_id, file, label, value FROM c WHERE heading IS NULL""",
+)
+def agg12_carry(spark, sf):
+    """Events as lines of 16 files, every fifth a heading that holds for the lines below it."""
+    heading = F.when(F.col("event_id") % 5 == 0, F.col("event_type"))
+    lines = roles.table(spark, sf, "events").select("event_id", (F.col("user_id") % 16).alias("file"), "value", heading.alias("heading"))
+    carried = rates.carry_down(lines, "file", "event_id", "heading", "label")
+    return carried.where("heading is null").select("event_id", "file", "label", "value")
+
+
 @CATALOG.query(
     "agg12_latest_year_table",
     """WITH y AS (SELECT c_nationkey AS nation, year(o_orderdate) AS year, round(sum(o_totalprice), 2) AS value

@@ -1,6 +1,7 @@
-import pytest
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from placescope.operators import rates, tables
@@ -137,6 +138,21 @@ def test_carry_down_and_donor(spark):
     assert rows(filled, "k", "v") == [("A", 1), ("T", 1)]
 
 
+def test_carry_down_over_ranges_equals_one_walk(spark):
+    rnd = random.Random(5)
+    lines = [(f, p, rnd.choice("AB") if rnd.random() < 0.1 else None) for f in ("x", "y", None) for p in rnd.sample(range(-50, 400), 200)]
+    want, last = [], {}
+    for f, p, label in sorted(lines, key=lambda r: (r[0] or "", r[1])):
+        last[f] = label or last.get(f)
+        want.append((f, p, last[f]))
+    df = spark.createDataFrame(lines, "file string, pos long, label string")
+    for size in (7, 1000):
+        got = rates.carry_down(df, "file", "pos", "label", "state", size)
+        assert got.columns == ["file", "pos", "label", "state"]
+        assert sorted(((r.file, r.pos, r.state) for r in got.collect()), key=lambda r: (r[0] or "", r[1])) == want
+    assert rates.carry_down(df.limit(0), "file", "pos", "label", "state").count() == 0
+
+
 def test_log_stream_replays_add_nothing(spark, tmp_path):
     land, base, check = (str(tmp_path / n) for n in ("land", "log", "check"))
     one = spark.createDataFrame([(1, "2026-01-05 00:00:00", "a"), (2, "2026-01-05 00:00:00", "b")], "id int, t string, s string")
