@@ -59,6 +59,11 @@ def _squared(prefix: str) -> Column:
     return sum((F.col(f"_{c}") - F.col(f"{prefix}{c}")) ** 2 for c in ("x", "y", "z"))
 
 
+def _keyed_join(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Sort-merge join: rows multiplied by ``explode`` are planned as small and would be broadcast whole."""
+    return a.join(b.hint("merge"), list(on), how)
+
+
 def places(points: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
     """One row per distinct (lat, lng) with the given aggregates."""
     return points.groupBy("lat", "lng").agg(*[c.alias(n) for n, c in sums.items()])
@@ -148,7 +153,8 @@ def knn(
         *[F.col(v).alias(f"_v_{v}") for v in values],
         "_x", "_y", "_z",
     )
-    q = with_xyz(queries.select(*by, query_key, "lat", "lng")).where("_x is not null")
+    # Dealt by key first: a small file would be one task, and each row becomes TOP_LEVEL + 1 rows.
+    q = with_xyz(queries.select(*by, query_key, "lat", "lng").repartition(query_key)).where("_x is not null")
     r_cells = r.withColumn("_c", F.explode(_levels()))
     placed = r_cells.select(*by, "_c", "_rk", F.col("_x").alias("_bx"), F.col("_y").alias("_by"), F.col("_z").alias("_bz"))
     in_cell = W.partitionBy(*by, "_c").orderBy("_rk")
@@ -159,13 +165,12 @@ def knn(
     full = sample.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= need)
     top = F.struct(F.lit(TOP_LEVEL).alias("level"), *[F.lit(0).cast("long").alias(c) for c in "xyz"])
     own = (
-        q.withColumn("_c", F.explode(_levels()))
-        .join(full, [*by, "_c"])
+        _keyed_join(q.select(*by, query_key, F.explode(_levels()).alias("_c")), full, [*by, "_c"])
         .groupBy(query_key, *by)
         .agg(F.min_by("_c", F.col("_c.level")).alias("_c"))
     )
-    q_own = q.join(own, [query_key, *by], "left").withColumn("_c", F.coalesce("_c", top))
-    near = q_own.join(sample, [*by, "_c"]).select(query_key, F.sqrt(_squared("_b")).alias("_d"))
+    q_own = _keyed_join(q, own, [query_key, *by], "left").withColumn("_c", F.coalesce("_c", top))
+    near = _keyed_join(q_own, sample, [*by, "_c"]).select(query_key, F.sqrt(_squared("_b")).alias("_d"))
     to_kth = W.partitionBy(query_key).orderBy("_d")
     kth = (
         near.withColumn("_rn", F.row_number().over(to_kth))
@@ -176,7 +181,7 @@ def knn(
     limit = 2 * 6371.0 if max_km is None else chord(max_km)
     # A hair above the bound keeps the k-th point itself inside after rounding.
     bound = F.when(F.col("_n") >= need, F.col("_d") * (1 + 1e-9) + 1e-6).otherwise(F.lit(2 * 6371.0))
-    q_ball = q.join(kth, query_key).withColumn("_radius", F.least(bound, F.lit(limit)))
+    q_ball = _keyed_join(q, kth, [query_key]).withColumn("_radius", F.least(bound, F.lit(limit)))
     level = F.greatest(
         F.lit(0), F.least(F.lit(TOP_LEVEL), F.ceil(F.log2(F.col("_radius") / F.lit(FINEST_KM))).cast("int"))
     )
@@ -185,12 +190,15 @@ def knn(
         _covering(F.col("_radius"), size, SHIFT_KM),
         lambda c: F.struct(F.col("_level").alias("level"), c["x"].alias("x"), c["y"].alias("y"), c["z"].alias("z")),
     )
-    q_cells = q_ball.withColumn("_level", level).withColumn("_c", F.explode(cover)).select(
+    q_ball = q_ball.withColumn("_level", level)
+    # At most TOP_LEVEL + 1 rows: references stand only in cells of a level that some ball is searched on.
+    searched = F.broadcast(q_ball.select(F.col("_level").alias("_used")).distinct())
+    q_cells = q_ball.withColumn("_c", F.explode(cover)).select(
         query_key, *by, "_c", "_radius", F.col("lat").alias("_qlat"), F.col("lng").alias("_qlng"),
         *[F.col(f"_{c}").alias(f"_q{c}") for c in "xyz"],
     )
     hits = (
-        q_cells.join(r_cells, [*by, "_c"])
+        _keyed_join(q_cells, r_cells.join(searched, F.col("_c.level") == F.col("_used"), "left_semi"), [*by, "_c"])
         .withColumn("_chord", F.sqrt(_squared("_q")))
         .where(F.col("_chord") <= F.col("_radius"))
     )

@@ -124,6 +124,20 @@ def test_idw_stays_between_its_neighbours(spark, world):
     assert out.where("v < lo - 1e-9 or v > hi + 1e-9").count() == 0
 
 
+def broadcasts(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "BroadcastExchange" in line], plan
+
+
+def test_neighbour_search_broadcasts_only_the_searched_levels(spark, world, tmp_path):
+    """Points of a packed file are planned as small; broadcast after the explode they stopped the driver."""
+    frame(spark, world).write.parquet(str(tmp_path / "points"))
+    df = spark.read.parquet(str(tmp_path / "points"))
+    for out in (spatial.nearest_other(df, "k"), spatial.knn(df.withColumnRenamed("k", "q"), df, "q", "k", 8, ["v"], max_km=30)):
+        found, plan = broadcasts(out.where("true"))
+        assert plan.count("LeftSemi, BuildRight") == len(found) >= 1
+
+
 def test_no_nested_loop_or_cartesian_plan(spark, world):
     df = frame(spark, world)
     for out in (spatial.knn(df.withColumnRenamed("k", "q"), df, "q", "k", 3), spatial.smooth(df, "k", "v")):
