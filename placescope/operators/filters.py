@@ -40,7 +40,7 @@ def trusted(df: DataFrame, method: str, accepted: Sequence[str] = ("exact", "ver
 
 def precedence_union(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """All of ``first`` plus the rows of ``second`` whose key it lacks."""
-    return first.unionByName(second.join(first.select(key), key, "left_anti"), allowMissingColumns=True)
+    return first.unionByName(second.join(first.select(key).hint("merge"), key, "left_anti"), allowMissingColumns=True)
 
 
 def within_radius(df: DataFrame, lat: float, lng: float, km: float) -> DataFrame:

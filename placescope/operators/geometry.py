@@ -153,8 +153,9 @@ def assemble_boundaries(
 
     ``official``, ``cached``: key, parts. ``anchors``: key, lat, lng, nn_km. Official shapes win and
     are not size-checked; all get far parts dropped and are emptied when nowhere near their anchor.
+    The joins are sort-merge: shapes are many times larger than the planner takes them for.
     """
-    own = anchors.join(cached.withColumnRenamed("parts", "_cached"), key, "left")
+    own = anchors.join(cached.withColumnRenamed("parts", "_cached").hint("merge"), key, "left")
     fits = F.coalesce(reasonable_size(F.col("_cached"), F.col("nn_km")), F.lit(False))
     own = own.select(
         key,
@@ -162,5 +163,5 @@ def assemble_boundaries(
         F.when(fits, "cached").otherwise("circle").alias("layer"),
     )
     layers = precedence_union(official.select(key, "parts", F.lit("official").alias("layer")), own, key)
-    placed = layers.join(anchors.select(key, "lat", "lng"), key, "left")
+    placed = layers.join(anchors.select(key, "lat", "lng").hint("merge"), key, "left")
     return reject_far(drop_far_parts(placed, "parts"), "parts").select(key, "layer", "parts")

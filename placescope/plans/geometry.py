@@ -165,7 +165,8 @@ SELECT entity, {hav('y0', 'x0', 'y1', 'x1')} <= least(15, greatest(nn * 2, 2.5))
 def geo7(spark, sf):
     s = shapes(spark, sf)
     nn = spatial.nearest_other(s.select("entity", "lat", "lng"), "entity")
-    return s.join(nn, "entity").select("entity", geometry.reasonable_size(F.col("parts"), F.col("nn_km")).alias("fits"))
+    # Planned by the size of the packed file, the shapes would be broadcast whole.
+    return s.join(nn.hint("merge"), "entity").select("entity", geometry.reasonable_size(F.col("parts"), F.col("nn_km")).alias("fits"))
 
 
 _CIRCLE_ROWS = " UNION ALL ".join(
@@ -195,7 +196,7 @@ def geo9(spark, sf):
     official = s.where("entity % 3 = 0").select("entity", "parts")
     cached = s.where("entity % 3 = 1").select("entity", "parts")
     anchors = s.select("entity", "lat", "lng").join(
-        spatial.nearest_other(s.select("entity", "lat", "lng"), "entity"), "entity"
+        spatial.nearest_other(s.select("entity", "lat", "lng"), "entity").hint("merge"), "entity"
     )
     out = geometry.assemble_boundaries(official, cached, anchors, "entity")
     n = F.when(F.col("parts").isNull(), 0).otherwise(F.size("parts"))
