@@ -7,8 +7,10 @@ the same place collapse to one row first, so a place holding a third of all rows
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from placescope.functions.geo import cartesian, chord, haversine
@@ -16,6 +18,9 @@ from placescope.functions.geo import cartesian, chord, haversine
 # Cells with more distinct places than this are split among several tasks.
 PLACES_PER_SPLIT = 20_000
 
+# Pairs held at once while a task sums over pairs, and tiles per radius that it sorts places into.
+PAIRS_AT_ONCE, TILES_PER_RADIUS = 16_384, 4
+
 # Dyadic grid of the neighbour search: level l has cells of FINEST_KM * 2**l km. Coordinates are
 # shifted to be positive, so cells nest and the top level holds the whole globe in one cell. With
 # coordinates of six decimals (11 cm) a finest cell of 16 m has room for about 21,000 places, which
@@ -101,6 +106,94 @@ def pairs_within(a: DataFrame, b: DataFrame, km: float, chord_km: str = "chord_k
     )
 
 
+def _tiles(xyz: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tiles, their row counts and the order that puts rows of a tile together."""
+    found, tile, counts = np.unique(np.floor(xyz / width), axis=0, return_inverse=True, return_counts=True)
+    return found, counts, np.argsort(tile.reshape(-1), kind="stable")
+
+
+def _sum_pairs(radius: float, weight: Callable[[np.ndarray], np.ndarray], names: Sequence[str], columns: Sequence[str]):
+    """Weighted sums over the right rows in reach for each left row of a group, a tile of left rows at a time."""
+    width = radius / TILES_PER_RADIUS
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({c: pd.Series(dtype="float64") for c in columns})
+        a, b = left[["_x", "_y", "_z"]].to_numpy("float64"), right[["_x", "_y", "_z"]].to_numpy("float64")
+        a_tiles, a_counts, a_order = _tiles(a, width)
+        b_tiles, b_counts, b_order = _tiles(b, width)
+        b, values = b[b_order], right[list(names)].to_numpy("float64")[b_order]
+        finite = bool(np.isfinite(values).all())
+        sums, hits = np.zeros((len(a), len(names))), np.zeros(len(a), dtype=bool)
+        ends = np.cumsum(a_counts)
+        for tile, end, count in zip(a_tiles, ends, a_counts):
+            gap = np.maximum(np.abs(b_tiles - tile) - 1, 0) * width
+            meets = np.repeat((gap * gap).sum(axis=1) <= radius * radius * (1 + 1e-9), b_counts)
+            if not meets.any():
+                continue
+            (x, y, z), v = b[meets].T.copy(), values[meets]
+            step = max(1, PAIRS_AT_ONCE // len(x))
+            for start in range(end - count, end, step):
+                at = a_order[start : min(end, start + step)]
+                d = np.subtract.outer(a[at, 0], x)
+                d *= d
+                for other, c in ((a[at, 1], y), (a[at, 2], z)):
+                    e = np.subtract.outer(other, c)
+                    e *= e
+                    d += e
+                np.sqrt(d, out=d)
+                reached = d <= radius
+                w = weight(d)
+                np.copyto(w, 0.0, where=~reached)
+                hits[at] = reached.any(axis=1)
+                # A value that is not finite counts only within reach: 0 x NaN would spread it.
+                sums[at] = w @ v if finite else np.where(reached[:, :, None], w[:, :, None] * v, 0.0).sum(axis=1)
+        out = left.assign(**{n: sums[:, i] for i, n in enumerate(names)})[hits]
+        return out[list(columns)]
+
+    return run
+
+
+def sums_within(spots: DataFrame, km: float, weight: Callable[[np.ndarray], np.ndarray], sums: Mapping[str, str], keep: Sequence[str] = ()) -> DataFrame:
+    """Per place the sums of ``weight`` (of the chord lengths) times columns over all places at most ``km`` away.
+
+    ``sums`` names the result of each column, ``keep`` other columns of the place. As in ``pairs_within``
+    both sides meet in cells twice the radius wide; no pair becomes a row. Both sides of a cell beyond
+    ``PLACES_PER_SPLIT`` rows are split by content hash and every split of one side meets every split of
+    the other, so a group has a bounded number of rows.
+    """
+    radius = chord(km)
+    size, cell = 2 * radius, ["_cx", "_cy", "_cz"]
+    placed = with_xyz(spots).where("_x is not null and not isnan(_x)")
+    at = ["lat", "lng", "_x", "_y", "_z"]
+
+    def in_cells(column: str) -> list[Column]:
+        return [F.col(f"{column}.{c}").alias(f"_c{c}") for c in "xyz"]
+
+    left = placed.withColumn("_c", F.explode(_covering(F.lit(radius), F.lit(size)))).select(*at, *keep, *in_cells("_c"))
+    right = placed.withColumn("_c", _cell(size)).select(
+        *[F.col(c).alias(c) for c in at], *[F.col(c).cast("double").alias(n) for n, c in sums.items()], *in_cells("_c")
+    )
+    splits = lambda n: F.ceil(F.count(F.lit(1)) / PLACES_PER_SPLIT).cast("int").alias(n)
+    counts = _keyed_join(left.groupBy(*cell).agg(splits("_m")), right.groupBy(*cell).agg(splits("_n")), cell)
+    own = lambda n: F.array(F.pmod(F.xxhash64("lat", "lng"), F.col(n)).cast("int"))
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    group = [*cell, "_i", "_j"]
+    parts = int(spots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(side: DataFrame, i: Column, j: Column) -> DataFrame:
+        met = _keyed_join(side, counts, cell).withColumn("_i", F.explode(i)).withColumn("_j", F.explode(j))
+        return met.drop("_m", "_n").repartition(parts, *group).groupBy(*group)
+
+    schema = left.select("lat", "lng", *keep).schema
+    for n in sums:
+        schema = schema.add(n, "double")
+    found = dealt(left, own("_m"), all_of("_n")).cogroup(dealt(right, all_of("_m"), own("_n"))).applyInPandas(
+        _sum_pairs(radius, weight, list(sums), schema.names), schema
+    )
+    return found.groupBy("lat", "lng").agg(*[F.first(k).alias(k) for k in keep], *[F.sum(n).alias(n) for n in sums])
+
+
 def _levels() -> Column:
     """Cells of all levels a point lies in, as (level, x, y, z)."""
 
@@ -280,12 +373,8 @@ def smooth(points: DataFrame, key: str, value: str, km: float = 20.0, floor_km:
     All points of a place share the result, so weights are summed per place pair.
     """
     spots = places(points.where(F.col(value).isNotNull()), {"_n": F.count(F.lit(1)), "_s": F.sum(value)})
-    w = 1 / F.greatest(F.col("chord_km"), F.lit(floor_km))
-    smoothed = (
-        pairs_within(spots.select("lat", "lng"), spots, km)
-        .groupBy("lat", "lng")
-        .agg((F.sum(w * F.col("b__s")) / F.sum(w * F.col("b__n"))).alias("smoothed"))
-    )
+    sums = sums_within(spots, km, lambda d: 1 / np.maximum(d, floor_km), {"_ws": "_s", "_w": "_n"})
+    smoothed = sums.select("lat", "lng", (F.col("_ws") / F.col("_w")).alias("smoothed"))
     return points.select(key, "lat", "lng").join(smoothed, ["lat", "lng"]).select(key, "smoothed")
 
 
@@ -297,13 +386,8 @@ def morans_i(points: DataFrame, value: str, km: float = 25.0) -> DataFrame:
         rows.select("lat", "lng", (F.col(value) - mean).alias("_z")),
         {"_n": F.count(F.lit(1)), "_s": F.sum("_z"), "_q": F.sum(F.col("_z") * F.col("_z"))},
     )
-    w = 1 / ((F.col("chord_km") + 1) * (F.col("chord_km") + 1))
-    per_place = pairs_within(spots, spots, km).groupBy("lat", "lng").agg(
-        F.first("_s").alias("_s"),
-        F.first("_q").alias("_q"),
-        (F.sum(w * F.col("b__n")) - 1).alias("_w"),
-        F.sum(w * F.col("b__s")).alias("_ws"),
-    )
+    per_place = sums_within(spots, km, lambda d: 1 / ((d + 1) * (d + 1)), {"_w": "_n", "_ws": "_s"}, ["_s", "_q"])
+    per_place = per_place.withColumn("_w", F.col("_w") - 1)
     # Each member's own pair has weight 1 and is taken out again.
     part = F.when(
         F.col("_w") > 1e-12, (F.col("_s") * F.col("_ws") - F.col("_q")) / (F.col("_w") + 1e-9)

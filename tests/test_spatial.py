@@ -103,6 +103,19 @@ def test_smoother_and_density_equal_brute_force(spark, world):
         assert dense[k] == sum(h <= 10 for *_, h in chord)
 
 
+def test_pair_sums_split_both_sides_and_keep_odd_values_within_reach(spark, world, monkeypatch):
+    """No pair becomes a row; a value that is not a number reaches its neighbours only."""
+    monkeypatch.setattr(spatial, "PLACES_PER_SPLIT", 10)
+    df = frame(spark, [*world, (9000, -45.0, 100.0, float("nan")), (9001, -45.01, 100.0, 1.0), (9002, None, 1.0, 1.0)])
+    out = spatial.smooth(df, "k", "v")
+    assert "FlatMapCoGroupsIn" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: r["smoothed"] for r in out.collect()}
+    assert 9002 not in got and {k for k, v in got.items() if math.isnan(v)} == {9000, 9001}
+    for k, la, lo, _ in world[::9]:
+        near = [(1 / max(2 * 6371 * math.sin(hav((la, lo), r[1:3]) / 2 / 6371), 0.1), r[3]) for r in world if hav((la, lo), r[1:3]) <= 20]
+        assert got[k] == pytest.approx(sum(a * v for a, v in near) / sum(a for a, _ in near), rel=1e-6)
+
+
 def test_morans_i(spark, world):
     df = frame(spark, world)
     z = np.array([r[3] for r in world]) - np.mean([r[3] for r in world])
