@@ -1,5 +1,6 @@
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -134,3 +135,18 @@ def test_refit_uses_anchors_growth_and_the_drift_gate(spark):
     figures = {r.item: r.json for r in said if r.section == "figure"}
     moved = {int(r.item) for r in said if r.section == "drift"}
     assert '"value":60.0' in figures["drift_rows"] and moved == {k for k in got if abs(got[k].index_ml - (100 if k else 300)) > 10} and "linear_region_growth" in figures
+
+
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    """One fold after the other, the first would wait here in vain for the second."""
+    both = threading.Barrier(2, timeout=60)
+    fitted = model._trees
+
+    class Together:
+        def fit(self, rows):
+            both.wait()
+            return fitted(2).fit(rows)
+
+    df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 13).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("target"))
+    monkeypatch.setattr(model, "_trees", lambda iterations: Together())
+    assert 0 < model.cross_validated_rmse(df, "k", ["a"], folds=2) < 7
