@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from placescope.functions.geo import cartesian, chord, haversine
@@ -112,17 +112,21 @@ def _tiles(xyz: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray, np.nd
     return found, counts, np.argsort(tile.reshape(-1), kind="stable")
 
 
-def _sum_pairs(radius: float, weight: Callable[[np.ndarray], np.ndarray], names: Sequence[str], columns: Sequence[str]):
-    """Weighted sums over the right rows in reach for each left row of a group, a tile of left rows at a time."""
+def _sum_pairs(radius: float, weight: Callable[[np.ndarray], np.ndarray], names: Sequence[str], kept: Sequence[str]):
+    """Weighted sums over the right rows in reach for each left row of a group, a tile of left rows at a time.
+
+    Tables are Arrow's: pandas would turn a sum that is not a number into a missing one.
+    """
     width = radius / TILES_PER_RADIUS
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({c: pd.Series(dtype="float64") for c in columns})
-        a, b = left[["_x", "_y", "_z"]].to_numpy("float64"), right[["_x", "_y", "_z"]].to_numpy("float64")
+    def matrix(rows: pa.Table, columns: Sequence[str]) -> np.ndarray:
+        return np.column_stack([rows.column(c).to_numpy() for c in columns]).astype("float64", copy=False)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = matrix(left, ("_x", "_y", "_z")), matrix(right, ("_x", "_y", "_z"))
         a_tiles, a_counts, a_order = _tiles(a, width)
         b_tiles, b_counts, b_order = _tiles(b, width)
-        b, values = b[b_order], right[list(names)].to_numpy("float64")[b_order]
+        b, values = b[b_order], matrix(right, names)[b_order]
         finite = bool(np.isfinite(values).all())
         sums, hits = np.zeros((len(a), len(names))), np.zeros(len(a), dtype=bool)
         ends = np.cumsum(a_counts)
@@ -148,8 +152,10 @@ def _sum_pairs(radius: float, weight: Callable[[np.ndarray], np.ndarray], names:
                 hits[at] = reached.any(axis=1)
                 # A value that is not finite counts only within reach: 0 x NaN would spread it.
                 sums[at] = w @ v if finite else np.where(reached[:, :, None], w[:, :, None] * v, 0.0).sum(axis=1)
-        out = left.assign(**{n: sums[:, i] for i, n in enumerate(names)})[hits]
-        return out[list(columns)]
+        out = left.select(list(kept))
+        for i, n in enumerate(names):
+            out = out.append_column(n, pa.array(sums[:, i]))
+        return out.filter(pa.array(hits))
 
     return run
 
@@ -185,11 +191,12 @@ def sums_within(spots: DataFrame, km: float, weight: Callable[[np.ndarray], np.n
         met = _keyed_join(side, counts, cell).withColumn("_i", F.explode(i)).withColumn("_j", F.explode(j))
         return met.drop("_m", "_n").repartition(parts, *group).groupBy(*group)
 
-    schema = left.select("lat", "lng", *keep).schema
+    kept = ["lat", "lng", *keep]
+    schema = left.select(*kept).schema
     for n in sums:
         schema = schema.add(n, "double")
-    found = dealt(left, own("_m"), all_of("_n")).cogroup(dealt(right, all_of("_m"), own("_n"))).applyInPandas(
-        _sum_pairs(radius, weight, list(sums), schema.names), schema
+    found = dealt(left, own("_m"), all_of("_n")).cogroup(dealt(right, all_of("_m"), own("_n"))).applyInArrow(
+        _sum_pairs(radius, weight, list(sums), kept), schema
     )
     return found.groupBy("lat", "lng").agg(*[F.first(k).alias(k) for k in keep], *[F.sum(n).alias(n) for n in sums])
 

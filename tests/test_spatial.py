@@ -108,7 +108,7 @@ def test_pair_sums_split_both_sides_and_keep_odd_values_within_reach(spark, worl
     monkeypatch.setattr(spatial, "PLACES_PER_SPLIT", 10)
     df = frame(spark, [*world, (9000, -45.0, 100.0, float("nan")), (9001, -45.01, 100.0, 1.0), (9002, None, 1.0, 1.0)])
     out = spatial.smooth(df, "k", "v")
-    assert "FlatMapCoGroupsIn" in out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
     got = {r["k"]: r["smoothed"] for r in out.collect()}
     assert 9002 not in got and {k for k, v in got.items() if math.isnan(v)} == {9000, 9001}
     for k, la, lo, _ in world[::9]:
