@@ -9,7 +9,7 @@ from placescope.operators import model, rates, score, spatial, stats
 from placescope.plans import refit, roles
 from placescope.plans.catalog import Catalog
 from placescope.plans.roles import LONG_SQL, SIGNAL_SQL, SIGNALS, Z_SQL
-from placescope.plans.scoring import signal_table
+from placescope.plans.scoring import baseline, signal_table
 from placescope.session import materialize
 
 CATALOG = Catalog()
@@ -221,26 +221,26 @@ def ml14_money(spark, sf):
     return out.select("entity", "anchor", "index_ml", "est_monthly_income_hh", "est_monthly_spend_hh")
 
 
-def full_refit(spark, sf):
-    from placescope.plans.scoring import sc1
-
-    s = signal_table(spark, sf)
-    before = sc1(spark, sf).select("entity", F.col("index").alias("index_ml"))
+def full_refit(s, before):
+    """The refit of a written signal table, compared with the baseline composite of the same table."""
     return refit.run(
         s, "entity", SIGNALS, ("urgent", "bulk"), rate="balance", regional="bulk", min_size=10,
-        own_anchors=own_anchors(s), regions=region_figures(s), covered_region=7, previous=before,
+        own_anchors=own_anchors(s), regions=region_figures(s), covered_region=7,
+        previous=before.select("entity", F.col("index").alias("index_ml")),
     )
 
 
 @CATALOG.query("ml14_full_refit")
 def ml14(spark, sf):
     """Signals to refitted scores, committed as a table version that keeps rows added meanwhile."""
-    return full_refit(spark, sf).scores
+    s = signal_table(spark, sf)
+    return full_refit(s, baseline(s)).scores
 
 
 @CATALOG.query("snk11_diagnostics")
 def snk11(spark, sf):
-    return full_refit(spark, sf).diagnostics
+    s = signal_table(spark, sf)
+    return full_refit(s, baseline(s)).diagnostics
 
 
 @CATALOG.query("ml5_smoothed_model_score")
@@ -254,7 +254,7 @@ def ml5_model(spark, sf):
 @CATALOG.query("sc5_refit_drift")
 def sc5_refit(spark, sf):
     """Drift of the refitted index against the baseline composite."""
-    from placescope.plans.scoring import sc1
-
-    new = ml14(spark, sf).select("entity", F.col("index_ml").alias("index"))
-    return score.drift(new, sc1(spark, sf).select("entity", "index"), "entity", "index")
+    s = signal_table(spark, sf)
+    before = baseline(s)
+    new = full_refit(s, before).scores.select("entity", F.col("index_ml").alias("index"))
+    return score.drift(new, before.select("entity", "index"), "entity", "index")

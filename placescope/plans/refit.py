@@ -107,7 +107,8 @@ def run(
     points = base.select(key, "name", "lat", "lng", "fine", "nation", "own_anchor", "region_anchor")
     models = materialize(points.join(z_linear, key).join(z_trees, key), "models")
     z_spatial = spatial.smooth(models, key, "z_linear").withColumnRenamed("smoothed", "z_spatial")
-    blended = model.ensemble(models.join(z_spatial, key))
+    # Written before its figures are taken: they would each sum over all pairs of places again.
+    blended = model.ensemble(materialize(models.join(z_spatial, key), "smoothed"))
     covered = base.where(F.lit(True) if covered_region is None else F.col("nation") == covered_region).select(key, F.col(regional).alias("_income"))
     blended = materialize(model.regional_blend(blended, covered, key, "_income"), "blend")
 

@@ -34,6 +34,11 @@ def z_table(spark: SparkSession, sf: str) -> DataFrame:
     return stats.winsor_z(signal_table(spark, sf), SIGNALS)
 
 
+def baseline(signals: DataFrame) -> DataFrame:
+    """The composite index of a written signal table."""
+    return score.composite(stats.winsor_z(signals, SIGNALS), "entity", WEIGHTS)
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     return score.money(score.composite(z_table(spark, sf), "entity", WEIGHTS))
 
@@ -57,7 +62,7 @@ def win1(spark, sf):
     "sc1_composite", f'WITH {SCORE_SQL} SELECT entity, composite_z, "index", coverage FROM scores'
 )
 def sc1(spark, sf):
-    return score.composite(z_table(spark, sf), "entity", WEIGHTS)
+    return baseline(signal_table(spark, sf))
 
 
 @CATALOG.query(

@@ -137,6 +137,38 @@ def test_refit_uses_anchors_growth_and_the_drift_gate(spark):
     assert '"value":60.0' in figures["drift_rows"] and moved == {k for k in got if abs(got[k].index_ml - (100 if k else 300)) > 10} and "linear_region_growth" in figures
 
 
+def test_refit_smooths_once_and_drift_reads_the_signals_once(spark, monkeypatch):
+    """Figures over the smoothed rows are taken from a written table, not by smoothing again."""
+    from placescope.operators import spatial
+    from placescope.plans import models, refit
+
+    rows = [(k, f"n{k}", 10.0 + k / 100, 70.0, f"{k % 4}", f"{k % 2}", k % 3, float(k), float(k * k % 17), float(k % 5), float(k % 7), float(k % 11)) for k in range(40)]
+    table = spark.createDataFrame(rows, "entity long, name string, lat double, lng double, fine string, coarse string, nation long, balance double, spend double, discount double, urgent double, bulk double")
+    smoothed, read = spark.sparkContext.accumulator(0), []
+    plain, run = spatial.smooth, refit.run
+
+    def counted(points, key, value):
+        def each(batches):
+            for batch in batches:
+                smoothed.add(batch.num_rows)
+                yield batch
+
+        out = plain(points, key, value)
+        return out.mapInArrow(each, out.schema)
+
+    def signals(spark, sf):
+        read.append(sf)
+        return table
+
+    monkeypatch.setattr(spatial, "smooth", counted)
+    monkeypatch.setattr(models, "signal_table", signals)
+    monkeypatch.setattr("placescope.plans.scoring.signal_table", signals)
+    monkeypatch.setattr(refit, "run", lambda *a, **k: run(*a, tree_iterations=2, forest_trees=2, **k))
+    moved = models.sc5_refit(spark, "here").collect()
+    assert sorted(r.entity for r in moved) == list(range(40)) and all(r.delta == abs(r.new_value - r.old_value) for r in moved)
+    assert read == ["here"] and smoothed.value == 40
+
+
 def test_folds_are_fitted_side_by_side(spark, monkeypatch):
     """One fold after the other, the first would wait here in vain for the second."""
     both = threading.Barrier(2, timeout=60)
