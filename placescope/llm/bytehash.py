@@ -40,7 +40,9 @@ def sums(data: np.ndarray) -> np.ndarray:
     """Running sums of a buffer, one more than its bytes."""
     out = np.zeros(len(data) + 1, dtype=np.uint64)
     if len(data):
-        np.cumsum(TABLE[data] * _power_table(BASE, len(data)), out=out[1:])
+        terms = TABLE[data]
+        terms *= _power_table(BASE, len(data))
+        np.cumsum(terms, out=out[1:])
     return out
 
 

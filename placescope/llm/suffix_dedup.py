@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placescope.llm.arrow import BLOCK_BYTES, Lean, blocks, buffers
+from placescope.llm.arrow import BLOCK_BYTES, Batches, Lean, blocks, buffers
 from placescope.llm.bytehash import _INVERSE, _power_table, digests, mix, sums
 from placescope.llm.minhash import compressed
 from placescope.session import materialize
@@ -173,13 +173,23 @@ def sorted_windows(group: pa.Table, length: int, gram: int) -> Iterator[pa.Recor
         yield batch(1, row[w], start[row[w]] + step[w], np.full(len(w), length, np.int64), key[spread][some].astype(np.int64), number[spread][some].astype(np.int64))
 
 
+def window_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``STEP_WINDOWS`` windows at most, or of one run."""
+    for batch in batches:
+        reach = np.cumsum(batch.column("run").to_numpy() >> 12 & 4095)
+        low = 0
+        while low < batch.num_rows:
+            before = int(reach[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(reach, before + STEP_WINDOWS, side="right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def _radix(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         windows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in window_steps(batches):
             held.append(batch)
             windows += int((batch.column("run").to_numpy() >> 12 & 4095).sum())
             if windows < STEP_WINDOWS:
@@ -211,7 +221,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     repeated = runs.join(shared, "anchor").groupBy("doc_id", "tk").agg(F.collect_list(F.struct("anchor", "shares", "run")).alias("runs"))
     z = docs.select("doc_id", "tk", "text").mapInArrow(Lean(compressed), "doc_id long, tk long, z binary")
     same = z["doc_id"].eqNullSafe(repeated["doc_id"]) & (z["tk"] == repeated["tk"])
-    with_text = z.join(repeated, same).select(z["doc_id"], z["tk"], "z", "runs")
+    # Sort-merge however small one side is: after a broadcast join each task would need a second Python worker.
+    with_text = z.join(repeated.hint("merge"), same).select(z["doc_id"], z["tk"], "z", "runs")
     parts = with_text.mapInArrow(Lean(_contexts(length, gram)), "doc_id long, tk long, anchor long, shares long, run long, share long, part binary")
     found = materialize(
         parts.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(Lean(_radix(length, gram)), "kind int, doc_id long, tk long, start long, length long, digest long, n long"),
@@ -249,6 +260,24 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "carried")), *columns], names=["doc_id", "carried", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _applied(batches):
+        texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column("kept")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("carried"), pa.array(texts, pa.string())], names=["doc_id", "carried", "text"])
+
+
+def _cut(docs: DataFrame, length: int, gram: int, id_col: str, text_col: str, carry: tuple[str, ...], run: Batches, columns: str) -> DataFrame:
+    """What ``run`` makes of each row's compressed text and repeated spans: doc_id, ``carry`` as a struct and ``columns``."""
+    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), carried.alias("carried"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
+    spans = repeated_spans(d.drop("carried"), length, gram).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    kind = d.schema["carried"].dataType.simpleString()
+    z = d.select("doc_id", "tk", "carried", "text").mapInArrow(Lean(compressed), f"doc_id long, tk long, carried {kind}, z binary")
+    same = z["doc_id"].eqNullSafe(spans["doc_id"]) & (z["tk"] == spans["tk"])
+    joined = z.join(spans.hint("merge"), same, "left").select(z["doc_id"], "carried", "z", "spans")
+    return joined.mapInArrow(Lean(run), f"doc_id long, carried {kind}, {columns}")
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the remaining bytes of every row, and ``carry`` as a struct.
 
@@ -257,26 +286,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     texts count as two texts; other columns are ignored; an empty table gives no rows. ``gram`` is at
     most ``length``.
     """
-    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(0).alias("none"))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), carried.alias("carried"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
-    spans = repeated_spans(d.drop("carried"), length, gram).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    kind = d.schema["carried"].dataType.simpleString()
-    z = d.select("doc_id", "tk", "carried", "text").mapInArrow(Lean(compressed), f"doc_id long, tk long, carried {kind}, z binary")
-    joined = z.join(spans, z["doc_id"].eqNullSafe(spans["doc_id"]) & (z["tk"] == spans["tk"]), "left").select(z["doc_id"], "carried", "z", "spans")
-    return joined.mapInArrow(Lean(_applied), f"doc_id long, carried {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _cut(docs, length, gram, id_col, text_col, carry, _applied, "n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated strings cut out of its texts; bytes of a character cut in two go as well."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [b.as_py().decode("utf-8", "ignore") for b in batch.column("kept")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("carried"), pa.array(texts, pa.string())], names=["doc_id", "carried", "text"])
-
-    out = without_repeats(docs, length, gram, id_col, text_col, tuple(c for c in docs.columns if c not in (id_col, text_col)) or ())
-    kind = out.schema["carried"].dataType.simpleString()
-    rows = out.select("doc_id", "carried", "kept").mapInArrow(Lean(run), f"doc_id long, carried {kind}, text string")
+    carry = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    rows = _cut(docs, length, gram, id_col, text_col, carry, _decoded, "text string")
     source = {id_col: F.col("doc_id"), text_col: F.col("text")}
     return rows.select(*(source.get(c, F.col("carried")[c]).alias(c) for c in docs.columns))
 

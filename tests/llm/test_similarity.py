@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from placescope.llm import minhash, suffix_dedup
 from placescope.llm.components import components
 
@@ -91,3 +94,32 @@ def test_long_text_in_parts_gives_the_same_windows(monkeypatch):
     assert whole[2].sum() == 5000 - 199
     cover = np.concatenate([np.arange(s, s + n) for s, n in zip(whole[1], whole[2])])
     assert (cover == np.arange(5000 - 199)).all()
+
+
+def test_repeat_removal_steps_are_bounded_by_windows(monkeypatch):
+    """A batch with many windows is sorted in steps; groups stay whole and none is lost."""
+    rows = 3000
+    anchor = np.repeat(np.arange(rows // 2), 2)
+    part = [bytes([k % 251]) * 256 for k in anchor.tolist()]
+    columns = [pa.array(np.arange(rows)), pa.array(np.zeros(rows, np.int64)), pa.array(anchor), pa.array(np.ones(rows, np.int64)), pa.array(np.full(rows, 129 << 12 | 128)), pa.array(np.zeros(rows, np.int64)), pa.array(part, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "tk", "anchor", "shares", "run", "share", "part"])
+    whole = pa.Table.from_batches(list(suffix_dedup.sorted_windows(pa.Table.from_batches([batch]), 200, 72)))
+    steps, plain = [], suffix_dedup.sorted_windows
+
+    def noted(group, length, gram):
+        steps.append((group.num_rows, set(group["anchor"].to_pylist())))
+        return plain(group, length, gram)
+
+    monkeypatch.setattr(suffix_dedup, "sorted_windows", noted)
+    got = pa.Table.from_batches(list(suffix_dedup._radix(200, 72)(iter([batch.slice(0, 0), batch]))))
+    assert got.sort_by("doc_id").equals(whole.sort_by("doc_id")) and got.num_rows == rows
+    assert sum(n for n, _ in steps) == rows and sum(len(a) for _, a in steps) == rows // 2
+    assert max(n for n, _ in steps) * 129 < 2 * suffix_dedup.STEP_WINDOWS and len(steps) > 1
+
+
+def test_cleaning_takes_one_python_step_a_task(spark):
+    docs = spark.createDataFrame([(1, "a" * 300, "x"), (2, "b" + "a" * 250, None), (3, None, "y")], "doc_id long, text string, lang string")
+    out = suffix_dedup.cleaned(docs)
+    assert sorted((r.doc_id, r.text, r.lang) for r in out.filter("lang is not null").collect()) == [(1, "", "x"), (3, "", "y")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # texts before the join, cutting behind it
