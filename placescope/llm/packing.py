@@ -353,7 +353,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Data
     counts = {int(r["length"]): int(r["n"]) for r in histogram.collect()}  # at most one row per length up to the capacity
     spark = cut.sparkSession
     slots = spark.sparkContext.broadcast(plan(counts, capacity, rounds))
-    shares = spark.createDataFrame([(k, -(-n // RANK_ROWS)) for k, n in counts.items()] or [(0, 1)], "length long, shares long")
+    # As an Arrow table; rows of Python would pass through Python workers of their own, which then stay.
+    dealt_to = {k: -(-n // RANK_ROWS) for k, n in counts.items()} or {0: 1}
+    shares = spark.createDataFrame(pa.table({"length": pa.array(dealt_to.keys(), pa.int64()), "shares": pa.array(dealt_to.values(), pa.int64())}))
     dealt = cut.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("shares"))).drop("shares")
     before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n")).select("length", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

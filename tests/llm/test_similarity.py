@@ -123,3 +123,15 @@ def test_cleaning_takes_one_python_step_a_task(spark):
     assert sorted((r.doc_id, r.text, r.lang) for r in out.filter("lang is not null").collect()) == [(1, "", "x"), (3, "", "y")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 2  # texts before the join, cutting behind it
+
+
+def test_packing_makes_no_rows_in_python_workers(spark):
+    from placescope.llm import packing
+
+    cut = spark.range(30).selectExpr("id as doc_id", "0 as piece", "0L as start", "1 + id % 3 as length", "id as ids_crc32")
+    out = packing.pack(cut, capacity=6)
+    taken = {}
+    for r in out.collect():
+        taken.setdefault(r.sequence_id, []).extend(range(r.offset, r.offset + r.length))
+    assert len(taken) == 10 and all(sorted(places) == list(range(6)) for places in taken.values())
+    assert "LogicalRDD" not in out._jdf.queryExecution().analyzed().toString()
