@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from placescope.session import materialize
 
+#: Links that a task of a step takes at least, and tasks of a step if there are fewer links.
+LINKS_A_TASK, LEAST_TASKS = 8192, 8
+
 
 def _state(edges: DataFrame) -> tuple[int, int]:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
@@ -19,17 +22,21 @@ def components(links: DataFrame) -> DataFrame:
     Each step hangs neighbours on the smallest one; stars remain after a number of steps that is
     logarithmic in the longest path. Every step is written, so a lost executor costs one step. Only two
     figures of the table reach the driver.
+
+    No step has more links than there are at first. Tasks are as many as they need, whatever the number of
+    shuffle partitions, so that a step on few links does not leave hundreds of tiny files behind.
     """
     ordered = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct()
     edges = materialize(ordered, "links")
     state = _state(edges)
     while state[0]:
+        tasks = max(LEAST_TASKS, state[0] // LINKS_A_TASK)
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).coalesce(tasks).distinct().coalesce(tasks)
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(root, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = materialize(small.union(root.select("hi", F.col("m").alias("lo"))).distinct(), "links")
+        small = large.join(root, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).coalesce(tasks)
+        edges = materialize(small.union(root.select("hi", F.col("m").alias("lo")).coalesce(tasks)).distinct().coalesce(tasks), "links")
         new = _state(edges)
         if new == state:
             break

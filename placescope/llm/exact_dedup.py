@@ -59,7 +59,9 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def _append(self, rows: DataFrame) -> None:
-        rows.repartition(self.buckets, "text_sha256").sortWithinPartitions("text_sha256").write.insertInto(self.table)
+        # By the bucket's number, so that a bucket gets one file however many partitions there are.
+        bucket = F.pmod(F.hash("text_sha256"), F.lit(self.buckets))
+        rows.repartition(self.buckets, bucket).sortWithinPartitions(bucket, "text_sha256").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
     def compacted(self, path: str | None = None, buckets: int | None = None) -> DigestIndex:

@@ -178,6 +178,21 @@ def test_exact_dedup_carries_columns_of_any_name(spark):
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
 
 
+def test_digest_index_has_one_file_a_bucket_with_any_number_of_partitions(spark, docs_of, monkeypatch):
+    frame = type(spark.range(0))
+    dealt = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: dealt(self, max(n, 29) if cols and isinstance(n, int) else n, *cols))
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    rows = [(i, f"text {i % 400}") for i in range(500)]
+    found = index.ingest(docs_of(rows)).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in found) == [(i, i % 400, i < 400) for i in range(500)]
+    assert index.rows().count() == 400
+    assert len(index.rows().inputFiles()) == 4
+    again = index.ingest(docs_of([(i, f"text {i}") for i in range(390, 410)])).collect()
+    assert sorted(r["doc_id"] for r in again if r["kept"]) == list(range(400, 410))
+    index.close()
+
+
 PAGES = "page_id long, url string, html string, digest string"
 
 

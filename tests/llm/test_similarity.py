@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from placescope.llm import minhash, suffix_dedup
-from placescope.llm.components import components
+from placescope.llm.components import LEAST_TASKS, components
 
 
 def _near(rows):
@@ -135,3 +135,20 @@ def test_packing_makes_no_rows_in_python_workers(spark):
         taken.setdefault(r.sequence_id, []).extend(range(r.offset, r.offset + r.length))
     assert len(taken) == 10 and all(sorted(places) == list(range(6)) for places in taken.values())
     assert "LogicalRDD" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    held = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = [(i, i + 1) for i in range(0, 300) if i % 50 != 49] + [(1000, i) for i in range(1001, 1200)] + [(7, 7)]
+        found = components(spark.createDataFrame(links, "a long, b long"))
+        files = found.inputFiles()
+        rows = sorted(tuple(r) for r in found.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows == sorted([(i, i - i % 50) for i in range(300)] + [(i, 1000) for i in range(1000, 1200)])
+    assert len(files) <= LEAST_TASKS
