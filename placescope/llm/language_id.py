@@ -189,8 +189,8 @@ def fit(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Model | Tables:
     with more than ``max_entries`` the model is left in tables.
     """
     counts = materialize(gram_counts(train), "grams")
-    langs = [r[0] for r in counts.select("lang").distinct().collect()]
-    large = counts.count() > max_entries  # no lower order has more
+    sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs, large = list(sizes), sum(sizes.values()) > max_entries  # no lower order has more
     model: Model = {}
     level, tables, kept = counts, [], []
     for n in range(ORDER, 0, -1):
@@ -199,24 +199,24 @@ def fit(train: DataFrame, max_entries: int = MAX_ENTRIES) -> Model | Tables:
             level = materialize(level, f"grams-{n}") if large else level
         context = F.substring("gram", 1, n - 1) if n > 1 else F.lit("")
         ctx = level.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        few = level.filter("n <= 2").groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
-        few = {r["lang"]: (r["n1"], r["n2"]) for r in few.collect()}
         joined = level.select("lang", "gram", "n", context.alias("context")).join(ctx, ["lang", "context"])
         if large:
+            few = level.filter("n <= 2").groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"))
+            few = {r["lang"]: (r["n1"], r["n2"]) for r in few.collect()}
             d = F.create_map(*(F.lit(x) for lang in langs for x in (lang, _discount(*few.get(lang, (0, 0))))))[F.col("lang")]
             grams = joined.select("lang", "gram", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("total")).alias("value"))
             contexts = ctx.select("lang", "context", (d * F.col("kinds") / F.col("total")).alias("backoff"))
             kept.append((materialize(grams, f"order-{n}"), materialize(contexts, f"contexts-{n}")))
         else:
-            tables.append((n, joined.mapInArrow(Lean(_hashed), "lang string, gram long, context long, n long, total long, kinds long").toArrow(), few))
+            tables.append((n, joined.mapInArrow(Lean(_hashed), "lang string, gram long, context long, n long, total long, kinds long").toArrow()))
     if large:
         return Tables({r["lang"]: 1.0 / (r["n"] + 1) for r in sorted(level.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())}, kept[::-1])
     for lang in sorted(langs):
         orders, alphabet = [], 1
-        for n, table, few in reversed(tables):  # from single characters up
+        for n, table in reversed(tables):  # from single characters up
             own = table.filter(pc.equal(table["lang"], lang))
             column = lambda name: own[name].to_numpy()  # noqa: B023, E731
-            discount = _discount(*few.get(lang, (0, 0)))
+            discount = _discount(*(int(np.count_nonzero(column("n") == k)) for k in (1, 2)))
             grams = column("gram").view(np.uint64)
             at = np.argsort(grams)
             value = (np.maximum(column("n") - discount, 0) / column("total"))[at]

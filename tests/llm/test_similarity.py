@@ -152,3 +152,18 @@ def test_components_of_few_links_take_few_tasks(spark):
             spark.conf.set(k, v)
     assert rows == sorted([(i, i - i % 50) for i in range(300)] + [(i, 1000) for i in range(1000, 1200)])
     assert len(files) <= LEAST_TASKS
+
+
+def test_a_component_step_is_few_jobs_and_broadcasts_nothing(spark):
+    def job(name):
+        spark.sparkContext.setJobGroup(name, name)
+        spark.sparkContext.parallelize([1], 1).count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return max(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    links = spark.createDataFrame([(1000, i) for i in range(1001, 1100)] + [(1, 2), (2, 3), (3, 3)], "a long, b long")
+    before = job("before-components")
+    found = components(links)
+    jobs = job("after-components") - before - 1
+    assert {r.node: r.label for r in found.collect()} == {k: 1000 for k in range(1000, 1100)} | {1: 1, 2: 1, 3: 1}
+    assert jobs <= 16  # 12; 24 when a step joined by broadcasts and was counted by a query of its own
