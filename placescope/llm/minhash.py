@@ -13,7 +13,8 @@ their members. What is left are pairs of classes of different components in a co
 There a pair whose minima agree so rarely that it lies six standard deviations below the threshold is
 not confirmed, so that a passage common to very many texts does not make all pairs of them; at exactly
 0.75 that passes over one pair in 300,000,000, far fewer than the tables do. Where many classes that are
-linked with nothing meet a large group, sets of up to 512 shingles are compared in the join itself.
+linked with nothing meet a large group, sets of up to 512 shingles are compared in the join itself. Before
+all that, a bitmap of each set bounds what a pair can have in common; the bound never falls below the truth.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ SIGNATURE_WORDS = MINIMA // 16
 _P = PERCENT / 100 + (1 - PERCENT / 100) / 16
 LEAST_EQUAL = math.floor(MINIMA * _P - 6 * math.sqrt(MINIMA * _P * (1 - _P)))
 
+#: Words of the bitmap of a set, a power of two.
+BITMAP_WORDS = 32
+BITMAP_SHIFT = np.uint64(64 - (64 * BITMAP_WORDS).bit_length() + 1)
+
 #: Shingles of a set that may travel whole, and strays of a bucket from which they do.
 SHORT_SET, FEW_STRAYS = 512, 8
 
@@ -126,6 +131,13 @@ def signature(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(four << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).astype(np.int64)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A bit for the upper bits of every shingle hash, 64 to a word."""
+    bits = np.zeros(64 * BITMAP_WORDS, dtype=np.uint8)
+    bits[(shingles >> BITMAP_SHIFT).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
     for batch in batches:
@@ -157,12 +169,20 @@ def _sets_of(frames: list[bytes]) -> list[np.ndarray]:
 
 
 def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the shingle set that they were chosen for (ids may repeat with other texts)."""
+    """Rows whose text has the shingle set that they were chosen for (ids may repeat with other texts).
+
+    They get its bitmap and the number of shingles by which it is larger than the bits set in that.
+    """
     for batch in batches:
         if batch.num_rows:
+            sets = _sets_of(batch.column("z").to_pylist())
             want = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)
-            keep = pa.array([len(s) > 0 and set_key(s) == k for s, k in zip(_sets_of(batch.column("z").to_pylist()), want, strict=True)])
-            yield batch.select(["node", "z"]).filter(keep)
+            keep = [len(s) > 0 and set_key(s) == k for s, k in zip(sets, want, strict=True)]
+            kept = [(bitmap(s), len(s)) for s, k in zip(sets, keep, strict=True) if k]
+            bits = pa.array([b for b, _ in kept], pa.list_(pa.int64()))
+            fell = pa.array([n - int(np.bitwise_count(b.view(np.uint64)).sum()) for b, n in kept], pa.int64())
+            node, z = batch.select(["node", "z"]).filter(pa.array(keep, pa.bool_())).columns
+            yield pa.RecordBatch.from_arrays([node, z, bits, fell], names=["node", "z", "bits", "fell"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +241,13 @@ def _across(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     a pair counts in the first bucket that it has in common. Half keys travel as their upper 32 bits.
     Where more than ``FEW_STRAYS`` classes meet the others, the sets travel as well, as 16-bit hashes. At
     most as many common shingles can be missing from the common hashes as fell together in either set,
-    so that the join decides by an upper bound of the similarity, not by the estimate.
+    so that the join decides by an upper bound of the similarity, not by the estimate. The common bits of two
+    bitmaps bound it in the same way and come first, as they cost little: a large group and its strays
+    meet in a number of pairs that grows with the square of the group.
+
+    The words are columns of their own. Thereby the join has more fields than ``spark.sql.codegen.maxFields``
+    and its condition is compiled alone, in small methods; as a part of a whole stage it was one method of more
+    than the 8,000 bytes that the JVM compiles, and every pair went through the interpreter.
     """
     halves = lambda: F.explode(F.transform("u", lambda i: F.get("halves", i))).alias("h")
     tally = nodes.select("label", halves()).groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -231,28 +257,33 @@ def _across(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     short = texts.join(hot.select("node"), "node").mapInArrow(Lean(_short_sets), "node long, short array<short>, lost int")
     with_sets = materialize(hot.join(short, "node", "left"), "short-sets")
 
-    words = [f"s{k}" for k in range(SIGNATURE_WORDS)]
+    words, maps = [f"s{k}" for k in range(SIGNATURE_WORDS)], [f"m{k}" for k in range(BITMAP_WORDS)]
+    bits = texts.groupBy("node").agg(F.first("bits").alias("bits"), F.first("fell").alias("fell"))
     upper = lambda places: F.transform(places, lambda i: F.shiftright(F.get("halves", i), 32).cast("int"))
-    slim = nodes.select("node", "n", "label", "halves", "u", upper(F.sort_array("u")).alias("us"), upper("v").alias("vs"), *(F.get("signature", F.lit(k)).alias(w) for k, w in enumerate(words)))
-    wide = slim.join(with_sets, "node", "left").select("node", "n", "label", "us", "vs", *words, "hot", "short", "lost", halves())
+    slim = nodes.join(bits, "node").select("node", "n", "label", "halves", "fell", "u", upper(F.sort_array("u")).alias("us"), upper("v").alias("vs"), *(F.get(of, F.lit(k)).alias(w) for of, ws in (("signature", words), ("bits", maps)) for k, w in enumerate(ws)))
+    wide = slim.join(with_sets, "node", "left").select("node", "n", "label", "us", "vs", *words, *maps, "fell", "hot", "short", "lost", halves())
     rows = wide.withColumn("short", F.when(F.array_contains("hot", F.col("h")), F.col("short"))).drop("hot")
     met = rows.join(mixed.select("h", "main"), "h")
-    carried = {"n": "n", "us": "u", "vs": "v", "short": "short", "lost": "lost"}
-    x = met.filter("label <> main").select("h", F.col("node").alias("a"), F.col("label").alias("la"), *(F.col(c).alias(f"{t}a") for c, t in carried.items()), *(F.col(w).alias(f"a{w}") for w in words))
-    y = met.select("h", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("main").alias("mb"), *(F.col(c).alias(f"{t}b") for c, t in carried.items()), *(F.col(w).alias(f"b{w}") for w in words))
-    unequal = None
+    carried = {"n": "n", "us": "u", "vs": "v", "short": "short", "lost": "lost", "fell": "fell"}
+    x = met.filter("label <> main").select("h", F.col("node").alias("a"), F.col("label").alias("la"), *(F.col(c).alias(f"{t}a") for c, t in carried.items()), *(F.col(w).alias(f"a{w}") for w in [*words, *maps]))
+    y = met.select("h", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("main").alias("mb"), *(F.col(c).alias(f"{t}b") for c, t in carried.items()), *(F.col(w).alias(f"b{w}") for w in [*words, *maps]))
+    unequal, bits_in_both = F.lit(0), F.lit(0)
     for w in words:
         d = F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))
         d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
         d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        unequal = F.bit_count(d) if unequal is None else unequal + F.bit_count(d)
+        unequal = unequal + F.bit_count(d)
+    for w in maps:
+        bits_in_both = bits_in_both + F.bit_count(F.col(f"a{w}").bitwiseAND(F.col(f"b{w}")))
+    # I common of a + b - I: 100 * I >= P * (a + b - I), with I at most what the hashes show and what fell together.
+    similar = lambda common: (100 + PERCENT) * common >= PERCENT * (F.col("na") + F.col("nb"))
     # Two classes outside the largest component meet twice; one of the meetings counts.
     fits = F.expr(f"la <> lb and (lb = mb or a > b) and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    fits = fits & F.arrays_overlap("va", "vb") & (F.get(F.array_intersect("ua", "ub"), F.lit(0)) == F.shiftright(x["h"], 32).cast("int"))
-    # I common of a + b - I: 100 * I >= P * (a + b - I), with I at most what the hashes show and what fell together.
-    common = F.size(F.array_intersect("shorta", "shortb")) + F.least("losta", "lostb")
+    fits = fits & similar(bits_in_both + F.least("fella", "fellb"))
     decided = F.col("shorta").isNotNull() & F.col("shortb").isNotNull()
-    fits = fits & F.when(decided, (100 + PERCENT) * common >= PERCENT * (F.col("na") + F.col("nb"))).otherwise(MINIMA - unequal >= LEAST_EQUAL)
+    fits = fits & (decided | (MINIMA - unequal >= LEAST_EQUAL))
+    fits = fits & F.arrays_overlap("va", "vb") & (F.get(F.array_intersect("ua", "ub"), F.lit(0)) == F.shiftright(x["h"], 32).cast("int"))
+    fits = fits & (~decided | similar(F.size(F.array_intersect("shorta", "shortb")) + F.least("losta", "lostb")))
     return x.join(y, (x["h"] == y["h"]) & fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -282,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     z = narrow(docs, id_col, text_col).mapInArrow(Lean(compressed), "doc_id long, z binary")
     texts = materialize(
-        z.join(candidates.select("node", "rep", "k1", "k2"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "k1", "k2", "z").mapInArrow(Lean(_matching), "node long, z binary"), "candidate-texts"
+        z.join(candidates.select("node", "rep", "k1", "k2"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "k1", "k2", "z").mapInArrow(Lean(_matching), "node long, z binary, bits array<long>, fell long"), "candidate-texts"
     )
 
     nodes = candidates.select("node", "n", "weight", "halves", "signature", "u", "v", F.col("node").alias("label"))

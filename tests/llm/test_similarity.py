@@ -53,6 +53,39 @@ def test_near_duplicates_equal_brute_force(docs_of):
     assert minhash.near_duplicates(docs_of([])).count() == 0
 
 
+def test_pair_join_is_compiled_not_interpreted(spark, docs_of, monkeypatch, capsys):
+    """The JVM compiles no method of more than 8,000 bytes; the condition of the pair join was in one of 12,166."""
+    joins, across = [], minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda *a: joins.append(across(*a)) or joins[-1])
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(300)}" for _ in range(80)]
+    rows = [(k, " ".join(w if rnd.random() > 0.03 else f"x{rnd.randrange(99)}" for w in base)) for k in range(30)]
+    assert minhash.near_duplicates(docs_of(rows)).count() == 30
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        capsys.readouterr()
+        joins[0].select("*").explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8_000
+
+
+def test_bitmaps_bound_what_sets_have_in_common():
+    rng = np.random.default_rng(3)
+    for size in (1, 40, 300, 900, 5000):
+        for share in (0.0, 0.5, 0.75, 0.9, 1.0):
+            common = rng.integers(0, 2**64, size=int(size * share), dtype=np.uint64)
+            pair = [np.unique(np.concatenate([common, rng.integers(0, 2**64, size=size - len(common), dtype=np.uint64)])) for _ in range(2)]
+            maps = [minhash.bitmap(s).view(np.uint64) for s in pair]
+            fell = [len(s) - int(np.bitwise_count(m).sum()) for s, m in zip(pair, maps, strict=True)]
+            bound = int(np.bitwise_count(maps[0] & maps[1]).sum()) + min(fell)
+            assert len(np.intersect1d(*pair)) <= bound
+            if size == 300 and share <= 0.75:  # a similarity of 0.6 is recognised as too low
+                assert 175 * bound < 75 * (len(pair[0]) + len(pair[1]))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(100, 180)] + [(5, k) for k in range(200, 230)] + [(7, 7), (9, 8), (9, 8)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
